@@ -1,0 +1,47 @@
+"""Joins whose left side may hold a very hot key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key with more rows than this is spread over several tasks.
+HOT_KEY_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_KEY_ROWS) -> DataFrame:
+    """Keys above ``limit`` rows with the number of slices each needs. Holds at most rows/limit keys."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") > limit).select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_slices"))
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    how: str = "inner",
+    limit: int = HOT_KEY_ROWS,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Equi join for a ``right`` side that is unique on ``keys``.
+
+    Left rows of a hot key are dealt out by a hash of ``spread_by``; the one right row of that key is repeated
+    once per slice. All other rows join as usual. The list of hot keys is broadcast: it has at most
+    rows/limit entries, one per million left rows by default.
+    """
+    if hot is None:
+        hot = hot_keys(left, keys, limit)
+    hot = F.broadcast(hot)
+    slices = F.coalesce(F.col("_slices"), F.lit(1))
+    dealt = (
+        left.join(hot, keys, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), slices).cast("int"))
+        .drop("_slices")
+    )
+    repeated = (
+        right.join(hot, keys, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - F.lit(1))))
+        .drop("_slices")
+    )
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -1,0 +1 @@
+"""Intentionally empty: every source of this engine is a bounded batch, so there is no stream to define."""
