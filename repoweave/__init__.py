@@ -12,11 +12,11 @@ from repoweave.functions.imports import register_language
 from repoweave.operators.dependencies import dependency_edges, extract_imports, resolve_imports
 from repoweave.operators.graph import break_cycles, topo_levels
 from repoweave.operators.ordering import order_files, shuffle_global, shuffle_in_repo
-#from repoweave.plans.corpus import corpus
-#from repoweave.plans.prepare import CorpusConfig, prepare
+from repoweave.plans.corpus import corpus
+from repoweave.plans.prepare import CorpusConfig, prepare
 from repoweave.session import build_session
-#from repoweave.sources.tables import read_corpus
-#from repoweave.sources.tree import scan_repos
+from repoweave.sources.tables import read_corpus
+from repoweave.sources.tree import scan_repos
 
 __all__ = [
     "CorpusConfig",

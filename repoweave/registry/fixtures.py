@@ -76,6 +76,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run one of the texts above on the tables of ``sf_dir``."""
     used = {name: table(spark, sf_dir, name) for name in TABLES if f"from {name}" in text}
-    for name, df in used.items():
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in used:
         text = text.replace(f"from {name}", f"from {{{name}}}")
     return spark.sql(text, **used)
