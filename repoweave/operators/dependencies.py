@@ -83,12 +83,13 @@ def module_index(paths: DataFrame, languages: Sequence[str] = DEFAULT_LANGUAGES)
 
 
 def resolve_imports(
-    imports: DataFrame, paths: DataFrame, languages: Sequence[str] = DEFAULT_LANGUAGES
+    imports: DataFrame, paths: DataFrame, languages: Sequence[str] = DEFAULT_LANGUAGES, rows: int | None = None
 ) -> DataFrame:
     """Join imports to the files they name; imports without a file drop out.
 
     A module resolves when ``module + suffix`` is the base name of a file. A dotted module would have to match a
-    name with a slash in it, so it never does and is left out before the shuffle.
+    name with a slash in it, so it never does and is left out before the shuffle. ``rows`` is the number of
+    imports, when known.
     """
     entries = [language(name) for name in languages]
     suffix = reduce(
@@ -100,16 +101,18 @@ def resolve_imports(
         "file_name", F.concat(F.col("module"), suffix)
     )
     return salted_join(
-        wanted, module_index(paths, languages), ["repo_name", "file_name"], spread_by=["rel_path"]
+        wanted, module_index(paths, languages), ["repo_name", "file_name"], spread_by=["rel_path"], rows=rows
     ).select("repo_name", "source_language", "rel_path", "module", "target")
 
 
-def edges_of(imports: DataFrame, paths: DataFrame, languages: Sequence[str] = DEFAULT_LANGUAGES) -> DataFrame:
+def edges_of(
+    imports: DataFrame, paths: DataFrame, languages: Sequence[str] = DEFAULT_LANGUAGES, rows: int | None = None
+) -> DataFrame:
     """``(repo_name, src, dst)``, importer to imported, self-loops included.
 
     No ``distinct``: a file's modules are distinct, each names one base name, and each base name one file.
     """
-    return resolve_imports(imports, paths, languages).select(
+    return resolve_imports(imports, paths, languages, rows).select(
         "repo_name", F.col("rel_path").alias("src"), F.col("target").alias("dst")
     )
 
@@ -119,8 +122,8 @@ def dependency_edges(files: DataFrame, languages: Sequence[str] = DEFAULT_LANGUA
 
     The extracted names are checkpointed: the lookup reads them twice (hot-name count and join), the text once.
     """
-    imports = shared_checkpoint(extract_imports(files, languages))
-    return edges_of(imports, files.select("repo_name", "rel_path"), languages)
+    imports, seen = shared_checkpoint(extract_imports(files, languages), rows=F.count(F.lit(1)))
+    return edges_of(imports, files.select("repo_name", "rel_path"), languages, seen["rows"])
 
 
 def graph_nodes(paths: DataFrame, languages: Sequence[str] = DEFAULT_LANGUAGES) -> DataFrame:

@@ -125,7 +125,7 @@ def _trim(edges: DataFrame, n: int, hot: DataFrame) -> tuple[DataFrame, int]:
         targets = edges.select("repo_name", F.col("dst").alias("src")).distinct()
         sources = edges.select("repo_name", F.col("src").alias("dst")).distinct()
         kept = edges.join(targets, ["repo_name", "src"], "left_semi")
-        kept = salted_join(kept, sources, ["repo_name", "dst"], ["src"], "left_semi", hot=hot).select(*EDGE)
+        kept = salted_join(kept, sources, ["repo_name", "dst"], ["src"], "left_semi", hot=hot, rows=n).select(*EDGE)
         edges, seen = shared_checkpoint(kept, n=F.count(F.lit(1)))
         n, before = seen["n"], n
         if n > 0.9 * before:
@@ -133,7 +133,7 @@ def _trim(edges: DataFrame, n: int, hot: DataFrame) -> tuple[DataFrame, int]:
     return edges, n
 
 
-def _spread_labels(edges: DataFrame, hot: DataFrame) -> DataFrame:
+def _spread_labels(edges: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
     """Per node the smallest node that reaches it (``above``) and the smallest it reaches (``below``)."""
     ends = edges.select("repo_name", F.col("src").alias("node")).union(edges.select("repo_name", "dst")).distinct()
     labels = ends.select("repo_name", "node", F.col("node").alias("above"), F.col("node").alias("below"))
@@ -146,7 +146,7 @@ def _spread_labels(edges: DataFrame, hot: DataFrame) -> DataFrame:
         down = edges.join(as_src, ["repo_name", "src"]).select(
             "repo_name", F.col("dst").alias("node"), "above", nothing.alias("below")
         )
-        up = salted_join(edges, as_dst, ["repo_name", "dst"], ["src"], hot=hot).select(
+        up = salted_join(edges, as_dst, ["repo_name", "dst"], ["src"], hot=hot, rows=rows).select(
             "repo_name", F.col("src").alias("node"), nothing.alias("above"), "below"
         )
         own = labels.select(
@@ -188,10 +188,10 @@ def _inside_cycles_distributed(edges: DataFrame) -> DataFrame:
         edges, n = _trim(edges, n, hot)
         if n == 0:
             break
-        labels = _spread_labels(edges, hot)
+        labels = _spread_labels(edges, hot, n)
         at_src = labels.select("repo_name", F.col("node").alias("src"), F.col("above").alias("a"), F.col("below").alias("b"))
         at_dst = labels.select("repo_name", F.col("node").alias("dst"), F.col("above").alias("c"), F.col("below").alias("d"))
-        both = salted_join(edges.join(at_src, ["repo_name", "src"]), at_dst, ["repo_name", "dst"], ["src"], hot=hot)
+        both = salted_join(edges.join(at_src, ["repo_name", "src"]), at_dst, ["repo_name", "dst"], ["src"], hot=hot, rows=n)
         same, seen = shared_checkpoint(
             both.filter("a = c and b = d").select(*EDGE, F.col("a").alias("scc_id"), (F.col("a") == F.col("b")).alias("done")),
             n=F.count_if(~F.col("done")),

@@ -23,13 +23,17 @@ def salted_join(
     how: str = "inner",
     limit: int = HOT_KEY_ROWS,
     hot: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi join for a ``right`` side that is unique on ``keys``.
 
     Left rows of a hot key are dealt out by a hash of ``spread_by``; the one right row of that key is repeated
     once per slice. All other rows join as usual. The list of hot keys is broadcast: it has at most
-    rows/limit entries, one per million left rows by default.
+    rows/limit entries, one per million left rows by default. When ``rows`` (known size of the left side) is
+    within the limit, no key can be hot and the join is a plain one.
     """
+    if rows is not None and rows <= limit:
+        return left.join(right, keys, how)
     if hot is None:
         hot = hot_keys(left, keys, limit)
     hot = F.broadcast(hot)

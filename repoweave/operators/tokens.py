@@ -9,14 +9,17 @@ spelled in bytes, so encoding loses nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoweave.operators.numbering import number_rows, running_total
+from repoweave.operators.ordering import sample_rows
 
 # Ids 0-255 are bytes; the end token doubles as padding.
 END_ID = 256
@@ -33,8 +36,8 @@ Encoder = Callable[[Sequence[str]], Sequence[Sequence[int]]]
 def byte_tokenizer() -> Encoder:
     """The UTF-8 bytes of the text as ids."""
 
-    def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.frombuffer(text.encode("utf-8"), dtype=np.uint8).astype(np.int32) for text in texts]
+    def encode(texts: Sequence[str]) -> list[bytes]:
+        return [text.encode("utf-8") for text in texts]
 
     return encode
 
@@ -57,10 +60,20 @@ def vocabulary(texts: DataFrame, size: int, column: str = "content") -> DataFram
     )
 
 
+# Largest vocabulary that is shipped to every worker.
+MAX_VOCABULARY = 1_000_000
+
+
+def _piece_ids(vocab: DataFrame) -> dict[str, int]:
+    rows = vocab.select("piece", "token_id").limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary may hold at most {MAX_VOCABULARY} pieces")
+    return {row["piece"]: row["token_id"] for row in rows}
+
+
 def word_tokenizer(vocab: DataFrame) -> Callable[[], Encoder]:
     """Tokenizer factory over a vocabulary of fixed size, shipped to the workers as a broadcast variable."""
-    ids = {row["piece"]: row["token_id"] for row in vocab.select("piece", "token_id").toLocalIterator()}
-    shared = vocab.sparkSession.sparkContext.broadcast(ids)
+    shared = vocab.sparkSession.sparkContext.broadcast(_piece_ids(vocab))
 
     def create() -> Encoder:
         import re
@@ -86,19 +99,40 @@ def word_tokenizer(vocab: DataFrame) -> Callable[[], Encoder]:
     return create
 
 
+def decode_words(ids: Column, vocab: DataFrame) -> Column:
+    """Text of word-tokenizer ids; end and padding ids are left out."""
+    shared = vocab.sparkSession.sparkContext.broadcast({i: piece.encode() for piece, i in _piece_ids(vocab).items()})
+
+    @F.pandas_udf(T.StringType())
+    def decode(rows: pd.Series) -> pd.Series:
+        spelled = {**shared.value, END_ID: b"", **{i: bytes([i]) for i in range(END_ID)}}
+        return rows.map(lambda row: b"".join([spelled[i] for i in row]).decode("utf-8", "ignore"))
+
+    return decode(ids)
+
+
+def token_preview(tokenized: DataFrame, vocab: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """A few rows for the eye: ids and the text they stand for."""
+    shown = sample_rows(tokenized, key, n, seed)
+    return shown.select(key, "input_ids", decode_words(F.col("input_ids"), vocab).alias("decoded"))
+
+
 def tokenize(df: DataFrame, create: Callable[[], Encoder], column: str = "content") -> DataFrame:
     """Replace ``column`` by ``input_ids``. The tokenizer is built once per task and fed Arrow batches."""
     others = [f for f in df.schema.fields if f.name != column]
     schema = T.StructType([*others, T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
     names = [f.name for f in others]
 
-    def encode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = create()
         for batch in batches:
-            encoded = list(encode(batch[column].tolist()))
-            yield batch[names].assign(input_ids=pd.Series(encoded, index=batch.index, dtype="object"))
+            rows = encode([text or "" for text in batch.column(column).to_pylist()])
+            ends = np.cumsum([0, *map(len, rows)])
+            flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=ends[-1])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, "input_ids"])
 
-    return df.mapInPandas(encode_batches, schema)
+    return df.mapInArrow(encode_batches, schema)
 
 
 def pad_truncate(ids: Column, length: int, pad: int = END_ID, truncation: bool = True) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repoweave.sources.tables import spread_rows
+
 CODE_FILES = """
 select d.source as repo_name,
        concat('m', d.idx, '.py') as rel_path,
@@ -69,8 +71,13 @@ from pages
 TABLES = ("documents", "pages", "part", "benchmark", "labels", "conversations")
 
 
+# Tables with long texts: their rows are worth dealing out before parsing.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_rows(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

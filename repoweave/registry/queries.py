@@ -492,6 +492,13 @@ def distinct_tokens(spark, sf):
     return stats.distinct_tokens(_word_ids(spark, sf))
 
 
+def token_preview(spark, sf):
+    texts = _texts(spark, sf)
+    vocab = tokens.vocabulary(texts, VOCAB)
+    shown = tokens.token_preview(tokens.tokenize(texts, tokens.word_tokenizer(vocab)), vocab, "doc_id", SAMPLE, SEED)
+    return shown.select("doc_id", _ids_as_text("input_ids").alias("ids"), "decoded")
+
+
 def stored_tokens(spark, sf):
     path = _folder(spark)
     write_tokens(_word_ids(spark, sf), path, ["doc_id"])
@@ -512,7 +519,7 @@ ALL = [
     package_links, rejects, archive_name,
     archive_members, jsonl_round_trip,
     vocabulary, tokenize_words, tokenize_bytes, training_rows, token_offsets, flatten_tokens, token_stats,
-    distinct_tokens, stored_tokens,
+    distinct_tokens, token_preview, stored_tokens,
 ]
 
 QUERIES: dict[str, Query] = {

@@ -15,6 +15,16 @@ SEARCH_PAGE = (
 )
 
 
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by ``key`` when they lie in fewer files than the cluster has cores.
+
+    A Parquet row group is read by one task, so work on a few large files would leave most cores idle. Inputs
+    with enough files pass through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def read_corpus(spark: SparkSession, path: str, multiline: bool | None = None, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
     """A finished corpus, as JSON Lines or as JSON arrays. Lines are read in splits; an array has to be parsed by one
     task per file. Unless told, the first character decides."""
