@@ -48,8 +48,12 @@ def records_of(files: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def _key(repo_ord: Column, rank: Column, tie: Column) -> Column:
-    return F.struct(repo_ord.cast("long").alias("repo"), rank.cast("long").alias("rank"), tie.alias("tie"))
+# Sort columns of a corpus: place of the repository, then of the file in it.
+CORPUS_ORDER = ["order_group", "order_key"]
+
+
+def _key(rank: Column, tie: Column) -> Column:
+    return F.struct(rank.cast("long").alias("rank"), tie.alias("tie"))
 
 
 def corpus(
@@ -63,11 +67,11 @@ def corpus(
     local_edges: int = LOCAL_EDGES,
     graph: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Records ``repo_ord, repo_name, rel_path, file_path, language, content, fallback_reason, order_key``.
+    """Records ``repo_ord, repo_name, rel_path, file_path, language, content, fallback_reason`` and sort columns.
 
     ``files`` has ``repo_ord, repo_name, rel_path, file_path, content``, one row per file, and optionally
-    ``selected``; files that are not selected take part in the import graph only. ``order_key`` sorts the corpus:
-    setting 1 shuffles everything, setting 2 shuffles within each repository, setting 3 puts imported files before
+    ``selected``; files that are not selected take part in the import graph only. ``order_group, order_key`` sort the
+    corpus: setting 1 shuffles everything, setting 2 shuffles within each repository, setting 3 puts imported files before
     their importers. ``order="walk"`` leaves setting 3 in directory order. With a budget, repositories above it are
     shuffled instead and say why. ``graph`` is a stored ``(nodes, edges)`` pair to use instead of building one.
     """
@@ -81,20 +85,20 @@ def corpus(
     zero = F.lit(0)
 
     def shaped(df: DataFrame, reason: Column, key: Column) -> DataFrame:
-        keyed = df.withColumns({"fallback_reason": reason, "order_key": key})
+        group = zero if setting == GLOBAL_SHUFFLE else F.col("repo_ord")
+        keyed = df.withColumns({"fallback_reason": reason, "order_group": group.cast("long"), "order_key": key})
         return records_of(keyed, seed).select(
-            "repo_ord", "repo_name", "rel_path", "file_path", "language", "content", "fallback_reason", "order_key"
+            "repo_ord", "repo_name", "rel_path", "file_path", "language", "content", "fallback_reason", *CORPUS_ORDER
         )
 
-    if setting == GLOBAL_SHUFFLE:
-        return shaped(wanted, none, _key(zero, zero, F.concat_ws(":", draw, "file_path")))
-    if setting == IN_REPO_SHUFFLE:
-        return shaped(wanted, none, _key(F.col("repo_ord"), zero, F.concat_ws(":", draw, "file_path")))
+    shuffled = _key(zero, F.concat_ws(":", draw, "file_path"))
+    if setting in (GLOBAL_SHUFFLE, IN_REPO_SHUFFLE):
+        return shaped(wanted, none, shuffled)
     if order == "walk":
         walk = walk_key(F.col("rel_path"))
         # Joined with the smallest character, folder parts compare as the array of parts does.
         parts = F.concat_ws("\x01", F.array_join(walk["folder"], "\x01"), F.lit(""), walk["name"])
-        return shaped(wanted, none, _key(F.col("repo_ord"), zero, parts))
+        return shaped(wanted, none, _key(zero, parts))
 
     paths = files.select("repo_name", "rel_path")
     nodes, edges = graph if graph else (graph_nodes(paths, languages), dependency_edges(files, languages))
@@ -105,13 +109,13 @@ def corpus(
         over = shared_checkpoint(over_budget(nodes, edges, max_nodes, max_edges))
         within = salted_join(edges, over, ["repo_name"], ["src"], how="left_anti")
         levels = shared_checkpoint(topo_levels(nodes, within, local_edges))
-        levels = salted_join(levels, over, ["repo_name"], ["rel_path"], how="left")
+        # A repository over budget is shuffled whole, files outside its graph included.
+        leveled = paths.join(levels, ["repo_name", "rel_path"], "left")
+        levels = salted_join(leveled, over, ["repo_name"], ["rel_path"], how="left")
     # Names only up to here: the text is joined once, on a key that is unique per file.
     placed = wanted.join(levels, ["repo_name", "rel_path"], "left")
     reason = F.col("fallback_reason")
-    key = F.when(reason.isNotNull(), _key(F.col("repo_ord"), zero, F.concat_ws(":", draw, "file_path"))).otherwise(
-        _key(F.col("repo_ord"), dependency_rank(F.col("level")), F.col("rel_path"))
-    )
+    key = F.when(reason.isNotNull(), shuffled).otherwise(_key(dependency_rank(F.col("level")), F.col("rel_path")))
     return shaped(placed, reason, key)
 
 
@@ -122,5 +126,5 @@ def with_positions(records: DataFrame, setting: int) -> DataFrame:
     """
     group = [] if setting == GLOBAL_SHUFFLE else ["repo_ord", "repo_name"]
     file = ["repo_ord", "repo_name", "file_path"]
-    numbered = number_rows(records.select(*file, "order_key"), ["order_key"], group_by=group).drop("order_key")
+    numbered = number_rows(records.select(*file, *CORPUS_ORDER), CORPUS_ORDER, group_by=group).drop(*CORPUS_ORDER)
     return records.join(numbered, file)

@@ -109,7 +109,7 @@ def repeat_entries(records: DataFrame, manifest: DataFrame, setting: int) -> Dat
     emitted = joined.withColumn("repo_ord", F.explode(F.coalesce("_entries", F.array("repo_ord")))).drop("_entries")
     if setting == GLOBAL_SHUFFLE:
         return emitted
-    return emitted.withColumn("order_key", F.col("order_key").withField("repo", F.col("repo_ord").cast("long")))
+    return emitted.withColumn("order_group", F.col("repo_ord").cast("long"))
 
 
 def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.functions.records import RECORD_SCHEMA, truncate_record
+from repoweave.plans.corpus import CORPUS_ORDER
 
 
 def write_corpus(
     records: DataFrame,
     path: str,
-    order_by: str | list[str] = "order_key",
+    order_by: Sequence[str] = CORPUS_ORDER,
     mode: str = "errorifexists",
     partitions: int | None = None,
 ) -> None:
@@ -19,9 +22,8 @@ def write_corpus(
 
     The range sort is the only shuffle of the text. An existing target is refused unless ``mode="overwrite"``.
     """
-    keys = [order_by] if isinstance(order_by, str) else order_by
-    ranged = records.repartitionByRange(partitions, *keys) if partitions else records.repartitionByRange(*keys)
-    write_jsonl(ranged.sortWithinPartitions(*keys).select(*RECORD_SCHEMA.fieldNames()), path, mode)
+    ranged = records.repartitionByRange(*filter(None, [partitions]), *order_by)
+    write_jsonl(ranged.sortWithinPartitions(*order_by).select(*RECORD_SCHEMA.fieldNames()), path, mode)
 
 
 def write_jsonl(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
