@@ -24,12 +24,14 @@ LOCAL_EDGES = 200_000
 EDGE = ["repo_name", "src", "dst"]
 
 
-def _split_by_size(edges: DataFrame, local_edges: int) -> tuple[DataFrame, DataFrame | None]:
-    """Edges of repositories up to the limit, and those above it (None when there are none).
+def _split_by_size(edges: DataFrame, n: int, local_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of repositories up to the limit, and those above it (None when there are none), of ``n`` edges in all.
 
     The list of large repositories is broadcast: each has more than ``local_edges`` edges, so there are at most
     edges/local_edges of them.
     """
+    if n <= local_edges:
+        return edges, None
     large, seen = shared_checkpoint(
         edges.groupBy("repo_name").count().filter(F.col("count") > local_edges).select("repo_name"),
         n=F.count(F.lit(1)),
@@ -236,8 +238,8 @@ def _levels_distributed(edges: DataFrame) -> DataFrame:
 
 
 def _run(edges: DataFrame, local, distributed, schema: str, local_edges: int) -> DataFrame:
-    edges = shared_checkpoint(drop_self_loops(edges).select(*EDGE))
-    small, large = _split_by_size(edges, local_edges)
+    edges, seen = shared_checkpoint(drop_self_loops(edges).select(*EDGE), n=F.count(F.lit(1)))
+    small, large = _split_by_size(edges, seen["n"], local_edges)
     solved = small.groupBy("repo_name").applyInPandas(local, schema)
     return solved if large is None else solved.unionByName(distributed(large))
 

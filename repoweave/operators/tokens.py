@@ -14,12 +14,13 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repoweave.operators.numbering import number_rows, running_total
+from repoweave.operators.numbering import running_total
 from repoweave.operators.ordering import sample_rows
+from repoweave.session import shared_checkpoint
 
 # Ids 0-255 are bytes; the end token doubles as padding.
 END_ID = 256
@@ -55,9 +56,8 @@ def vocabulary(texts: DataFrame, size: int, column: str = "content") -> DataFram
         F.count(F.lit(1)).alias("n")
     )
     kept = counts.orderBy(F.col("n").desc(), "piece").limit(size)
-    return number_rows(kept, ["-n", "piece"], name="token_id").withColumn(
-        "token_id", (F.col("token_id") + FIRST_WORD_ID).cast("int")
-    )
+    by_rank = Window.orderBy(F.col("n").desc(), "piece")  # over at most ``size`` rows
+    return kept.withColumn("token_id", (F.row_number().over(by_rank) + (FIRST_WORD_ID - 1)).cast("int"))
 
 
 # Largest vocabulary that is shipped to every worker.
@@ -164,9 +164,10 @@ def training_rows(tokenized: DataFrame, length: int, pad: int = END_ID) -> DataF
 
 
 def token_offsets(tokenized: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Where each row starts in the flat stream: the order columns plus ``n_tokens, offset``. Only lengths are sorted."""
+    """Where each row starts in the flat stream: the order columns plus ``n_tokens, offset``. Only lengths are sorted;
+    they are checkpointed first, since the sort would tokenize a second time to sample its input."""
     names = [c.lstrip("-") for c in order_by]
-    lengths = tokenized.select(*names, F.size("input_ids").cast("long").alias("n_tokens"))
+    lengths = shared_checkpoint(tokenized.select(*names, F.size("input_ids").cast("long").alias("n_tokens")))
     return running_total(lengths, F.col("n_tokens"), order_by, name="offset")
 
 

@@ -17,7 +17,7 @@ from repoweave.operators import selection as sel
 from repoweave.operators import stats, tokens
 from repoweave.plans import corpus as plan
 from repoweave.registry import fixtures as fx
-from repoweave.session import _require_checkpoint_dir
+from repoweave.session import checkpoint_folder, shared_checkpoint
 from repoweave.sinks.corpus import to_jsonl, write_corpus
 from repoweave.sinks.graph import load_graph, save_graph
 from repoweave.sinks.tokens import write_tokens
@@ -73,8 +73,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder for a write-and-read query, where the cluster keeps its checkpoints."""
-    _require_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4()}"
 
 
 def _ids_as_text(ids: str):
@@ -222,6 +221,7 @@ def topo_levels_large_repos(spark, sf):
 
 def graph_stats(spark, sf):
     nodes, edges = _graph(spark, sf)
+    edges = shared_checkpoint(edges)
     return stats.graph_stats(nodes, edges, gr.components(edges), gr.break_cycles(edges))
 
 

@@ -27,10 +27,12 @@ def build_session(app_name: str = "repoweave", master: str | None = None, conf:
     return builder.getOrCreate()
 
 
-def _require_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables: the cluster's setting, or a scratch folder of this
+    process in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
-        return
+        return context.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
@@ -38,6 +40,7 @@ def _require_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="repoweave-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return context.getCheckpointDir()
 
 
 def shared_checkpoint(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame, dict]:
@@ -46,7 +49,7 @@ def shared_checkpoint(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame,
     Surviving executors re-read the files, so a lost executor never replays earlier rounds. Named aggregate
     expressions are evaluated while the rows are written and come back as a dict, which saves a second job.
     """
-    _require_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     if not metrics:
         return df.checkpoint(eager=True)
     seen = Observation()
