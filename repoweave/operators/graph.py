@@ -124,51 +124,59 @@ def _trim(edges: DataFrame, n: int, hot: DataFrame) -> tuple[DataFrame, int]:
     """Drop edges that start at a node nobody imports or end at one that imports nothing; neither is on a cycle.
     Stops when a round removes less than a tenth, since labels cope with the rest."""
     while n:
-        targets = edges.select("repo_name", F.col("dst").alias("src")).distinct()
-        sources = edges.select("repo_name", F.col("src").alias("dst")).distinct()
-        kept = edges.join(targets, ["repo_name", "src"], "left_semi")
-        kept = salted_join(kept, sources, ["repo_name", "dst"], ["src"], "left_semi", hot=hot, rows=n).select(*EDGE)
+        ends = edges.select("repo_name", F.col("src").alias("node"), F.lit(1).alias("is_src"), F.lit(0).alias("is_dst"))
+        ends = ends.union(edges.select("repo_name", "dst", F.lit(0), F.lit(1)))
+        passed = (
+            ends.groupBy("repo_name", "node")
+            .agg(F.max("is_src").alias("is_src"), F.max("is_dst").alias("is_dst"))
+            .filter("is_src = 1 and is_dst = 1")
+        )
+        kept = edges.join(passed.select("repo_name", F.col("node").alias("src")), ["repo_name", "src"], "left_semi")
+        as_dst = passed.select("repo_name", F.col("node").alias("dst"))
+        kept = salted_join(kept, as_dst, ["repo_name", "dst"], ["src"], "left_semi", hot=hot, rows=n).select(*EDGE)
+        before = n
         edges, seen = shared_checkpoint(kept, n=F.count(F.lit(1)))
-        n, before = seen["n"], n
+        n = seen["n"]
         if n > 0.9 * before:
             break
     return edges, n
 
 
+def _hop(labels: DataFrame, edges: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
+    """Pass the labels of nodes that changed one edge further, in both directions."""
+    nothing = F.lit(None).cast("string")
+    moved = labels.filter("moved")
+    as_src = moved.select("repo_name", F.col("node").alias("src"), "above")
+    as_dst = moved.select("repo_name", F.col("node").alias("dst"), "below")
+    down = edges.join(as_src, ["repo_name", "src"]).select(
+        "repo_name", F.col("dst").alias("node"), "above", nothing.alias("below")
+    )
+    up = salted_join(edges, as_dst, ["repo_name", "dst"], ["src"], hot=hot, rows=rows).select(
+        "repo_name", F.col("src").alias("node"), nothing.alias("above"), "below"
+    )
+    own = labels.select(
+        "repo_name", "node", "above", "below", F.col("above").alias("old_above"), F.col("below").alias("old_below")
+    )
+    merged = (
+        own.unionByName(down, allowMissingColumns=True)
+        .unionByName(up, allowMissingColumns=True)
+        .groupBy("repo_name", "node")
+        .agg(*[F.min(c).alias(c) for c in ("above", "below")], *[F.max(c).alias(c) for c in ("old_above", "old_below")])
+    )
+    changed = (F.col("above") < F.col("old_above")) | (F.col("below") < F.col("old_below"))
+    return merged.select("repo_name", "node", "above", "below", changed.alias("moved"))
+
+
 def _spread_labels(edges: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
     """Per node the smallest node that reaches it (``above``) and the smallest it reaches (``below``)."""
     ends = edges.select("repo_name", F.col("src").alias("node")).union(edges.select("repo_name", "dst")).distinct()
-    labels = ends.select("repo_name", "node", F.col("node").alias("above"), F.col("node").alias("below"))
-    labels = shared_checkpoint(labels.withColumn("moved", F.lit(True)))
-    nothing = F.lit(None).cast("string")
-    while True:
-        moved = labels.filter("moved")
-        as_src = moved.select("repo_name", F.col("node").alias("src"), "above")
-        as_dst = moved.select("repo_name", F.col("node").alias("dst"), "below")
-        down = edges.join(as_src, ["repo_name", "src"]).select(
-            "repo_name", F.col("dst").alias("node"), "above", nothing.alias("below")
-        )
-        up = salted_join(edges, as_dst, ["repo_name", "dst"], ["src"], hot=hot, rows=rows).select(
-            "repo_name", F.col("src").alias("node"), nothing.alias("above"), "below"
-        )
-        own = labels.select(
-            "repo_name", "node", "above", "below", F.col("above").alias("old_above"), F.col("below").alias("old_below")
-        )
-        merged = (
-            own.unionByName(down, allowMissingColumns=True)
-            .unionByName(up, allowMissingColumns=True)
-            .groupBy("repo_name", "node")
-            .agg(
-                F.min("above").alias("above"),
-                F.min("below").alias("below"),
-                F.max("old_above").alias("old_above"),
-                F.max("old_below").alias("old_below"),
-            )
-        )
-        changed = (F.col("above") < F.col("old_above")) | (F.col("below") < F.col("old_below"))
-        labels, seen = shared_checkpoint(
-            merged.select("repo_name", "node", "above", "below", changed.alias("moved")), n=F.count_if("moved")
+    labels = shared_checkpoint(
+        ends.select(
+            "repo_name", "node", F.col("node").alias("above"), F.col("node").alias("below"), F.lit(True).alias("moved")
         )
+    )
+    while True:
+        labels, seen = shared_checkpoint(_hop(labels, edges, hot, rows), n=F.count_if("moved"))
         if seen["n"] == 0:
             return labels
 
