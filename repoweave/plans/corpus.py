@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from repoweave.operators.numbering import number_rows
 from repoweave.operators.ordering import dependency_rank, walk_key
 from repoweave.operators.skew import salted_join
 from repoweave.session import shared_checkpoint
+from repoweave.sinks.graph import load_graph, save_graph
 
 GLOBAL_SHUFFLE = 1
 IN_REPO_SHUFFLE = 2
@@ -103,7 +105,7 @@ def corpus(
     paths = files.select("repo_name", "rel_path")
     nodes, edges = graph if graph else (graph_nodes(paths, languages), dependency_edges(files, languages))
     if max_nodes is None and max_edges is None:
-        levels = topo_levels(nodes, edges, local_edges).withColumn("fallback_reason", none)
+        levels = shared_checkpoint(topo_levels(nodes, edges, local_edges)).withColumn("fallback_reason", none)
     else:
         edges = shared_checkpoint(edges)
         over = shared_checkpoint(over_budget(nodes, edges, max_nodes, max_edges))
@@ -119,6 +121,24 @@ def corpus(
     return shaped(placed, reason, key)
 
 
+def stored_or_built_graph(
+    files: DataFrame, path: str, languages: Sequence[str] = DEFAULT_LANGUAGES
+) -> tuple[DataFrame, DataFrame]:
+    """Import graphs from a store, built and added there for repositories it does not have yet.
+
+    A stored graph is taken as it is, even when files have changed since.
+    """
+    spark = files.sparkSession
+    try:
+        known = load_graph(spark, path)[0].select("repo_name").distinct()
+        files = files.join(known, "repo_name", "left_anti")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    save_graph(graph_nodes(files.select("repo_name", "rel_path"), languages), dependency_edges(files, languages), path)
+    return load_graph(spark, path)
+
+
 def with_positions(records: DataFrame, setting: int) -> DataFrame:
     """Add the dense position ``pos``: over the whole corpus for setting 1, else within each repository.
 

@@ -15,8 +15,8 @@ from repoweave.operators.selection import (
     top_repos,
 )
 from repoweave.operators.skew import salted_join
-from repoweave.plans.corpus import GLOBAL_SHUFFLE, corpus
-from repoweave.session import shared_checkpoint
+from repoweave.plans.corpus import DEPENDENCY_ORDER, GLOBAL_SHUFFLE, corpus, stored_or_built_graph
+from repoweave.session import shared_checkpoint, shared_table
 from repoweave.sinks.corpus import write_corpus
 from repoweave.sources.presets import preset_manifest
 from repoweave.sources.tables import read_corpus, read_package_ranking, read_search_pages
@@ -45,6 +45,7 @@ class CorpusConfig:
     dedupe: bool = False
     max_nodes: int | None = None
     max_edges: int | None = None
+    graph_store: str | None = None
     search_pages: str | None = None
     package_ranking: str | None = None
     package_pages: str | None = None
@@ -118,12 +119,13 @@ def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
         return read_corpus(spark, config.data_file)
     manifest = select_repos(spark, config)
     mode = "overwrite" if config.overwrite else "errorifexists"
+    # The tree is read once. Later steps read the staged table: names alone, or the text in large splits.
+    files = shared_table(scan_repos(clean_manifest(manifest, dedupe=True)))
+    graph = None
+    if config.setting == DEPENDENCY_ORDER and config.graph_store:
+        graph = stored_or_built_graph(files, config.graph_store)
     records = corpus(
-        scan_repos(clean_manifest(manifest, dedupe=True)),
-        config.setting,
-        seed=config.seed,
-        max_nodes=config.max_nodes,
-        max_edges=config.max_edges,
+        files, config.setting, seed=config.seed, max_nodes=config.max_nodes, max_edges=config.max_edges, graph=graph
     )
     emitted = records if config.dedupe else repeat_entries(records, manifest, config.setting)
     for target in filter(None, dict.fromkeys([config.data_file, config.output_file])):

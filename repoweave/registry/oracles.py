@@ -195,8 +195,8 @@ ORACLES: dict[str, str] = {
             - (select count(*) from acyclic a where a.repo_name = n.repo_name) as n_cycle_edges
         from (select repo_name, count(*) as n_nodes from code_files group by repo_name) n""",
     "stored_graph": f"""with {CODE}, {PY_EDGES}
-        select repo_name, rel_path as src, cast(null as varchar) as dst from code_files where repo_name in ('src3', 'src11')
-        union all select repo_name, src, dst from py_edges where repo_name in ('src3', 'src11')""",
+        select repo_name, rel_path as src, cast(null as varchar) as dst from code_files
+        union all select repo_name, src, dst from py_edges""",
     "incremental_imports": f"""with {CODE}, found as ({_py_imports("code_files")})
         select c.repo_name, c.rel_path, sha256(c.file_path) as path_key,
           case when substr(md5(c.file_path), 1, 1) <= '7' then 'cached' else

@@ -19,7 +19,7 @@ from repoweave.plans import corpus as plan
 from repoweave.registry import fixtures as fx
 from repoweave.session import checkpoint_folder, shared_checkpoint
 from repoweave.sinks.corpus import to_jsonl, write_corpus
-from repoweave.sinks.graph import load_graph, save_graph
+from repoweave.sinks.graph import save_graph
 from repoweave.sinks.tokens import write_tokens
 from repoweave.sources.archives import archive_files
 from repoweave.sources.tables import items_per_page, package_rows, read_corpus, search_items
@@ -226,10 +226,10 @@ def graph_stats(spark, sf):
 
 
 def stored_graph(spark, sf):
-    """Save all graphs, load two repositories back."""
+    """Save the Python graphs, then ask for both languages: known repositories come from the store as they are."""
     path = _folder(spark)
     save_graph(*_graph(spark, sf), path)
-    nodes, edges = load_graph(spark, path, ["src3", "src11"])
+    nodes, edges = plan.stored_or_built_graph(_both(spark, sf), path)
     return nodes.select("repo_name", F.col("rel_path").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(
         edges
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -55,3 +56,14 @@ def shared_checkpoint(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame,
     seen = Observation()
     stored = df.observe(seen, *[expr.alias(name) for name, expr in metrics.items()]).checkpoint(eager=True)
     return stored, seen.get
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it from there.
+
+    For wide rows that later steps read in parts: unlike a checkpoint, the table still prunes columns.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -14,12 +14,11 @@ def _bucket(repo_name: Column) -> Column:
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "append") -> None:
-    """Store nodes and edges. Rows keep the partitions they have, so a bucket with a large repository
-    is written by many tasks."""
+    """Store nodes and edges. Rows are rebalanced by bucket: few files for small buckets, and a bucket with a large
+    repository is split among tasks."""
     for name, part in (("nodes", nodes), ("edges", edges)):
-        part.withColumn("bucket", _bucket(F.col("repo_name"))).write.mode(mode).partitionBy("bucket").parquet(
-            f"{path}/{name}"
-        )
+        filed = part.withColumn("bucket", _bucket(F.col("repo_name"))).hint("rebalance", "bucket")
+        filed.write.mode(mode).partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def load_graph(spark: SparkSession, path: str, repos: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import records as rec
 from repoweave.operators.ordering import shuffle_in_repo
-from repoweave.plans.corpus import corpus, with_positions
+from repoweave.plans.corpus import corpus, stored_or_built_graph, with_positions
 from repoweave.plans.prepare import CorpusConfig, prepare
 from repoweave.sinks.corpus import to_jsonl, write_corpus
 from repoweave.sinks.graph import load_graph, save_graph
@@ -148,6 +148,19 @@ def test_stored_graph_is_used(spark, files, tmp_path):
     assert got[:4] == [("z", "main.py"), ("z", "pkg/base.py"), ("z", "util.py"), ("z", "notes.md")]
 
 
+def test_graph_store_fills_up(spark, files, tmp_path):
+    path = str(tmp_path / "store")
+    one = files.filter("repo_name = 'a'")
+    nodes, edges = stored_or_built_graph(one, path)
+    assert nodes.count() == 3 and edges.count() == 3
+    # A known repository is not parsed again; the other one is added.
+    changed = files.withColumn("content", F.when(F.col("repo_name") == "a", "").otherwise(F.col("content")))
+    nodes, edges = stored_or_built_graph(changed, path)
+    assert sorted(r.repo_name for r in edges.collect()) == ["a"] * 3 + ["z"] * 3
+    assert nodes.count() == 7
+    assert stored_or_built_graph(changed, path)[1].count() == 6
+
+
 @pytest.fixture
 def checkout(tmp_path):
     for path, text in {
@@ -192,7 +205,10 @@ def test_ranked_runs(spark, checkout):
     pages.mkdir()
     (pages / "1.json").write_text(json.dumps({"items": [{**item, "name": "one", "stars": 5}, {**item, "name": "two", "stars": 9}]}))
     (pages / "2.json").write_text(json.dumps({"items": [{**item, "name": "far", "stars": 1}]}))
-    cfg = config(checkout, setting=3, ignore_preset_repos=True, search_pages=str(pages), top_k=2)
+    cfg = config(
+        checkout, setting=3, ignore_preset_repos=True, search_pages=str(pages), top_k=2,
+        graph_store=str(checkout / "graphs"),
+    )
     prepare(spark, cfg)
     names = [os.path.relpath(r["file_path"], checkout / "repos") for r in lines_of(cfg.data_file)]
     # Nobody imports c and b, so they come last, by path.
