@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repoweave.functions.imports import DEFAULT_LANGUAGES, Language, language
 from repoweave.functions.text import file_name, folder_of
-from repoweave.operators.skew import salted_join
+from repoweave.operators.joins import attach, salted_join
 from repoweave.session import shared_checkpoint
 
 
@@ -161,6 +161,6 @@ def incremental_imports(
         .join(known, "path_key")
         .withColumn("from_cache", F.lit(True))
     )
-    misses = keyed.join(known.select("path_key"), "path_key", "left_anti")
+    misses = attach(keyed, known.select("path_key"), ["path_key"], "left_anti")
     parsed = import_sets(misses, languages, keep=["path_key"]).withColumn("from_cache", F.lit(False))
     return hits.unionByName(parsed)

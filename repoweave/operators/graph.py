@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.operators.dependencies import drop_self_loops
-from repoweave.operators.skew import hot_keys, salted_join
+from repoweave.operators.joins import hot_keys, salted_join
 from repoweave.session import shared_checkpoint
 
 # Largest repository a single task may hold: about 50 MB of path pairs.

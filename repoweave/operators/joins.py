@@ -1,4 +1,4 @@
-"""Joins whose left side may hold a very hot key."""
+"""Joins shaped for wide rows and for hot keys."""
 
 from __future__ import annotations
 
@@ -49,3 +49,11 @@ def salted_join(
         .drop("_slices")
     )
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def attach(wide: DataFrame, narrow: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a few columns to rows that carry text or tokens, on a key that is unique in ``narrow``.
+
+    The hash join builds on the narrow side, so wide rows are shuffled but not sorted.
+    """
+    return wide.join(narrow.hint("shuffle_hash"), keys, how)

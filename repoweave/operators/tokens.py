@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repoweave.operators.joins import attach
 from repoweave.operators.numbering import running_total
 from repoweave.operators.ordering import sample_rows
 from repoweave.session import shared_checkpoint
@@ -174,7 +175,7 @@ def token_offsets(tokenized: DataFrame, order_by: Sequence[str]) -> DataFrame:
 def flatten_tokens(tokenized: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """The stream itself: ``(position, token)``, one row per token."""
     names = [c.lstrip("-") for c in order_by]
-    placed = tokenized.select(*names, "input_ids").join(token_offsets(tokenized, order_by), names)
+    placed = attach(tokenized.select(*names, "input_ids"), token_offsets(tokenized, order_by), names)
     return placed.select("offset", F.posexplode("input_ids").alias("_at", "token")).select(
         (F.col("offset") + F.col("_at")).alias("position"), "token"
     )

@@ -15,7 +15,7 @@ from repoweave.operators.dependencies import dependency_edges, graph_nodes
 from repoweave.operators.graph import LOCAL_EDGES, topo_levels
 from repoweave.operators.numbering import number_rows
 from repoweave.operators.ordering import dependency_rank, walk_key
-from repoweave.operators.skew import salted_join
+from repoweave.operators.joins import attach, salted_join
 from repoweave.session import shared_checkpoint
 from repoweave.sinks.graph import load_graph, save_graph
 
@@ -50,6 +50,9 @@ def records_of(files: DataFrame, seed: int) -> DataFrame:
     )
 
 
+# Largest number of stored repositories whose names are broadcast.
+BROADCAST_REPOS = 100_000
+
 # Sort columns of a corpus: place of the repository, then of the file in it.
 CORPUS_ORDER = ["order_group", "order_key"]
 
@@ -115,7 +118,7 @@ def corpus(
         leveled = paths.join(levels, ["repo_name", "rel_path"], "left")
         levels = salted_join(leveled, over, ["repo_name"], ["rel_path"], how="left")
     # Names only up to here: the text is joined once, on a key that is unique per file.
-    placed = wanted.join(levels, ["repo_name", "rel_path"], "left")
+    placed = attach(wanted, levels, ["repo_name", "rel_path"], "left")
     reason = F.col("fallback_reason")
     key = F.when(reason.isNotNull(), shuffled).otherwise(_key(dependency_rank(F.col("level")), F.col("rel_path")))
     return shaped(placed, reason, key)
@@ -130,8 +133,14 @@ def stored_or_built_graph(
     """
     spark = files.sparkSession
     try:
-        known = load_graph(spark, path)[0].select("repo_name").distinct()
-        files = files.join(known, "repo_name", "left_anti")
+        stored = load_graph(spark, path)[0].select("repo_name").distinct()
+        known, seen = shared_checkpoint(stored, n=F.count(F.lit(1)))
+        if seen["n"] <= BROADCAST_REPOS:
+            files = files.join(F.broadcast(known), "repo_name", "left_anti")
+        else:
+            paths = files.select("repo_name", "rel_path")
+            fresh = salted_join(paths, known, ["repo_name"], ["rel_path"], how="left_anti")
+            files = attach(files, fresh, ["repo_name", "rel_path"], "left_semi")
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -147,4 +156,4 @@ def with_positions(records: DataFrame, setting: int) -> DataFrame:
     group = [] if setting == GLOBAL_SHUFFLE else ["repo_ord", "repo_name"]
     file = ["repo_ord", "repo_name", "file_path"]
     numbered = number_rows(records.select(*file, *CORPUS_ORDER), CORPUS_ORDER, group_by=group).drop(*CORPUS_ORDER)
-    return records.join(numbered, file)
+    return attach(records, numbered, file)

@@ -14,7 +14,7 @@ from repoweave.operators.selection import (
     top_packages,
     top_repos,
 )
-from repoweave.operators.skew import salted_join
+from repoweave.operators.joins import salted_join
 from repoweave.plans.corpus import DEPENDENCY_ORDER, GLOBAL_SHUFFLE, corpus, stored_or_built_graph
 from repoweave.session import shared_checkpoint, shared_table
 from repoweave.sinks.corpus import write_corpus

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import records as rec
 from repoweave.operators.ordering import shuffle_in_repo
+from repoweave.plans import corpus as plan
 from repoweave.plans.corpus import corpus, stored_or_built_graph, with_positions
 from repoweave.plans.prepare import CorpusConfig, prepare
 from repoweave.sinks.corpus import to_jsonl, write_corpus
@@ -148,7 +149,9 @@ def test_stored_graph_is_used(spark, files, tmp_path):
     assert got[:4] == [("z", "main.py"), ("z", "pkg/base.py"), ("z", "util.py"), ("z", "notes.md")]
 
 
-def test_graph_store_fills_up(spark, files, tmp_path):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_graph_store_fills_up(spark, files, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(plan, "BROADCAST_REPOS", broadcast)
     path = str(tmp_path / "store")
     one = files.filter("repo_name = 'a'")
     nodes, edges = stored_or_built_graph(one, path)

@@ -68,11 +68,11 @@ def test_against_brute_force(spark, case, local_edges):
 
 def test_hot_target_is_spread(spark, case, monkeypatch):
     """With a tiny limit every popular file counts as hot; the rows stay the same."""
-    from repoweave.operators import skew
+    from repoweave.operators import joins
 
     edges, kept, *_ = case
-    monkeypatch.setattr(skew.hot_keys, "__defaults__", (1,))
-    monkeypatch.setattr(skew.salted_join, "__defaults__", ("inner", 1, None, None))
+    monkeypatch.setattr(joins.hot_keys, "__defaults__", (1,))
+    monkeypatch.setattr(joins.salted_join, "__defaults__", ("inner", 1, None, None))
     assert sorted(tuple(r) for r in graph.break_cycles(edges, 0).collect()) == sorted(kept)
 
 

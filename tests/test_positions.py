@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoweave.operators.numbering import number_rows, running_total
-from repoweave.operators.skew import hot_keys, salted_join
+from repoweave.operators.joins import hot_keys, salted_join
 
 
 def rows(n=3000):
