@@ -44,6 +44,20 @@ def byte_tokenizer() -> Encoder:
     return encode
 
 
+_TOKENIZERS: dict[str, Callable[[], Encoder]] = {"bytes": byte_tokenizer}
+
+
+def register_tokenizer(name: str, create: Callable[[], Encoder]) -> None:
+    """Make a tokenizer factory available to configurations by name."""
+    _TOKENIZERS[name] = create
+
+
+def tokenizer(name: str) -> Callable[[], Encoder]:
+    if name not in _TOKENIZERS:
+        raise ValueError(f"unknown tokenizer {name!r}; registered: {sorted(_TOKENIZERS)}")
+    return _TOKENIZERS[name]
+
+
 def word_pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 

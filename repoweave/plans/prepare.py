@@ -15,9 +15,11 @@ from repoweave.operators.selection import (
     top_repos,
 )
 from repoweave.operators.joins import salted_join
-from repoweave.plans.corpus import DEPENDENCY_ORDER, GLOBAL_SHUFFLE, corpus, stored_or_built_graph
+from repoweave.operators.tokens import pad_truncate, tokenize, tokenizer
+from repoweave.plans.corpus import CORPUS_ORDER, DEPENDENCY_ORDER, GLOBAL_SHUFFLE, corpus, stored_or_built_graph
 from repoweave.session import shared_checkpoint, shared_table
 from repoweave.sinks.corpus import write_corpus
+from repoweave.sinks.tokens import write_tokens
 from repoweave.sources.presets import preset_manifest
 from repoweave.sources.tables import read_corpus, read_package_ranking, read_search_pages
 from repoweave.sources.tree import scan_repos
@@ -50,6 +52,11 @@ class CorpusConfig:
     package_ranking: str | None = None
     package_pages: str | None = None
     overwrite: bool = False
+    tokenize: bool = False
+    tokenizer: str = "bytes"
+    max_length: int = 100_000
+    truncation: bool = True
+    output_tokenized: str | None = None
 
     @classmethod
     def from_dict(cls, values: dict) -> CorpusConfig:
@@ -113,6 +120,14 @@ def repeat_entries(records: DataFrame, manifest: DataFrame, setting: int) -> Dat
     return emitted.withColumn("order_group", F.col("repo_ord").cast("long"))
 
 
+def write_tokenized(records: DataFrame, config: CorpusConfig, mode: str) -> None:
+    """Token rows of the configured length, in corpus order."""
+    place = [*CORPUS_ORDER, "repo_ord", "file_path"]
+    ids = tokenize(records.select(*place, "content"), tokenizer(config.tokenizer))
+    padded = pad_truncate(F.col("input_ids"), config.max_length, truncation=config.truncation)
+    write_tokens(ids.withColumn("input_ids", padded), config.output_tokenized, place, mode)
+
+
 def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
     """Build the corpus, write it to ``data_file`` (and ``output_file``), and return it as read back."""
     if config.use_cache:
@@ -130,4 +145,6 @@ def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
     emitted = records if config.dedupe else repeat_entries(records, manifest, config.setting)
     for target in filter(None, dict.fromkeys([config.data_file, config.output_file])):
         write_corpus(emitted, target, mode=mode)
+    if config.tokenize:
+        write_tokenized(emitted, config, mode)
     return read_corpus(spark, config.data_file)

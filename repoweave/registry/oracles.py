@@ -259,6 +259,8 @@ ORACLES: dict[str, str] = {
         from packages p left join pages g on p.project = concat('pkg', g.page_id)
         where g.page_id is null or g.page_id % 5 = 0""",
     "archive_name": "select page_id, concat('v', page_id, '.1') as archive from pages",
+    "scanned_repos": f"""with {BOTH} select cast(substr(repo_name, 4) as integer) as repo_ord, repo_name, rel_path,
+        rel_path like '%.py' as selected, content, cast(null as varchar) as read_error from both_files""",
     "archive_members": """select concat('p', doc_id) as repo_name, 'src/main.py' as rel_path,
         concat('repos/p', doc_id, '/src/main.py') as file_path, text as content from documents""",
     "jsonl_round_trip": f"""with {CODE} select repo_name, file_path, 'py' as language, substr({_record()}, 1, {CUT}) as content

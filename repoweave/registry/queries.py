@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from repoweave.sinks.graph import save_graph
 from repoweave.sinks.tokens import write_tokens
 from repoweave.sources.archives import archive_files
 from repoweave.sources.tables import items_per_page, package_rows, read_corpus, search_items
+from repoweave.sources.tree import scan_repos
 from repoweave.sources.web import page_links
 
 SEED = 7
@@ -434,6 +437,39 @@ def _tar_gz(batches):
         )
 
 
+def _write_files(root: str):
+    """Write each row's text below ``root``; a retried task writes the same bytes again."""
+
+    def run(batches):
+        import os
+
+        for batch in batches:
+            for path, content in zip(batch["file_path"], batch["content"]):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8", newline="") as file:
+                    file.write(content)
+            yield batch[["file_path"]]
+
+    return run
+
+
+def scanned_repos(spark, sf):
+    """Write every file of the corpus into a tree, then scan the tree. Needs a mounted checkpoint folder."""
+    location = urlparse(_folder(spark))
+    if location.scheme not in ("", "file"):
+        raise ValueError("this query writes a file tree and needs spark.checkpoint.dir on a mounted file system")
+    files = _both(spark, sf)
+    files.select("file_path", "content").mapInPandas(_write_files(location.path), "file_path string").count()
+    manifest = files.select("repo_name").distinct().select(
+        F.substring("repo_name", 4, 10).cast("int").alias("repo_ord"),
+        "repo_name",
+        F.concat(F.lit(f"{location.path}/repos/"), "repo_name").alias("path"),
+        F.array(F.lit(".py")).alias("extensions"),
+    )
+    return scan_repos(manifest).select("repo_ord", "repo_name", "rel_path", "selected", "content", "read_error")
+
+
 def archive_members(spark, sf):
     archives = _texts(spark, sf).mapInPandas(_tar_gz, "repo_name string, archive string, content binary")
     return archive_files(archives)
@@ -517,7 +553,7 @@ ALL = [
     invalid_description, repo_candidates, top_repos, top_packages, selection_manifest, search_page_items,
     search_page_sizes, package_ranking_rows, manifest_as_written, manifest_deduped, missing_repos, first_link,
     package_links, rejects, archive_name,
-    archive_members, jsonl_round_trip,
+    scanned_repos, archive_members, jsonl_round_trip,
     vocabulary, tokenize_words, tokenize_bytes, training_rows, token_offsets, flatten_tokens, token_stats,
     distinct_tokens, token_preview, stored_tokens,
 ]

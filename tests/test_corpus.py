@@ -231,6 +231,34 @@ def test_ranked_runs(spark, checkout):
         prepare(spark, config(checkout, ignore_preset_repos=True, get_repos_from="elsewhere"))
 
 
+def test_tokenized_run(spark, checkout):
+    cfg = config(checkout, setting=3, tokenize=True, max_length=12, output_tokenized=str(checkout / "ids"))
+    prepare(spark, cfg)
+    texts = [r["content"].encode() for r in lines_of(cfg.data_file)]
+    rows = spark.read.parquet(cfg.output_tokenized).orderBy("offset").collect()
+    assert [r.offset for r in rows] == [0, 12, 24, 36]
+    assert [r.input_ids for r in rows] == [list(t[:12]) + [256] * (12 - len(t[:12])) for t in texts]
+    with pytest.raises(ValueError):
+        prepare(spark, config(checkout, overwrite=True, tokenize=True, tokenizer="other", output_tokenized="x"))
+
+
+def test_command_line(spark, checkout, monkeypatch):
+    import yaml
+
+    from repoweave import __main__ as cli
+
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    cfg = config(checkout, setting=2)
+    path = checkout / "c.yaml"
+    path.write_text(yaml.safe_dump({"repos": cfg.repos, "repos_dir": cfg.repos_dir, "data_file": cfg.data_file, "setting": 2}))
+    cli.main(["prepare", "--config", str(path)])
+    with pytest.raises(AnalysisException):
+        cli.main(["prepare", "--config", str(path)])
+    cli.main(["prepare", "--config", str(path), "-y"])
+    cli.main(["jsonl", cfg.data_file, str(checkout / "cut"), "--length", "5"])
+    assert {len(r["content"]) for r in lines_of(str(checkout / "cut"))} == {5}
+
+
 def test_config_from_yaml(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text('tokenizer: "gpt2"\nsetting: 3\ntop_k: 7\nrepos:\n  - a:\n      url: "u"\n      name: "a"\n      path: "a"\n      extensions: [".py"]\n')
