@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from repoweave.operators.joins import attach
 from repoweave.operators.numbering import running_total
 from repoweave.operators.ordering import sample_rows
-from repoweave.session import shared_checkpoint
+from repoweave.session import shared_checkpoint, shared_table
 
 # Ids 0-255 are bytes; the end token doubles as padding.
 END_ID = 256
@@ -186,10 +186,16 @@ def token_offsets(tokenized: DataFrame, order_by: Sequence[str]) -> DataFrame:
     return running_total(lengths, F.col("n_tokens"), order_by, name="offset")
 
 
+def place_tokens(tokenized: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Token rows with ``n_tokens`` and ``offset``. They are staged as a table first, so the tokenizer runs once and the
+    offsets are found from the lengths alone."""
+    names = [c.lstrip("-") for c in order_by]
+    staged = shared_table(tokenized.withColumn("n_tokens", F.size("input_ids").cast("long")))
+    offsets = running_total(staged.select(*names, "n_tokens"), F.col("n_tokens"), order_by, name="offset")
+    return attach(staged, offsets.drop("n_tokens"), names)
+
+
 def flatten_tokens(tokenized: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """The stream itself: ``(position, token)``, one row per token."""
-    names = [c.lstrip("-") for c in order_by]
-    placed = attach(tokenized.select(*names, "input_ids"), token_offsets(tokenized, order_by), names)
-    return placed.select("offset", F.posexplode("input_ids").alias("_at", "token")).select(
-        (F.col("offset") + F.col("_at")).alias("position"), "token"
-    )
+    placed = place_tokens(tokenized, order_by).select("offset", F.posexplode("input_ids").alias("_at", "token"))
+    return placed.select((F.col("offset") + F.col("_at")).alias("position"), "token")

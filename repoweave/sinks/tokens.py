@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from repoweave.operators.joins import attach
-from repoweave.operators.tokens import token_offsets
+from repoweave.operators.tokens import place_tokens
 
 
 def write_tokens(
@@ -17,6 +16,5 @@ def write_tokens(
 
     Read in file order, the arrays joined end to end are the flat training buffer.
     """
-    names = [c.lstrip("-") for c in order_by]
-    placed = attach(tokenized, token_offsets(tokenized, order_by), names)
+    placed = place_tokens(tokenized, order_by)
     placed.repartitionByRange("offset").sortWithinPartitions("offset").write.mode(mode).parquet(path)

@@ -29,6 +29,13 @@ READ_BATCH_BYTES = 16 << 20
 _ENTRY = "repo_ord int, repo_name string, root string, extensions array<string>, path string, is_dir boolean, size long"
 
 
+def _is_folder(entry: os.DirEntry) -> bool:
+    try:
+        return entry.is_dir()
+    except OSError:
+        return False
+
+
 def _list_folders(wanted: tuple[str, ...], max_entries: int):
     """Batches of folders to batches of entries: files with a wanted suffix, and folders left for the next round.
 
@@ -42,7 +49,7 @@ def _list_folders(wanted: tuple[str, ...], max_entries: int):
                 with os.scandir(waiting.pop()) as entries:
                     for entry in entries:
                         seen += 1
-                        if entry.is_dir():
+                        if _is_folder(entry):
                             if not entry.is_symlink():
                                 waiting.append(entry.path)
                         elif entry.name.endswith(suffixes):
