@@ -13,16 +13,17 @@ from repoweave.operators.selection import (
     selection_manifest,
     top_packages,
     top_repos,
+    unreachable,
 )
 from repoweave.operators.joins import salted_join
 from repoweave.operators.tokens import pad_truncate, tokenize, tokenizer
 from repoweave.plans.corpus import CORPUS_ORDER, DEPENDENCY_ORDER, GLOBAL_SHUFFLE, corpus, stored_or_built_graph
 from repoweave.session import shared_checkpoint, shared_table
-from repoweave.sinks.corpus import write_corpus
+from repoweave.sinks.corpus import write_corpus, write_jsonl
 from repoweave.sinks.tokens import write_tokens
 from repoweave.sources.presets import preset_manifest
 from repoweave.sources.tables import read_corpus, read_package_ranking, read_search_pages
-from repoweave.sources.tree import scan_repos
+from repoweave.sources.tree import read_rejects, scan_repos
 from repoweave.sources.web import page_links
 
 # Largest number of repeated manifest entries that is broadcast.
@@ -51,6 +52,7 @@ class CorpusConfig:
     search_pages: str | None = None
     package_ranking: str | None = None
     package_pages: str | None = None
+    rejects_file: str | None = None
     overwrite: bool = False
     tokenize: bool = False
     tokenizer: str = "bytes"
@@ -128,6 +130,15 @@ def write_tokenized(records: DataFrame, config: CorpusConfig, mode: str) -> None
     write_tokens(ids.withColumn("input_ids", padded), config.output_tokenized, place, mode)
 
 
+def rejects(manifest: DataFrame, files: DataFrame, records: DataFrame) -> DataFrame:
+    """What did not go as planned: ``(repo_name, rel_path, stage, reason)``. Reads names only."""
+    shuffled = records.filter(F.col("fallback_reason").isNotNull()).select(
+        "repo_name", F.lit(None).cast("string").alias("rel_path"), F.lit("order").alias("stage"),
+        F.col("fallback_reason").alias("reason"),
+    )
+    return unreachable(manifest).unionByName(read_rejects(files)).unionByName(shuffled.distinct())
+
+
 def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
     """Build the corpus, write it to ``data_file`` (and ``output_file``), and return it as read back."""
     if config.use_cache:
@@ -145,6 +156,8 @@ def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
     emitted = records if config.dedupe else repeat_entries(records, manifest, config.setting)
     for target in filter(None, dict.fromkeys([config.data_file, config.output_file])):
         write_corpus(emitted, target, mode=mode)
+    if config.rejects_file:
+        write_jsonl(rejects(manifest, files, records), config.rejects_file, mode)
     if config.tokenize:
         write_tokenized(emitted, config, mode)
     return read_corpus(spark, config.data_file)

@@ -231,6 +231,15 @@ def test_ranked_runs(spark, checkout):
         prepare(spark, config(checkout, ignore_preset_repos=True, get_repos_from="elsewhere"))
 
 
+def test_rejects_are_listed(spark, checkout):
+    os.symlink(checkout / "gone", checkout / "repos" / "one" / "src" / "gone.py")
+    cfg = config(checkout, setting=3, max_nodes=2, rejects_file=str(checkout / "rejects"))
+    cfg.repos[0]["two"]["url"] = None
+    prepare(spark, cfg)
+    found = {(r["repo_name"], r["rel_path"], r["stage"]) for r in lines_of(cfg.rejects_file)}
+    assert found == {("two", None, "download"), ("one", "gone.py", "read"), ("one", None, "order")}
+
+
 def test_tokenized_run(spark, checkout):
     cfg = config(checkout, setting=3, tokenize=True, max_length=12, output_tokenized=str(checkout / "ids"))
     prepare(spark, cfg)
