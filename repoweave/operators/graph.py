@@ -104,19 +104,31 @@ def _local_levels(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"repo_name": pdf["repo_name"].iloc[0], "rel_path": names, "level": level})
 
 
-def _local_components(pdf: pd.DataFrame) -> pd.DataFrame:
-    src, dst, names = _encode(pdf)
-    inside = _inside_cycles(src, dst, len(names))
-    smallest = np.arange(len(names))
-    while True:  # edges inside cycles connect exactly the members of one component, in both directions
+def _smallest_member(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node of each node's component, given the edges inside cycles: they connect exactly its members."""
+    smallest = np.arange(n)
+    while True:
         spread = smallest.copy()
-        np.minimum.at(spread, dst[inside], smallest[src[inside]])
+        np.minimum.at(spread, dst, smallest[src])
         if np.array_equal(spread, smallest):
-            break
+            return smallest
         smallest = spread
+
+
+def _local_components(pdf: pd.DataFrame) -> pd.DataFrame:
+    src, dst, names = _encode(pdf)
+    inside = _inside_cycles(src, dst, len(names))
+    smallest = _smallest_member(src[inside], dst[inside], len(names))
     return pd.DataFrame({"repo_name": pdf["repo_name"].iloc[0], "rel_path": names, "scc_id": names[smallest]})
 
 
+def _local_cycle_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+    src, dst, names = _encode(pdf)
+    inside = _inside_cycles(src, dst, len(names))
+    smallest = _smallest_member(src[inside], dst[inside], len(names))
+    return pdf[inside].assign(scc_id=names[smallest[src[inside]]].to_numpy())
+
+
 # ---- repositories of any size ---------------------------------------------------------------------------------
 
 
@@ -181,13 +193,15 @@ def _spread_labels(edges: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
             return labels
 
 
-def _inside_cycles_distributed(edges: DataFrame) -> DataFrame:
+def _inside_cycles_distributed(edges: DataFrame, local_edges: int) -> DataFrame:
     """Edges inside a strongly connected component, with the component's smallest node as ``scc_id``.
 
     After the labels are stable, two nodes of one component carry the same pair, so edges between different pairs
     are cut. A component whose two labels agree is complete: its label node reaches every member and is reached
-    by it. What is left starts over; each pass completes at least one component per connected piece.
+    by it. What is left starts over; each pass completes at least one component per connected piece. Trimming
+    leaves little of most repositories: those that now fit one task are finished there.
     """
+    spark = edges.sparkSession
     edges, seen = shared_checkpoint(edges.select(*EDGE), n=F.count(F.lit(1)))
     # Taken once: later edge sets are subsets, for which these slices are enough.
     hot = shared_checkpoint(hot_keys(edges, ["repo_name", "dst"]))
@@ -198,6 +212,10 @@ def _inside_cycles_distributed(edges: DataFrame) -> DataFrame:
         edges, n = _trim(edges, n, hot)
         if n == 0:
             break
+        small, edges = _split_by_size(edges, n, local_edges)
+        found.append(small.groupBy("repo_name").applyInPandas(_local_cycle_edges, schema))
+        if edges is None:
+            break
         labels = _spread_labels(edges, hot, n)
         at_src = labels.select("repo_name", F.col("node").alias("src"), F.col("above").alias("a"), F.col("below").alias("b"))
         at_dst = labels.select("repo_name", F.col("node").alias("dst"), F.col("above").alias("c"), F.col("below").alias("d"))
@@ -211,12 +229,12 @@ def _inside_cycles_distributed(edges: DataFrame) -> DataFrame:
         if n == 0:
             break
     if not found:
-        return edges.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, found)
 
 
-def _acyclic_distributed(edges: DataFrame) -> DataFrame:
-    return edges.join(_inside_cycles_distributed(edges), EDGE, "left_anti")
+def _acyclic_distributed(edges: DataFrame, local_edges: int) -> DataFrame:
+    return edges.join(_inside_cycles_distributed(edges, local_edges), EDGE, "left_anti")
 
 
 def _levels_distributed(edges: DataFrame) -> DataFrame:
@@ -256,7 +274,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(repo_name, rel_path, scc_id)`` for every node with an edge; ``scc_id`` is the component's smallest node."""
 
     def distributed(large: DataFrame) -> DataFrame:
-        inside = _inside_cycles_distributed(large)
+        inside = _inside_cycles_distributed(large, local_edges)
         members = (
             inside.select("repo_name", F.col("src").alias("rel_path"), "scc_id").distinct()
         )
@@ -271,7 +289,11 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
 
 def break_cycles(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Edges without self-loops and without any edge that lies on a cycle."""
-    return _run(edges, _local_acyclic, _acyclic_distributed, "repo_name string, src string, dst string", local_edges)
+
+    def distributed(large: DataFrame) -> DataFrame:
+        return _acyclic_distributed(large, local_edges)
+
+    return _run(edges, _local_acyclic, distributed, "repo_name string, src string, dst string", local_edges)
 
 
 def node_levels(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -281,7 +303,7 @@ def node_levels(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     def distributed(large: DataFrame) -> DataFrame:
         # Nodes whose edges all lay on cycles keep level 0.
         nodes = large.select("repo_name", F.col("src").alias("rel_path")).union(large.select("repo_name", "dst")).distinct()
-        levels = _levels_distributed(_acyclic_distributed(large))
+        levels = _levels_distributed(_acyclic_distributed(large, local_edges))
         return nodes.join(levels, ["repo_name", "rel_path"], "left").withColumn(
             "level", F.coalesce("level", F.lit(0).cast("long"))
         )
