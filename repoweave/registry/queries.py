@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
