@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoweave.llm import mixing, oracles
+from repoweave.llm import mixing, oracles, secrets, token_counts
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary files are; every executor has them at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +23,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Query] = {
+    "op2_secret_spans": op2_secret_spans,
+    "op3_token_counts": op3_token_counts,
     "op5_source_mix": op5_source_mix,
 }
 

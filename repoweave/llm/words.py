@@ -14,13 +14,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -63,7 +63,7 @@ class Flat:
 
     def lower(self) -> Flat:
         """With A-Z in lower case."""
-        return Flat(_LOWER[self.data], self.offsets)
+        return Flat(LOWER[self.data], self.offsets)
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         """The text that holds each byte position."""
