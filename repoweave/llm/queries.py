@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoweave.llm import mixing, oracles, secrets, token_counts
+from repoweave.llm import mixing, oracles, quality, secrets, token_counts
 
 def tokenizer_path(name: str) -> str:
     """Where the installed vocabulary files are; every executor has them at the same place."""
@@ -36,10 +36,16 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality(_documents(spark, sf_dir), labels)
+
+
 QUERIES: dict[str, Query] = {
     "op2_secret_spans": op2_secret_spans,
     "op3_token_counts": op3_token_counts,
     "op5_source_mix": op5_source_mix,
+    "op6_quality_rules": op6_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
