@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoweave.llm import jaccard, language, mixing, oracles, quality, secrets, token_counts
+from repoweave.llm import decontamination, jaccard, language, mixing, oracles, quality, secrets, token_counts
 
 def tokenizer_path(name: str) -> str:
     """Where the installed vocabulary files are; every executor has them at the same place."""
@@ -45,6 +45,11 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(_documents(spark, sf_dir), words=3, percent=90)
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.find_leaks(_documents(spark, sf_dir), benchmark)
+
+
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(_documents(spark, sf_dir))
     return found.select("doc_id", "held_out", "lang_pred", "score", "mixture")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op5_source_mix": op5_source_mix,
     "op6_quality_rules": op6_quality_rules,
     "op7_shingle_join": op7_shingle_join,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op10_languages": op10_languages,
 }
 
