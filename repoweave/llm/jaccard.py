@@ -255,25 +255,15 @@ def _links(docs: DataFrame, needed: DataFrame, words: int, percent: int, sketch)
     )
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``(doc_id, text)``.
-
-    Two documents link when ``100 * intersection >= percent * union`` of their sets of distinct shingles of ``words``
-    words (A-Z in lower case). ``component_id`` is the smallest id that can be reached over links, the own one included.
-    A text with fewer words is one shingle; a null text or one without words has none and links to nothing. Repeated rows
-    are equal sets and thus linked. Null ids are carried along: they can reach others, but are never the smallest id
-    unless no other is there. An empty table gives no rows; other columns are not looked at.
-    """
+def _labelled(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """``doc_id, text_hash, n, component, component_id`` of every row; the last two are null for empty sets."""
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(_sketch(docs, words))
     rows = shared_checkpoint(_sets(docs, words, percent, sketch))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    classes = rows.filter("n > 0").groupBy("class").agg(first, F.first("prefix").alias("prefix"))
-    classes = classes.select(
-        "class", F.col("first.doc_id").alias("rep_id"), F.col("first.text_hash").alias("rep_hash"), "prefix"
-    )
-    meetings = _groups(classes, block).groupBy("class").agg(F.collect_list(F.struct("group", "part")).alias("meetings"))
+    classes = rows.filter("n > 0").groupBy("class").agg(F.first("prefix").alias("prefix"))
     owners = rows.filter("n > 0").groupBy("class").agg(first)
+    meetings = _groups(classes, block).groupBy("class").agg(F.collect_list(F.struct("group", "part")).alias("meetings"))
     needed = meetings.join(owners, "class").select(
         "class", F.col("first.doc_id").alias("rep_id"), F.col("first.text_hash").alias("rep_hash"), "meetings"
     )
@@ -281,9 +271,39 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     ids = owners.select(F.col("class").alias("node"), F.col("first.doc_id").alias("rep_id"))
     named = ids.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))
-    labels = named.join(lowest, "component").select(F.col("node").alias("class"), "component_id")
-    out = rows.drop("prefix", "text_hash").join(labels, "class", "left")
-    return out.select(
+    labels = named.join(lowest, "component").select(F.col("node").alias("class"), "component", "component_id")
+    return rows.drop("prefix").join(labels, "class", "left").drop("class")
+
+
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``(doc_id, text)``.
+
+    Two documents link when ``100 * intersection >= percent * union`` of their sets of distinct shingles of ``words``
+    words (A-Z in lower case). ``component_id`` is the smallest id that can be reached over links, the own one included.
+    A text with fewer words is one shingle; a null text or one without words has none and links to nothing. Repeated rows
+    are equal sets and thus linked. Null ids are carried along: they can reach others, but are never the smallest id
+    unless no other is there. An empty table gives no rows; other columns are not looked at.
+    """
+    return _labelled(docs, words, percent, block).select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of linked documents keeps one: that with the smallest id (null
+    last), all columns as they are. Documents without words are groups of their own. Of rows with the same id and text
+    one stays.
+    """
+    rows = _labelled(docs, words, percent, block)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    linked = rows.filter("n > 0").groupBy("component").agg(first).select("first.doc_id", "first.text_hash")
+    empty = rows.filter("n = 0").select("doc_id", "text_hash").distinct()
+    stay = linked.union(empty).select(F.col("doc_id").alias("_stay_id"), F.col("text_hash").alias("_stay_hash"))
+    keyed = docs.withColumn("_stay_text", F.xxhash64("text"))
+    kept = keyed.join(
+        stay.hint("shuffle_hash"),
+        F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_stay_text") == F.col("_stay_hash")),
+        "left_semi",
+    )
+    return kept.dropDuplicates(["doc_id", "_stay_text"]).select(*docs.columns)

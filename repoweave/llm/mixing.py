@@ -109,13 +109,14 @@ def mix_plan(
 ) -> DataFrame:
     """How often each document of ``(doc_id, text, source)`` goes into the mix.
 
-    Returns ``doc_id, source, size, source_size, target, taken, copies``, one row per input row. The mix is worth
+    Returns ``doc_id, source, size, source_size, target, taken, copies, text_hash``, one row per input row. The mix is worth
     ``share`` of all words. A null or blank text has size 0 and takes nothing; a null source is a source of its own;
     rows with the same id share their random number and are told apart by size; an empty table gives no rows. Other
     columns are not looked at.
     """
     sized, seen = shared_checkpoint(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), words=F.sum("size")
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")),
+        words=F.sum("size"),
     )
     total = int((seen["words"] or 0) * share)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -129,16 +130,26 @@ def mix_plan(
         .withColumn("u", uniform(F.col("doc_id"), seed))
     )
     return pareto_copies(rows, ["source"], "owed", rounds).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
+        "text_hash",
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each repeated as often as ``mix_plan`` says, numbered by ``copy`` from 0.
 
-    Rows of one id must be one document: the plan is joined back on ``doc_id``.
+    Rows with the same id and text share the copies of all of them evenly, rounded.
     """
-    plan = mix_plan(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(plan["_id"]))
-    times = F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")
+    plan = (
+        mix_plan(docs, **options)
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+        .filter("_copies > 0")
+    )
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    joined = keyed.join(
+        plan.hint("shuffle_hash"),
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
+    )
+    times = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy")
     return joined.select(*docs.columns, times)
