@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from repoweave.llm.components import components
 from repoweave.llm.runs import runs
 from repoweave.llm.words import Flat, flat_slices, grams, mix, span_hash
-from repoweave.session import shared_checkpoint
+from repoweave.session import shared_table
 
 SKETCH_BITS = 16
 MOST_MATCHES = 6
@@ -139,12 +139,12 @@ def _groups(classes: DataFrame, block: int) -> DataFrame:
     met = rows.select(
         "class", "token",
         F.count(F.lit(1)).over(same).alias("size"),
-        F.sum(F.xxhash64("class").cast("decimal(20,0)")).over(same).alias("members"),
+        F.expr("bit_xor(xxhash64(class))").over(same).alias("members"),
         F.count("before").over(same).alias("with_before"),
         F.min("before").over(same).alias("low"),
         F.max("before").over(same).alias("high"),
     ).filter("size > 1 and not (with_before = size and low = high)")
-    met = shared_checkpoint(met.select("class", "token", "size", "members"))
+    met = shared_table(met.select("class", "token", "size", "members"))
     chosen = met.groupBy("size", "members").agg(F.min("token").alias("token")).select("token")
     kept = met.join(chosen, "token", "left_semi")
     blocks = F.ceil(F.col("size") / F.lit(float(block))).cast("int")
@@ -259,7 +259,7 @@ def _labelled(docs: DataFrame, words: int, percent: int, block: int) -> DataFram
     """``doc_id, text_hash, n, component, component_id`` of every row; the last two are null for empty sets."""
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(_sketch(docs, words))
-    rows = shared_checkpoint(_sets(docs, words, percent, sketch))
+    rows = shared_table(_sets(docs, words, percent, sketch))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     classes = rows.filter("n > 0").groupBy("class").agg(F.first("prefix").alias("prefix"))
     owners = rows.filter("n > 0").groupBy("class").agg(first)
