@@ -5,10 +5,12 @@ similar enough share a shingle among the first ``n - ceil(t * n) + 1`` of each,
 Each document chooses its own ``l`` by the number of candidates that the sketch foretells; a pair has to meet the smaller
 of its two before it is verified.
 
-Documents of equal sets are one class. Classes that share a prefix shingle meet in one group. A group is left out when all
-its members have the same shingle before it (they meet there already) or when another group has the same members. Inside a
-group, overlaps are counted over inverted lists and only the links of a spanning forest leave the task. Groups above
-``block`` members are split into blocks, and every two blocks meet in a task of their own.
+Documents of equal sets are one class. Classes that share a prefix shingle form a group. A group of at most ``SMALL``
+classes gives its pairs, which are counted over all groups; those with enough matches are candidates. A larger group gives
+none: all its members are candidates of each other, and meet. Candidates are tied into clusters. A cluster of at most
+``block`` shingles meets as a whole, so each of its sets is sent once; in a larger one, pairs meet by themselves, and
+large groups in blocks, every two blocks in a task of their own. In a meeting, overlaps are counted over inverted lists and
+only the links of a spanning forest leave the task.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from repoweave.session import shared_table
 
 SKETCH_BITS = 16
 MOST_MATCHES = 6
-BLOCK = 1024
+SMALL = 64
+BLOCK = 1 << 21
 
 
 def shingle_sets(flat: Flat, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +103,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
-    """``doc_id, text_hash, n, class, prefix`` of every document."""
+    """``doc_id, text_hash, n, class, wanted, prefix`` of every document; ``wanted`` is its ``l``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sketch.value
@@ -114,45 +117,87 @@ def _sets(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
                 classes = mix(mix(one) ^ (two * np.uint64(3)) ^ n.astype(np.uint64)).view(np.int64)
                 doc, hashes = _ordered(doc, hashes, order)
                 first = np.searchsorted(doc, np.arange(flat.n))
-                length = np.where(n > 0, prefix_length(n, percent), 0)
+                ends = np.append(first[1:], len(doc))
+                wanted = np.array(
+                    [matches_wanted(hashes[a:b], b - a, percent, order) if b > a else 0 for a, b in zip(first, ends, strict=True)],
+                    dtype=np.int32,
+                )
+                length = np.where(n > 0, prefix_length(n, percent) + wanted - 1, 0)
                 inside = np.arange(len(doc)) - first[doc] < length[doc]
-                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[inside].view(np.int64)))
+                borders = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(borders), pa.array(hashes[inside].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
-                     pa.array(n.astype(np.int64)), pa.array(classes), prefix],
-                    names=["doc_id", "text_hash", "n", "class", "prefix"],
+                     pa.array(n.astype(np.int64)), pa.array(classes), pa.array(wanted), prefix],
+                    names=["doc_id", "text_hash", "n", "class", "wanted", "prefix"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        scan, f"doc_id {id_type}, text_hash long, n long, class long, prefix array<long>"
+        scan, f"doc_id {id_type}, text_hash long, n long, class long, wanted int, prefix array<long>"
     )
 
 
-def _groups(classes: DataFrame, block: int) -> DataFrame:
-    """Which classes have to meet: ``class, group, part, size``; ``part`` numbers the two blocks that meet."""
-    rows = classes.select("class", F.posexplode("prefix").alias("pos", "token"), "prefix").select(
-        "class", "token", F.when(F.col("pos") > 0, F.col("prefix")[F.col("pos") - 1]).alias("before")
+def _group_pairs(percent: int):
+    """A task that turns small groups, sorted by token, into pairs ``a, b, wanted`` of classes that may still link."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["token"]):
+            cls, n, wanted, level = (table.column(c).to_numpy() for c in ("class", "n", "wanted", "level"))
+            i, j = np.triu_indices(len(cls), 1)
+            ask = np.minimum(wanted[i], wanted[j])
+            fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.maximum(level[i], level[j]) <= ask)
+            i, j, ask = i[fits], j[fits], ask[fits]
+            if len(i):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j])), pa.array(ask)],
+                    names=["a", "b", "wanted"],
+                )
+
+    return pairs
+
+
+def _meetings(classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Which classes of ``(class, n, wanted, prefix)`` have to meet: ``class, group, part``, ``part`` telling the two blocks
+    of a large group apart."""
+    first = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("long") + 1
+    rows = classes.select("class", "n", "wanted", F.posexplode("prefix").alias("pos", "token")).select(
+        "class", "token", "n", "wanted", F.greatest(F.col("pos") - first + 2, F.lit(1)).cast("int").alias("level")
     )
     same = Window.partitionBy("token")
-    met = rows.select(
-        "class", "token",
-        F.count(F.lit(1)).over(same).alias("size"),
-        F.expr("bit_xor(xxhash64(class))").over(same).alias("members"),
-        F.count("before").over(same).alias("with_before"),
-        F.min("before").over(same).alias("low"),
-        F.max("before").over(same).alias("high"),
-    ).filter("size > 1 and not (with_before = size and low = high)")
-    met = shared_table(met.select("class", "token", "size", "members"))
-    chosen = met.groupBy("size", "members").agg(F.min("token").alias("token")).select("token")
-    kept = met.join(chosen, "token", "left_semi")
-    blocks = F.ceil(F.col("size") / F.lit(float(block))).cast("int")
+    met = shared_table(
+        rows.withColumn("size", F.count(F.lit(1)).over(same)).filter("size > 1").sortWithinPartitions("token")
+    )
+    # Groups that fit are paired where they lie; the files keep each group together and in order.
+    small = met.filter(F.col("size") <= SMALL).repartition("token").sortWithinPartitions("token")
+    counted = small.mapInArrow(_group_pairs(percent), "a long, b long, wanted int").groupBy("a", "b")
+    pairs = shared_table(counted.agg(F.count(F.lit(1)).alias("got"), F.max("wanted").alias("wanted")).filter("got >= wanted"))
+    hot = met.filter(F.col("size") > SMALL).groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("class").alias("lead"),
+        F.expr("bit_xor(xxhash64(class))").alias("members"),
+    )
+    # Groups of the same members are one.
+    chosen = hot.groupBy("size", "members").agg(F.min(F.struct("token", "weight", "lead")).alias("t")).select("t.*")
+    joined = met.filter(F.col("size") > SMALL).select("class", "token").join(chosen, "token")
+    ties = joined.select(F.col("class").alias("a"), F.col("lead").alias("b")).union(pairs.select("a", "b"))
+    cluster = components(ties).withColumnRenamed("node", "class")
+    sized = cluster.join(classes.select("class", "n"), "class")
+    weights = sized.groupBy("component").agg(F.sum("n").alias("all"))
+    placed = shared_table(sized.join(weights, "component").select("class", "component", "all"))
+    whole = placed.filter(F.col("all") <= most).select(
+        "class", F.col("component").alias("group"), F.lit(-1).cast("long").alias("part")
+    )
+    large = placed.filter(F.col("all") > most).select("class")
+    blocks = F.ceil(F.col("weight") / F.lit(float(most))).cast("int")
     mine = F.pmod(F.xxhash64("class", F.lit(5)), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    return kept.select("class", F.col("token").alias("group"), mine.alias("mine"), blocks.alias("blocks"), other).select(
-        "class", "group", (F.least("mine", "other").cast("long") * F.col("blocks") + F.greatest("mine", "other")).alias("part")
+    in_blocks = joined.join(large, "class", "left_semi").select(
+        "class", F.col("token").alias("group"), mine.alias("mine"), blocks.alias("blocks"), other
     )
+    part = F.least("mine", "other").cast("long") * F.col("blocks") + F.greatest("mine", "other")
+    alone = pairs.join(large, pairs["a"] == large["class"], "left_semi")
+    two = alone.select(F.explode(F.array("a", "b")).alias("class"), F.xxhash64("a", "b").alias("group"), F.lit(-2).cast("long").alias("part"))
+    return whole.union(in_blocks.select("class", "group", part.alias("part"))).union(two)
 
 
 class Meeting:
@@ -190,8 +235,11 @@ class Meeting:
             pairs = np.flatnonzero(open_pairs & (shared >= ask))
             if not len(pairs):
                 continue
-            every = owner[self._lists(by_code, list_starts, code[own])]
-            both = np.bincount(every[every < i], minlength=i)[pairs]
+            if len(pairs) > 16:
+                every = owner[self._lists(by_code, list_starts, code[own])]
+                both = np.bincount(every[every < i], minlength=i)[pairs]
+            else:
+                both = np.array([np.isin(self.tokens[self.starts[j] : self.starts[j + 1]], self.tokens[own]).sum() for j in pairs])
             linked = pairs[100 * both >= percent * (self.n[pairs] + self.n[i] - both)]
             for j in linked:
                 if root[j] != root[i]:
@@ -261,9 +309,9 @@ def _labelled(docs: DataFrame, words: int, percent: int, block: int) -> DataFram
     sketch = context.broadcast(_sketch(docs, words))
     rows = shared_table(_sets(docs, words, percent, sketch))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    classes = rows.filter("n > 0").groupBy("class").agg(F.first("prefix").alias("prefix"))
+    classes = rows.filter("n > 0").groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "wanted", "prefix")])
     owners = rows.filter("n > 0").groupBy("class").agg(first)
-    meetings = _groups(classes, block).groupBy("class").agg(F.collect_list(F.struct("group", "part")).alias("meetings"))
+    meetings = _meetings(shared_table(classes), percent, block).groupBy("class").agg(F.collect_list(F.struct("group", "part")).alias("meetings"))
     needed = meetings.join(owners, "class").select(
         "class", F.col("first.doc_id").alias("rep_id"), F.col("first.text_hash").alias("rep_hash"), "meetings"
     )
@@ -272,7 +320,7 @@ def _labelled(docs: DataFrame, words: int, percent: int, block: int) -> DataFram
     named = ids.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))
     labels = named.join(lowest, "component").select(F.col("node").alias("class"), "component", "component_id")
-    return rows.drop("prefix").join(labels, "class", "left").drop("class")
+    return rows.drop("prefix", "wanted").join(labels, "class", "left").drop("class")
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
