@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoweave.llm import decontamination, jaccard, language, mixing, oracles, quality, secrets, token_counts
+from repoweave.llm import decontamination, jaccard, language, mixing, oracles, ppm, quality, secrets, token_counts
 
 def tokenizer_path(name: str) -> str:
     """Where the installed vocabulary files are; every executor has them at the same place."""
@@ -23,6 +23,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    block = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    scored = ppm.score_documents(docs, learn=~ppm.held_out(), block=block)
+    return scored.withColumn("held_out", ppm.held_out())
+
+
 def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
@@ -56,6 +63,7 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_partial_matching": op1_partial_matching,
     "op2_secret_spans": op2_secret_spans,
     "op3_token_counts": op3_token_counts,
     "op5_source_mix": op5_source_mix,
