@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoweave.llm import decontamination, jaccard, language, mixing, oracles, ppm, quality, secrets, token_counts
+from repoweave.llm import decontamination, jaccard, language, mixing, oracles, ppm, quality, secrets, suffixes, token_counts
 
 def tokenizer_path(name: str) -> str:
     """Where the installed vocabulary files are; every executor has them at the same place."""
@@ -38,6 +38,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_documents(spark, sf_dir))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_partial_matching": op1_partial_matching,
     "op2_secret_spans": op2_secret_spans,
     "op3_token_counts": op3_token_counts,
+    "op4_repeated_strings": op4_repeated_strings,
     "op5_source_mix": op5_source_mix,
     "op6_quality_rules": op6_quality_rules,
     "op7_shingle_join": op7_shingle_join,
