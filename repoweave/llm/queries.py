@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoweave.llm import decontamination, jaccard, language, mixing, oracles, ppm, quality, secrets, suffixes, token_counts
+from repoweave.llm import decontamination, jaccard, language, mixing, oracles, ppm, quality, secrets, suffixes, surrogates, token_counts
 
 def tokenizer_path(name: str) -> str:
     """Where the installed vocabulary files are; every executor has them at the same place."""
@@ -61,6 +61,10 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_documents(spark, sf_dir), benchmark)
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(_documents(spark, sf_dir))
+
+
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(_documents(spark, sf_dir))
     return found.select("doc_id", "held_out", "lang_pred", "score", "mixture")
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_shingle_join": op7_shingle_join,
     "op8_benchmark_leaks": op8_benchmark_leaks,
+    "op9_surrogates": op9_surrogates,
     "op10_languages": op10_languages,
 }
 
