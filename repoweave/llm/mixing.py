@@ -6,8 +6,8 @@ uniform number ``u`` from its id gets the rank ``(u / (1 - u)) / (p / (1 - p))``
 each source takes its documents by rising rank until the words it still owes are reached. The sample size is fixed in
 words, not documents, since the target is a number of words.
 
-A document that would overshoot stops a round; later rounds pass over the documents that no longer fit, so the shortfall
-ends below the smallest document left, or after ``rounds`` rounds.
+A document that would overshoot stops a round; the next round ranks those left that are no larger than what is still owed,
+so the shortfall ends below the smallest document left, or after ``rounds`` rounds.
 """
 
 from __future__ import annotations
@@ -79,7 +79,9 @@ def pareto_copies(
     settled = rows.filter(~((F.col("_part") > 0) & (F.col("size") > 0))).withColumn("copies", F.col("_whole"))
     parts = [settled.drop("_whole", "_part")]
     for _ in range(rounds):
-        ranked = running_total(open_rows, F.col("size"), ["_rank", *tie_break], group, "_before")
+        fits = F.col("size") <= F.col(owed)
+        parts.append(open_rows.filter(~fits).withColumn("copies", F.col("_whole")).drop("_whole", "_part", "_rank"))
+        ranked = running_total(open_rows.filter(fits), F.col("size"), ["_rank", *tie_break], group, "_before")
         ranked = shared_checkpoint(ranked.withColumn("_taken", F.col("_before") + F.col("size") <= F.col(owed)))
         taken = ranked.filter("_taken")
         parts.append(taken.withColumn("copies", F.col("_whole") + 1).drop("_whole", "_part", "_rank", "_before", "_taken"))

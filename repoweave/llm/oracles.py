@@ -34,18 +34,20 @@ open0 as (
 placed{i} as (
   select *, coalesce(sum(size) over (partition by source order by rank, doc_id, size
                                      rows between unbounded preceding and 1 preceding), 0) + size <= owed as hit
-  from open{i}),
+  from open{i} where size <= owed),
 open{i + 1} as (
   select doc_id, source, size, source_size, target, whole,
-         owed - coalesce(sum(case when hit then size end) over (partition by source), 0) as owed, rank, hit
+         owed - coalesce(sum(case when hit then size end) over (partition by source), 0) as owed, rank
   from placed{i} qualify not hit)"""
     kept = "doc_id, source, size, source_size, target"
     union = " union all ".join(f"select {kept}, whole + 1 as copies from placed{i} where hit" for i in range(rounds))
+    large = " union all ".join(f"select {kept}, whole as copies from open{i} where size > owed" for i in range(rounds))
     return f"""{steps},
 mixed as (
   select *, copies * size as taken from (
     select {kept}, floor(due)::bigint as copies from due where not (due > floor(due) and size > 0)
     union all {union}
+    union all {large}
     union all select {kept}, whole as copies from open{rounds}))"""
 
 
