@@ -28,9 +28,12 @@ from repoweave.llm.runs import runs
 from repoweave.llm.words import Flat, flat_slices, grams, mix, span_hash
 from repoweave.session import shared_table
 
-SKETCH_BITS = 16
+# A million counts, 4 MB as they are broadcast.
+SKETCH_BITS = 20
+SKETCH_CHUNK = 4096
 MOST_MATCHES = 6
-SMALL = 64
+SMALL = 128
+PAIRS_AT_ONCE = 1 << 18
 BLOCK = 1 << 21
 
 
@@ -86,20 +89,36 @@ def matches_wanted(tokens: np.ndarray, n: int, percent: int, sketch: np.ndarray)
 
 
 def _sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Number of (document, shingle) pairs by hash bucket, over all documents."""
+    """Number of (document, shingle) pairs by hash bucket, over all documents. A task sends its counts in chunks, which
+    are summed by chunk; the sum has ``2 ** SKETCH_BITS`` counts whatever the input."""
+    size = 1 << SKETCH_BITS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for _, _, flat in flat_slices(batch.column(0)):
-                total += np.bincount(_bucket(shingle_sets(flat, words)[1]), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
-
-    counts = docs.select("text").mapInArrow(scan, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS)
-    out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    return out
+                np.add.at(total, _bucket(shingle_sets(flat, words)[1]), 1)
+        if total.any():
+            chunks = total.reshape(-1, SKETCH_CHUNK)
+            used = np.flatnonzero(chunks.any(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=["chunk", "counts"]
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["chunk"]):
+            total = sum(np.frombuffer(c.as_buffer(), dtype=np.int64) for c in table.column("counts"))
+            yield pa.RecordBatch.from_arrays(
+                [table.column("chunk").slice(0, 1).combine_chunks(), pa.array([total.tobytes()], pa.binary())],
+                names=["chunk", "counts"],
+            )
+
+    schema = "chunk long, counts binary"
+    parts = docs.select("text").mapInArrow(scan, schema).repartition("chunk").sortWithinPartitions("chunk")
+    out = np.zeros((size // SKETCH_CHUNK, SKETCH_CHUNK))
+    for row in parts.mapInArrow(add, schema).collect():
+        out[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.int64)
+    return out.ravel().astype(np.float32)
 
 
 def _sets(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
@@ -139,20 +158,43 @@ def _sets(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
 
 
 def _group_pairs(percent: int):
-    """A task that turns small groups, sorted by token, into pairs ``a, b, wanted`` of classes that may still link."""
+    """A task that turns small groups, sorted by token, into pairs ``a, b, wanted`` of classes that may still link.
+    Groups of equal size are taken together."""
+    names = ["token", "class", "n", "wanted", "level"]
+
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, cls, n, wanted, level = columns
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(starts, len(token)))
+        for size in np.unique(sizes[sizes > 1]):
+            here = starts[sizes == size]
+            one, two = np.triu_indices(int(size), 1)
+            for lo in range(0, len(here), max(1, PAIRS_AT_ONCE // len(one))):
+                base = here[lo : lo + max(1, PAIRS_AT_ONCE // len(one))]
+                i, j = (base[:, None] + one).ravel(), (base[:, None] + two).ravel()
+                ask = np.minimum(wanted[i], wanted[j])
+                fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.maximum(level[i], level[j]) <= ask)
+                i, j, ask = i[fits], j[fits], ask[fits]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j])), pa.array(ask)],
+                        names=["a", "b", "wanted"],
+                    )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["token"]):
-            cls, n, wanted, level = (table.column(c).to_numpy() for c in ("class", "n", "wanted", "level"))
-            i, j = np.triu_indices(len(cls), 1)
-            ask = np.minimum(wanted[i], wanted[j])
-            fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.maximum(level[i], level[j]) <= ask)
-            i, j, ask = i[fits], j[fits], ask[fits]
-            if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j])), pa.array(ask)],
-                    names=["a", "b", "wanted"],
-                )
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                columns = [np.concatenate(p) for p in zip(held, columns, strict=True)]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            if last:
+                yield from found([c[:last] for c in columns])
+            held = [c[last:] for c in columns]
+        if held is not None:
+            yield from found(held)
 
     return pairs
 
