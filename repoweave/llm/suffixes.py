@@ -74,43 +74,76 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class SuffixArray:
-    """Sorted suffixes of many strings, each ended by a border that equals no other border, with common prefixes."""
+    """Sorted suffixes of many strings, with common prefixes of adjacent ones. Strings end in borders that equal nothing.
+
+    Suffixes are sorted by their first 8 bytes, then by prefix doubling; each round sorts only those that still share their
+    group with others. A suffix of fewer than 8 bytes is a group of its own, so no comparison goes on over a border.
+    """
 
     def __init__(self, strings: list[bytes]):
         sizes = np.array([len(s) + 1 for s in strings], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.size = int(sizes.sum())
+        self.size = n = int(sizes.sum())
         self.bytes = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
         self.string = np.repeat(np.arange(len(strings)), sizes)
         self.ends = self.starts + sizes - 1
-        letters = self.bytes.astype(np.int64)
-        letters[self.ends] = 256 + np.arange(len(strings))
-        _, rank = np.unique(letters, return_inverse=True)
-        self.ranks = [(1, rank)]
-        step = 1
-        while step < LENGTH and rank.max() + 1 < self.size:
-            ahead = np.zeros(self.size, dtype=np.int64)
-            ahead[: self.size - step] = rank[step:] + 1
-            _, rank = np.unique((rank.astype(np.int64) << 32) | ahead, return_inverse=True)
+        padded = np.concatenate([self.bytes, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+        packed = np.zeros(n, dtype=np.uint64)
+        for i in range(8):
+            packed = (packed << np.uint64(8)) | padded[i : n + i]
+        room = self.ends[self.string] - np.arange(n)
+        short, long = np.flatnonzero(room < 8), np.flatnonzero(room >= 8)
+        long = long[np.argsort(packed[long])]
+        # What reaches over a border counts as zero bytes; a shorter suffix stands before longer ones of the same bytes.
+        kept = packed[short] & (~np.uint64(0) << (np.uint64(64) - 8 * room[short].astype(np.uint64))) * (room[short] > 0)
+        by_bytes = np.lexsort((room[short], kept))
+        at = np.searchsorted(packed[long], kept[by_bytes])
+        self.order = np.insert(long, at, short[by_bytes])
+        ordered = packed[self.order]
+        first = np.ones(n, dtype=bool)
+        first[1:] = (ordered[1:] != ordered[:-1]) | (room[self.order[1:]] < 8) | (room[self.order[:-1]] < 8)
+        place = np.arange(n)
+        rank = np.empty(n, dtype=np.int64)
+        rank[self.order] = np.maximum.accumulate(np.where(first, place, 0))
+        step, longest = 8, int(sizes.max())
+        self.ranks = [(step, rank.copy())]
+        while step < longest:
+            several = np.flatnonzero(~(first & np.append(first[1:], True)))
+            if not len(several):
+                break
+            sub = self.order[several]
+            key = (rank[sub] << 32) | rank[sub + step]
+            order = np.argsort(key)
+            key = key[order]
+            self.order[several] = sub[order]
+            first[several] = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[self.order[several]] = np.maximum.accumulate(np.where(first, place, 0))[several]
             step *= 2
-            self.ranks.append((step, rank))
-        self.order = np.argsort(rank, kind="stable")
-
-    def common_prefixes(self) -> np.ndarray:
-        """Length of the common prefix of each suffix with the one before it in the order; the first has 0."""
-        a, b = self.order[:-1].copy(), self.order[1:].copy()
-        total = np.zeros(self.size, dtype=np.int64)
-        limit = self.size - 1
+            self.ranks.append((step, rank.copy()))
+
+    def common_prefixes(self, length: int) -> np.ndarray:
+        """Length of the common prefix of each suffix with the one before it in the order, 0 for those below ``length``."""
+        out = np.zeros(self.size, dtype=np.int64)
+        enough = [rank for step, rank in self.ranks if step <= length][-1]
+        pair = np.flatnonzero(enough[self.order[1:]] == enough[self.order[:-1]])
+        a, b = self.order[pair].copy(), self.order[pair + 1].copy()
+        total = np.zeros(len(pair), dtype=np.int64)
         again = True
         while again:
             again = False
             for step, rank in reversed(self.ranks):
-                same = (rank[np.minimum(a, limit)] == rank[np.minimum(b, limit)]) & (np.maximum(a, b) <= limit)
+                same = rank[a] == rank[b]
                 a[same] += step
                 b[same] += step
-                total[1:][same] += step
+                total[same] += step
                 again |= bool(same.any()) and step == self.ranks[-1][0]
-        return total
+        for _ in range(7):  # what is left is shorter than 8 bytes; a border equals no byte
+            same = (self.bytes[a] == self.bytes[b]) & (a != self.ends[self.string[a]]) & (b != self.ends[self.string[b]])
+            a[same] += 1
+            b[same] += 1
+            total[same] += 1
+        out[pair + 1] = np.where(total >= length, total, 0)
+        return out
 
     def before(self, at: np.ndarray) -> np.ndarray:
         """What stands before each place: a byte, or a value of its own at the beginning of a string."""
@@ -123,16 +156,17 @@ def maximal_repeats(array: SuffixArray, length: int = LENGTH) -> Iterator[tuple[
     A stack scan over the common prefixes finds every interval. An interval is kept if its occurrences do not all follow
     the same byte. The places of an interval include those of the intervals inside it.
     """
-    common = array.common_prefixes()
+    common = array.common_prefixes(length)
     order = array.order
     deep = common >= length
     if not deep.any():
         return
-    left = array.before(order)
+    left = array.before(order).tolist()
+    depths = common.tolist()
     edges = np.flatnonzero(np.diff(np.concatenate([[False], deep, [False]]).astype(np.int8)))
     for lo, hi in zip(edges[::2], edges[1::2], strict=True):
         # Suffixes lo - 1 .. hi - 1 share at least ``length`` bytes; the intervals inside are nested by depth.
-        values, marks = common[lo:hi].tolist(), left[lo - 1 : hi].tolist()
+        values, marks = depths[lo:hi], left[lo - 1 : hi]
         stack: list[list] = []  # depth, first suffix, mark that all share (None: they differ)
 
         def close(item: list, end: int) -> tuple[int, np.ndarray] | None:
