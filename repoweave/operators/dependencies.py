@@ -61,10 +61,14 @@ def import_sets(
 
 def extract_imports(files: DataFrame, languages: Sequence[str] = DEFAULT_LANGUAGES) -> DataFrame:
     """Distinct ``(repo_name, rel_path, source_language, module)``. One scan for all languages, no shuffle:
-    a file's modules are made distinct inside its row."""
-    return import_sets(files, languages).select(
-        "repo_name", "rel_path", "source_language", F.explode("modules").alias("module")
+    a file's modules are made distinct inside its row.
+
+    The outer form keeps the optimizer from testing the array below the generator, which would match the patterns anew.
+    """
+    found = import_sets(files, languages).select(
+        "repo_name", "rel_path", "source_language", F.explode_outer("modules").alias("module")
     )
+    return found.filter(F.col("module").isNotNull())
 
 
 def module_index(paths: DataFrame, languages: Sequence[str] = DEFAULT_LANGUAGES) -> DataFrame:

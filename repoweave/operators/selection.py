@@ -44,8 +44,9 @@ def repo_candidates(items: DataFrame, min_size_kb: int = MIN_SIZE_KB) -> DataFra
 
 
 def top_repos(items: DataFrame, k: int) -> DataFrame:
-    """The k most starred candidates. Filtering comes first, so k candidates are returned whenever they exist."""
-    return repo_candidates(items).orderBy(F.col("stars").desc(), "name").limit(k)
+    """The first k candidates in the order of the stored ranking, ``(page, at)``. Filtering comes first, so k candidates
+    are returned whenever they exist."""
+    return repo_candidates(items).orderBy("page", "at").limit(k)
 
 
 def top_packages(packages: DataFrame, k: int) -> DataFrame:
@@ -86,11 +87,32 @@ def clean_manifest(manifest: DataFrame, dedupe: bool = False, trim: bool = False
     )
 
 
+# What makes two manifest entries the same work.
+ENTRY = ["repo_name", "path", "extensions"]
+
+
+def distinct_entries(manifest: DataFrame) -> DataFrame:
+    """One row per name, path and extensions, with the first position it has."""
+    first = manifest.groupBy(*ENTRY).agg(F.min(F.struct("repo_ord", "url")).alias("first"))
+    return first.select("first.repo_ord", "repo_name", "first.url", "path", "extensions")
+
+
 def missing_repos(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Manifest rows whose repository is not there yet."""
     return manifest.join(present.select("repo_name"), "repo_name", "left_anti")
 
 
+def without_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Rejects: entries whose folder gave no file at all, because it is missing, cannot be read, or holds none."""
+    seen = files.select("repo_name").distinct()
+    return manifest.filter(F.col("url").isNotNull()).join(seen, "repo_name", "left_anti").select(
+        "repo_name",
+        F.lit(None).cast("string").alias("rel_path"),
+        F.lit("scan").alias("stage"),
+        F.lit("no files").alias("reason"),
+    )
+
+
 def unreachable(manifest: DataFrame) -> DataFrame:
     """Rejects: entries without a download link."""
     return manifest.filter(F.col("url").isNull()).select(

@@ -29,17 +29,28 @@ FIRST_WORD_ID = 257
 # Label value that the loss ignores.
 IGNORED_LABEL = -100
 
-# A word takes the blank before it; other blanks stand alone. Joined, the pieces give the text back.
-PIECE = " ?[^ \\n\\r\\t]+|[ \\n\\r\\t]"
+# The end marker of records is the end token, wherever it stands.
+END_TEXT = "<|endoftext|>"
+
+# The end marker is a piece of its own. A word takes the blank before it; other blanks stand alone. Joined, the pieces give
+# the text back.
+PIECE = r"<\|endoftext\|>| ?(?:(?!<\|endoftext\|>)[^ \n\r\t])+|[ \n\r\t]"
 
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[int]]]
 
 
 def byte_tokenizer() -> Encoder:
-    """The UTF-8 bytes of the text as ids."""
-
-    def encode(texts: Sequence[str]) -> list[bytes]:
-        return [text.encode("utf-8") for text in texts]
+    """The UTF-8 bytes of the text as ids, the end marker as the end id."""
+
+    def encode(texts: Sequence[str]) -> list[Sequence[int]]:
+        rows: list[Sequence[int]] = []
+        for text in texts:
+            first, *rest = text.split(END_TEXT)
+            row: Sequence[int] = first.encode("utf-8")
+            if rest:
+                row = [*row, *(i for part in rest for i in (END_ID, *part.encode("utf-8")))]
+            rows.append(row)
+        return rows
 
     return encode
 
@@ -67,9 +78,8 @@ def vocabulary(texts: DataFrame, size: int, column: str = "content") -> DataFram
 
     Counts are combined before the shuffle, so frequent words cost one row per task.
     """
-    counts = texts.select(F.explode(word_pieces(F.col(column))).alias("piece")).groupBy("piece").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    pieces = texts.select(F.explode(word_pieces(F.col(column))).alias("piece")).filter(F.col("piece") != END_TEXT)
+    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     kept = counts.orderBy(F.col("n").desc(), "piece").limit(size)
     by_rank = Window.orderBy(F.col("n").desc(), "piece")  # over at most ``size`` rows
     return kept.withColumn("token_id", (F.row_number().over(by_rank) + (FIRST_WORD_ID - 1)).cast("int"))
@@ -101,7 +111,7 @@ def word_tokenizer(vocab: DataFrame) -> Callable[[], Encoder]:
             for text in texts:
                 row: list[int] = []
                 for piece in split(text):
-                    token = known.get(piece)
+                    token = END_ID if piece == END_TEXT else known.get(piece)
                     if token is None:
                         row.extend(piece.encode("utf-8"))
                     else:
@@ -126,9 +136,12 @@ def decode_words(ids: Column, vocab: DataFrame) -> Column:
     return decode(ids)
 
 
-def token_preview(tokenized: DataFrame, vocab: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """A few rows for the eye: ids and the text they stand for."""
-    shown = sample_rows(tokenized, key, n, seed)
+def token_preview(texts: DataFrame, vocab: DataFrame, key: str, n: int, seed: int, column: str = "content") -> DataFrame:
+    """A few rows for the eye: ids and the text they stand for. Keys are drawn first, so only these rows are moved and
+    tokenized."""
+    drawn = sample_rows(texts.select(key), key, n, seed)
+    few = texts.join(F.broadcast(drawn), key, "left_semi")  # at most ``n`` keys
+    shown = tokenize(few, word_tokenizer(vocab), column)
     return shown.select(key, "input_ids", decode_words(F.col("input_ids"), vocab).alias("decoded"))
 
 

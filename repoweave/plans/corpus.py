@@ -24,22 +24,6 @@ IN_REPO_SHUFFLE = 2
 DEPENDENCY_ORDER = 3
 
 
-def over_budget(
-    nodes: DataFrame, edges: DataFrame, max_nodes: int | None = None, max_edges: int | None = None
-) -> DataFrame:
-    """Repositories whose graph exceeds a limit: ``(repo_name, fallback_reason)``."""
-    sizes = nodes.groupBy("repo_name").agg(F.count(F.lit(1)).alias("n_nodes")).join(
-        edges.groupBy("repo_name").agg(F.count(F.lit(1)).alias("n_edges")), "repo_name", "left"
-    )
-    checks = []
-    if max_nodes is not None:
-        checks.append(F.when(F.col("n_nodes") > max_nodes, F.lit("too many nodes")))
-    if max_edges is not None:
-        checks.append(F.when(F.col("n_edges") > max_edges, F.lit("too many edges")))
-    reason = F.coalesce(*checks) if checks else F.lit(None).cast("string")
-    return sizes.select("repo_name", reason.alias("fallback_reason")).filter(F.col("fallback_reason").isNotNull())
-
-
 def records_of(files: DataFrame, seed: int) -> DataFrame:
     """Finished records; all other columns of ``files`` stay."""
     return files.withColumns(
@@ -67,18 +51,15 @@ def corpus(
     seed: int = 0,
     order: str = "dependency",
     languages: Sequence[str] = DEFAULT_LANGUAGES,
-    max_nodes: int | None = None,
-    max_edges: int | None = None,
     local_edges: int = LOCAL_EDGES,
     graph: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Records ``repo_ord, repo_name, rel_path, file_path, language, content, fallback_reason`` and sort columns.
+    """Records ``repo_ord, repo_name, rel_path, file_path, language, content`` and sort columns.
 
     ``files`` has ``repo_ord, repo_name, rel_path, file_path, content``, one row per file, and optionally
     ``selected``; files that are not selected take part in the import graph only. ``order_group, order_key`` sort the
     corpus: setting 1 shuffles everything, setting 2 shuffles within each repository, setting 3 puts imported files before
-    their importers. ``order="walk"`` leaves setting 3 in directory order. With a budget, repositories above it are
-    shuffled instead and say why. ``graph`` is a stored ``(nodes, edges)`` pair to use instead of building one.
+    their importers. ``order="walk"`` leaves setting 3 in directory order. ``graph`` is a stored ``(nodes, edges)`` pair to use instead of building one.
     """
     if setting not in (GLOBAL_SHUFFLE, IN_REPO_SHUFFLE, DEPENDENCY_ORDER):
         raise ValueError(f"unknown setting {setting}")
@@ -86,42 +67,36 @@ def corpus(
         raise ValueError(f"unknown order {order!r}")
     wanted = files.filter("selected") if "selected" in files.columns else files
     draw = shuffle_key(seed, F.col("file_path"))
-    none = F.lit(None).cast("string")
     zero = F.lit(0)
 
-    def shaped(df: DataFrame, reason: Column, key: Column) -> DataFrame:
+    def shaped(df: DataFrame, key: Column) -> DataFrame:
         group = zero if setting == GLOBAL_SHUFFLE else F.col("repo_ord")
-        keyed = df.withColumns({"fallback_reason": reason, "order_group": group.cast("long"), "order_key": key})
+        keyed = df.withColumns({"order_group": group.cast("long"), "order_key": key})
         return records_of(keyed, seed).select(
-            "repo_ord", "repo_name", "rel_path", "file_path", "language", "content", "fallback_reason", *CORPUS_ORDER
+            "repo_ord", "repo_name", "rel_path", "file_path", "language", "content", *CORPUS_ORDER
         )
 
     shuffled = _key(zero, F.concat_ws(":", draw, "file_path"))
     if setting in (GLOBAL_SHUFFLE, IN_REPO_SHUFFLE):
-        return shaped(wanted, none, shuffled)
+        return shaped(wanted, shuffled)
     if order == "walk":
         walk = walk_key(F.col("rel_path"))
         # Joined with the smallest character, folder parts compare as the array of parts does.
         parts = F.concat_ws("\x01", F.array_join(walk["folder"], "\x01"), F.lit(""), walk["name"])
-        return shaped(wanted, none, _key(zero, parts))
+        return shaped(wanted, _key(zero, parts))
 
-    paths = files.select("repo_name", "rel_path")
-    nodes, edges = graph if graph else (graph_nodes(paths, languages), dependency_edges(files, languages))
-    if max_nodes is None and max_edges is None:
-        levels = shared_checkpoint(topo_levels(nodes, edges, local_edges)).withColumn("fallback_reason", none)
+    # A graph made here goes by manifest entry, as two entries may have one name; a stored one goes by name.
+    repo = F.col("repo_name") if graph else F.col("repo_ord").cast("string")
+    if graph:
+        nodes, edges = graph
     else:
-        edges = shared_checkpoint(edges)
-        over = shared_checkpoint(over_budget(nodes, edges, max_nodes, max_edges))
-        within = salted_join(edges, over, ["repo_name"], ["src"], how="left_anti")
-        levels = shared_checkpoint(topo_levels(nodes, within, local_edges))
-        # A repository over budget is shuffled whole, files outside its graph included.
-        leveled = paths.join(levels, ["repo_name", "rel_path"], "left")
-        levels = salted_join(leveled, over, ["repo_name"], ["rel_path"], how="left")
+        own = files.withColumn("repo_name", repo)
+        nodes, edges = graph_nodes(own.select("repo_name", "rel_path"), languages), dependency_edges(own, languages)
+    levels = shared_checkpoint(topo_levels(nodes, edges, local_edges))
     # Names only up to here: the text is joined once, on a key that is unique per file.
-    placed = attach(wanted, levels, ["repo_name", "rel_path"], "left")
-    reason = F.col("fallback_reason")
-    key = F.when(reason.isNotNull(), shuffled).otherwise(_key(dependency_rank(F.col("level")), F.col("rel_path")))
-    return shaped(placed, reason, key)
+    levels = levels.withColumnRenamed("repo_name", "_repo")
+    placed = attach(wanted.withColumn("_repo", repo), levels, ["_repo", "rel_path"], "left")
+    return shaped(placed, _key(dependency_rank(F.col("level")), F.col("rel_path")))
 
 
 def stored_or_built_graph(

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repoweave.operators.selection import (
+    ENTRY,
     clean_manifest,
+    distinct_entries,
     package_links,
     selection_manifest,
     top_packages,
     top_repos,
     unreachable,
+    without_files,
 )
 from repoweave.operators.joins import salted_join
 from repoweave.operators.tokens import pad_truncate, tokenize, tokenizer
@@ -46,8 +49,6 @@ class CorpusConfig:
     language: str = "python"
     seed: int = 0
     dedupe: bool = False
-    max_nodes: int | None = None
-    max_edges: int | None = None
     graph_store: str | None = None
     search_pages: str | None = None
     package_ranking: str | None = None
@@ -81,7 +82,7 @@ def select_repos(spark: SparkSession, config: CorpusConfig) -> DataFrame:
     by_rank = Window.orderBy("_first", "_second")  # over at most top_k rows
     if config.get_repos_from == "github":
         chosen = top_repos(read_search_pages(spark, config.search_pages), config.top_k).select(
-            "name", F.col("html_url").alias("url"), (-F.col("stars")).alias("_first"), F.col("name").alias("_second")
+            "name", F.col("html_url").alias("url"), F.col("page").alias("_first"), F.col("at").alias("_second")
         )
     elif config.get_repos_from == "pypi":
         ranked = top_packages(read_package_ranking(spark, config.package_ranking), config.top_k)
@@ -99,12 +100,12 @@ def select_repos(spark: SparkSession, config: CorpusConfig) -> DataFrame:
 
 
 def repeat_entries(records: DataFrame, manifest: DataFrame, setting: int) -> DataFrame:
-    """Emit a repository once per manifest entry. ``records`` holds each at its first entry.
+    """Emit a repository once per manifest entry. ``records`` holds each name, path and extensions at its first entry.
 
     Only repeated entries take part in the join; they are broadcast up to a checked number.
     """
     repeated, seen = shared_checkpoint(
-        manifest.groupBy("repo_name")
+        manifest.groupBy(*ENTRY)
         .agg(F.min("repo_ord").alias("repo_ord"), F.collect_list("repo_ord").alias("_entries"))
         .filter(F.size("_entries") > 1)
         .select("repo_ord", "_entries"),
@@ -130,34 +131,45 @@ def write_tokenized(records: DataFrame, config: CorpusConfig, mode: str) -> None
     write_tokens(ids.withColumn("input_ids", padded), config.output_tokenized, place, mode)
 
 
-def rejects(manifest: DataFrame, files: DataFrame, records: DataFrame) -> DataFrame:
+def in_file_order(cached: DataFrame) -> DataFrame:
+    """A stored corpus with sort columns for the order of its files and of the lines in each.
+
+    Line numbers come from the place of a row in its split: a file's splits are numbered in order, rows within a split
+    by the order in which they are read. Staged, so that all later passes see one numbering.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at"))
+    staged = cached.select("*", place.alias("order_key"))
+    zero = F.lit(0)
+    return shared_table(staged.withColumns({"order_group": zero.cast("long"), "repo_ord": zero}))
+
+
+def rejects(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """What did not go as planned: ``(repo_name, rel_path, stage, reason)``. Reads names only."""
-    shuffled = records.filter(F.col("fallback_reason").isNotNull()).select(
-        "repo_name", F.lit(None).cast("string").alias("rel_path"), F.lit("order").alias("stage"),
-        F.col("fallback_reason").alias("reason"),
-    )
-    return unreachable(manifest).unionByName(read_rejects(files)).unionByName(shuffled.distinct())
+    return unreachable(manifest).unionByName(read_rejects(files)).unionByName(without_files(manifest, files))
 
 
 def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
     """Build the corpus, write it to ``data_file`` (and ``output_file``), and return it as read back."""
+    mode = "overwrite" if config.overwrite else "errorifexists"
     if config.use_cache:
-        return read_corpus(spark, config.data_file)
+        cached = read_corpus(spark, config.data_file)
+        if config.tokenize:
+            write_tokenized(in_file_order(cached), config, mode)
+        return cached
     manifest = select_repos(spark, config)
-    mode = "overwrite" if config.overwrite else "errorifexists"
     # The tree is read once. Later steps read the staged table: names alone, or the text in large splits.
-    files = shared_table(scan_repos(clean_manifest(manifest, dedupe=True)))
+    entries = clean_manifest(manifest, dedupe=True) if config.dedupe else distinct_entries(manifest)
+    files = shared_table(scan_repos(entries))
     graph = None
     if config.setting == DEPENDENCY_ORDER and config.graph_store:
         graph = stored_or_built_graph(files, config.graph_store)
-    records = corpus(
-        files, config.setting, seed=config.seed, max_nodes=config.max_nodes, max_edges=config.max_edges, graph=graph
-    )
-    emitted = records if config.dedupe else repeat_entries(records, manifest, config.setting)
+    records = corpus(files, config.setting, seed=config.seed, graph=graph)
+    # Ordered once: every target and the tokens read the staged rows.
+    emitted = shared_table(records if config.dedupe else repeat_entries(records, manifest, config.setting))
     for target in filter(None, dict.fromkeys([config.data_file, config.output_file])):
         write_corpus(emitted, target, mode=mode)
     if config.rejects_file:
-        write_jsonl(rejects(manifest, files, records), config.rejects_file, mode)
+        write_jsonl(rejects(manifest, files), config.rejects_file, mode)
     if config.tokenize:
         write_tokenized(emitted, config, mode)
     return read_corpus(spark, config.data_file)

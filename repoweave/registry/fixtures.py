@@ -1,26 +1,26 @@
 """Corpus-shaped views over the test tables.
 
 The same SQL text runs on Spark and on DuckDB, so both sides of a check start from equal rows. ``doc_id`` runs
-through the sources in turn, so the index of a document within its source is ``floor(doc_id / 20)``: no window.
+through the sources in turn, so the index of a document within its source is ``floor(doc_id / 20)``, and the size of a source
+follows from the number of documents: no window, and no join of texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoweave.sources.tables import spread_rows
-
 CODE_FILES = """
 select d.source as repo_name,
        concat('m', d.idx, '.py') as rel_path,
        concat('repos/', d.source, '/m', d.idx, '.py') as file_path,
        concat('import os, sys', chr(10), 'from pkg.sub import y', chr(10),
               'import m', cast(floor(d.idx / 2) as bigint), ' as parent', chr(10),
-              case when d.idx % 10 = 3 then concat('  from m', least(2 * d.idx, s.n - 1), ' import x', chr(10)) else '' end,
-              case when d.idx % 5 = 0 then concat('import m', (d.idx + 1) % s.n, chr(10)) else '' end,
+              case when d.idx % 10 = 3 then concat('  from m', least(2 * d.idx, d.n - 1), ' import x', chr(10)) else '' end,
+              case when d.idx % 5 = 0 then concat('import m', (d.idx + 1) % d.n, chr(10)) else '' end,
               d.text) as content
-from (select source, cast(floor(doc_id / 20) as bigint) as idx, text from documents) d
-join (select source, count(*) as n from documents group by source) s on d.source = s.source
+from (select source, cast(floor(doc_id / 20) as bigint) as idx, text,
+             cast(floor(((select count(*) from documents) - 1 - doc_id % 20) / 20) as bigint) + 1 as n
+      from documents) d
 """
 
 # The same files spread over three folders, with each base name in more than one of them.
@@ -71,13 +71,8 @@ from pages
 TABLES = ("documents", "pages", "part", "benchmark", "labels", "conversations")
 
 
-# Tables with long texts: their rows are worth dealing out before parsing.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_rows(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

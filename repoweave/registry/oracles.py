@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from repoweave.functions.records import END_MARK, FILE_MARK, REPO_MARK
-from repoweave.operators.selection import BLACKLIST, MIN_SIZE_KB, WHITELIST
-from repoweave.operators.tokens import END_ID, FIRST_WORD_ID, IGNORED_LABEL, PIECE
 from repoweave.registry import fixtures as fx
 from repoweave.registry.queries import (
-    CUT, MAX_EDGES, PAGE_ITEMS, PRESENT, ROW_LENGTH, SAMPLE, SEED, TOP, VOCAB,
+    CUT, PAGE_ITEMS, PRESENT, ROW_LENGTH, SAMPLE, SEED, TOP, VOCAB,
 )
 
+# Fixed values, written out so that a wrong constant in the code under test shows.
+REPO_MARK, FILE_MARK, END_MARK = "<repo_name>", "<file_sep>", "<|endoftext|>"
+END_ID, FIRST_WORD_ID, IGNORED_LABEL = 256, 257, -100
+SQL_PIECE = " ?[^ \\n\\r\\t]+|[ \\n\\r\\t]"
+MIN_SIZE_KB = 100_000
+WHITELIST = ["机器学习"]
+BLACKLIST = [
+    "mirror", "fork", "test", "example", "assignment", "homework",
+    "tutorial", "course", "workshop", "bootcamp", "practice", "solution",
+    "interview", "coding", "challenge", "template", "study", "education",
+    "教程", "学习", "教育", "课程", "练习", "解决方案", "挑战", "作业", "测试", "示例",
+    "教學", "學習", "教育", "課程", "練習", "解決方案", "挑戰", "作業", "測試", "示例",
+    "チュートリアル", "学習", "教育", "コース", "演習", "解決", "チャレンジ", "課題", "テスト", "例",
+    "튜토리얼", "학습", "교육", "코스", "연습", "해결", "도전", "과제", "테스트", "예제",
+]
+
 CODE = f"code_files as ({fx.CODE_FILES})"
 NUMBERED = f"""{CODE},
 numbered as (select *, cast(substr(repo_name, 4) as integer) as repo_ord from code_files)"""
 JAVA = f"java_files as ({fx.JAVA_FILES})"
-JAVA_EVEN = f"java_files as (select * from ({fx.JAVA_FILES}) where cast(substr(repo_name, 4) as integer) % 2 = 0)"
-MIXED = "mixed_files as (select * from code_files union all select * from java_files)"
 NESTED = f"nested_files as ({fx.NESTED_FILES})"
 BOTH = f"{CODE}, {JAVA}, both_files as (select * from code_files union all select * from java_files)"
 ITEMS = f"items as ({fx.SEARCH_ITEMS})"
@@ -104,9 +115,9 @@ def _record(content: str = "content") -> str:
 _ORDER = f"{_draw('order', 'file_path')}, file_path"
 
 
-def _corpus(window: str, source: str = "numbered", reason: str = "cast(null as varchar)") -> str:
+def _corpus(window: str, source: str = "numbered") -> str:
     return f"""select repo_ord, repo_name, file_path, string_split(file_path, '.')[-1] as language, {_record()} as content,
-  {reason} as fallback_reason, row_number() over ({window}) - 1 as pos from {source}"""
+  row_number() over ({window}) - 1 as pos from {source}"""
 
 
 def _words(items: list[str]) -> str:
@@ -128,11 +139,15 @@ manifest as (
   union all
   select number + 1000, repo_name, concat(path, '/again') from once where number % 3 = 0)"""
 
-_SQL_PIECE = PIECE.replace("\\\\", "\\")
+# Records end in the end marker and hold it nowhere else: it is cut off, and its id put behind the ids of the rest.
 TOKENS = f"""
+{NUMBERED},
+recs as (
+  select file_path as doc_id, substr(content, 1, length(content) - {len(END_MARK)}) as text
+  from (select file_path, {_record()} as content from numbered)),
 pieces as (
   select doc_id, unnest(p) as piece, unnest(range(len(p))) as nth
-  from (select doc_id, regexp_extract_all(text, '{_SQL_PIECE}') as p from documents)),
+  from (select doc_id, regexp_extract_all(text, '{SQL_PIECE}') as p from recs)),
 vocab as (
   select piece, n, cast({FIRST_WORD_ID - 1} + row_number() over (order by n desc, piece) as integer) as token_id
   from (select piece, count(*) as n from pieces group by piece order by n desc, piece limit {VOCAB})),
@@ -143,7 +158,8 @@ coded as (
   from pieces p left join vocab v on p.piece = v.piece),
 filled as (select doc_id, flatten(list(ids order by nth)) as ids from coded group by doc_id),
 word_ids as (
-  select d.doc_id, coalesce(f.ids, cast([] as integer[])) as ids from documents d left join filled f on f.doc_id = d.doc_id),
+  select d.doc_id, list_append(coalesce(f.ids, cast([] as integer[])), {END_ID}) as ids
+  from recs d left join filled f on f.doc_id = d.doc_id),
 lengths as (select doc_id, ids, cast(len(ids) as bigint) as n_tokens from word_ids),
 placed as (
   select *, cast(coalesce(sum(n_tokens) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
@@ -222,23 +238,15 @@ ORACLES: dict[str, str] = {
           from code_files c join node_level l on l.repo_name = c.repo_name and l.rel_path = c.rel_path)
         {_corpus("partition by repo_name order by level desc, rel_path", "leveled")}""",
     "corpus_walk_order": f"with {NUMBERED} {_corpus('partition by repo_name order by rel_path')}",
-    "corpus_budget": f"""with {_graph("mixed_files", "all_edges", f"{CODE}, {JAVA_EVEN}, {ALL_EDGES}, {MIXED}")}, leveled as (
-          select c.*, cast(substr(c.repo_name, 4) as integer) as repo_ord, l.level,
-            case when (select count(*) from all_edges e where e.repo_name = c.repo_name) > {MAX_EDGES}
-                 then 'too many edges' end as reason
-          from mixed_files c join node_level l on l.repo_name = c.repo_name and l.rel_path = c.rel_path)
-        {_corpus("partition by repo_name order by case when reason is null then -level end, "
-                 "case when reason is null then rel_path else " + _draw("order", "file_path") + " end, file_path",
-                 "leveled", "reason")}""",
     "invalid_description": f"with {ITEMS} select name, {INVALID} as invalid from items",
     "repo_candidates": f"with {ITEMS} select * from items where has_issues and size > {MIN_SIZE_KB} and not {INVALID}",
-    "top_repos": f"""with {ITEMS} select name, html_url, stars from items
-        where has_issues and size > {MIN_SIZE_KB} and not {INVALID} order by stars desc, name limit {TOP}""",
+    "top_repos": f"""with {ITEMS} select cast(floor(row_ord / {PAGE_ITEMS}) as bigint) as page, name, html_url from items
+        where has_issues and size > {MIN_SIZE_KB} and not {INVALID} order by row_ord limit {TOP}""",
     "top_packages": f"with {PACKAGES} select * from packages order by download_count desc, row_ord limit {TOP}",
     "selection_manifest": f"""with {ITEMS} select cast(row_ord as integer) as repo_ord, name as repo_name, html_url as url,
         concat('repos/', name) as path, '.java' as extensions from items""",
     "search_page_items": f"""with {ITEMS} select cast(floor(row_ord / {PAGE_ITEMS}) as bigint) as page,
-        row_ord % {PAGE_ITEMS} as "at", name, html_url, stars, has_issues, size, description from items""",
+        row_ord % {PAGE_ITEMS} as "at", name, html_url, stars as stargazers_count, has_issues, size, description from items""",
     "search_page_sizes": f"""with {ITEMS} select cast(floor(row_ord / {PAGE_ITEMS}) as bigint) as page,
         count(*) as n_items from items group by 1""",
     "package_ranking_rows": f"with {PACKAGES} select row_ord, project, download_count from packages",
@@ -265,10 +273,12 @@ ORACLES: dict[str, str] = {
         concat('repos/p', doc_id, '/src/main.py') as file_path, text as content from documents""",
     "jsonl_round_trip": f"""with {CODE} select repo_name, file_path, 'py' as language, substr({_record()}, 1, {CUT}) as content
         from code_files""",
+    "mixed_corpus": f"""with {BOTH} select repo_name, file_path, string_split(file_path, '.')[-1] as language, {_record()} as content
+        from both_files""",
     "vocabulary": f"with {TOKENS} select piece, n, token_id from vocab",
     "tokenize_words": f"with {TOKENS} select doc_id, array_to_string(ids, ' ') as ids from word_ids",
-    "tokenize_bytes": """select doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'),
-        lambda h: cast(concat('0x', h) as integer)), ' ') as ids from documents""",
+    "tokenize_bytes": f"""with {TOKENS} select doc_id, array_to_string(list_append(list_transform(
+        regexp_extract_all(hex(encode(text)), '..'), lambda h: cast(concat('0x', h) as integer)), {END_ID}), ' ') as ids from recs""",
     "training_rows": f"""with {TOKENS}, padded as (
           select doc_id, list_resize(ids, {ROW_LENGTH}, {END_ID}) as row,
                  list_resize(list_resize(cast([] as integer[]), least(len(ids), {ROW_LENGTH}), 1), {ROW_LENGTH}, 0) as mask
@@ -284,7 +294,7 @@ ORACLES: dict[str, str] = {
     "distinct_tokens": f"""with {TOKENS} select count(distinct token) as n_distinct_tokens
         from (select unnest(ids) as token from word_ids)""",
     "token_preview": f"""with {TOKENS} select w.doc_id, array_to_string(w.ids, ' ') as ids, d.text as decoded
-        from word_ids w join documents d on d.doc_id = w.doc_id
+        from word_ids w join recs d on d.doc_id = w.doc_id
         order by {_draw("order", "w.doc_id")}, w.doc_id limit {SAMPLE}""",
     "stored_tokens": f"""with {TOKENS} select doc_id, "offset", n_tokens, array_to_string(ids, ' ') as ids from placed""",
 }

@@ -23,7 +23,7 @@ from repoweave.sinks.corpus import to_jsonl, write_corpus
 from repoweave.sinks.graph import save_graph
 from repoweave.sinks.tokens import write_tokens
 from repoweave.sources.archives import archive_files
-from repoweave.sources.tables import items_per_page, package_rows, read_corpus, search_items
+from repoweave.sources.tables import items_per_page, package_rows, read_corpus, read_search_pages
 from repoweave.sources.tree import scan_repos
 from repoweave.sources.web import page_links
 
@@ -35,7 +35,6 @@ TOP = 100
 SAMPLE = 50
 PAGE_ITEMS = 30
 RANKING_ROWS = 500
-MAX_EDGES = 80
 PRESENT = 12
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,7 +272,7 @@ def sample_rows(spark, sf):
     return order.sample_rows(_texts(spark, sf), "doc_id", SAMPLE, SEED)
 
 
-RECORD = ["repo_ord", "repo_name", "file_path", "language", "content", "fallback_reason", "pos"]
+RECORD = ["repo_ord", "repo_name", "file_path", "language", "content", "pos"]
 
 
 def _corpus(setting: int, **options) -> Query:
@@ -290,14 +289,6 @@ corpus_setting3 = _corpus(3)
 corpus_walk_order = _corpus(3, order="walk")
 
 
-def corpus_budget(spark, sf):
-    """Every second repository also holds Java files, which takes it over the budget on small data."""
-    number = F.substring("repo_name", 4, 10).cast("int")
-    files = _code(spark, sf).unionByName(_java(spark, sf).filter(number % 2 == 0)).withColumn("repo_ord", number)
-    records = plan.corpus(files, 3, seed=SEED, max_edges=MAX_EDGES)
-    return plan.with_positions(records, 3).select(*RECORD)
-
-
 # ---- selection ------------------------------------------------------------------------------------------------
 
 
@@ -310,7 +301,8 @@ def repo_candidates(spark, sf):
 
 
 def top_repos(spark, sf):
-    return sel.top_repos(_items(spark, sf), TOP).select("name", "html_url", "stars")
+    """From stored pages, written by one query and read back from their files."""
+    return sel.top_repos(_stored_pages(spark, sf), TOP).select("page", "name", "html_url")
 
 
 def top_packages(spark, sf):
@@ -323,7 +315,7 @@ def selection_manifest(spark, sf):
 
 
 def _search_pages(spark, sf):
-    item = F.struct("row_ord", "name", "html_url", "stars", "has_issues", "size", "description")
+    item = F.struct("row_ord", "name", "html_url", F.col("stars").alias("stargazers_count"), "has_issues", "size", "description")
     page = F.floor(F.col("row_ord") / PAGE_ITEMS).alias("page")
     return (
         _items(spark, sf)
@@ -332,8 +324,16 @@ def _search_pages(spark, sf):
     )
 
 
+def _stored_pages(spark, sf):
+    """Items of pages stored one per file, ``p<number>`` in the name of each folder."""
+    path = _folder(spark)
+    named = _search_pages(spark, sf).select(F.concat(F.lit("p"), "page").alias("file"), "json")
+    named.repartition("file").write.partitionBy("file").text(path)
+    return read_search_pages(spark, f"{path}/*", r"file=p(\d+)")
+
+
 def search_page_items(spark, sf):
-    return search_items(_search_pages(spark, sf)).withColumn("at", F.col("at").cast("long"))
+    return _stored_pages(spark, sf).withColumn("at", F.col("at").cast("long"))
 
 
 def search_page_sizes(spark, sf):
@@ -483,16 +483,36 @@ def jsonl_round_trip(spark, sf):
     return read_corpus(spark, f"{path}/cut")
 
 
+def mixed_corpus(spark, sf):
+    """One folder with arrays (Java, several lines each) and JSON Lines (Python), each read by its own names."""
+    path = _folder(spark)
+    records = plan.corpus(_both(spark, sf).withColumn("repo_ord", F.substring("repo_name", 4, 10).cast("int")), 2, seed=SEED)
+    records = records.select("repo_name", "file_path", "language", "content")
+    write_corpus(records.filter("language = 'py'").withColumns({c: F.lit(0) for c in plan.CORPUS_ORDER}), f"{path}/all")
+    every = F.sort_array(F.collect_list(F.struct(*records.columns)))
+    arrays = records.filter("language = 'java'").groupBy("repo_name").agg(every.alias("rows"))
+    text = arrays.select(F.concat(F.lit("\n\n"), F.to_json("rows", {"pretty": "true"})))
+    text.write.mode("append").option("maxRecordsPerFile", 1).text(f"{path}/all")
+    stored = read_corpus(spark, f"{path}/all", multiline=True, glob="*.txt")
+    return read_corpus(spark, f"{path}/all", glob="*.json").unionByName(stored)
+
+
 # ---- tokens ---------------------------------------------------------------------------------------------------
 
 
+def _records(spark, sf):
+    """Corpus records of all files, by path."""
+    records = plan.corpus(_numbered_code(spark, sf), 2, seed=SEED)
+    return records.select(F.col("file_path").alias("doc_id"), "content")
+
+
 def _word_ids(spark, sf):
-    texts = _texts(spark, sf)
+    texts = _records(spark, sf)
     return tokens.tokenize(texts, tokens.word_tokenizer(tokens.vocabulary(texts, VOCAB)))
 
 
 def vocabulary(spark, sf):
-    return tokens.vocabulary(_texts(spark, sf), VOCAB)
+    return tokens.vocabulary(_records(spark, sf), VOCAB)
 
 
 def tokenize_words(spark, sf):
@@ -500,7 +520,7 @@ def tokenize_words(spark, sf):
 
 
 def tokenize_bytes(spark, sf):
-    tokenized = tokens.tokenize(_texts(spark, sf), tokens.byte_tokenizer)
+    tokenized = tokens.tokenize(_records(spark, sf), tokens.byte_tokenizer)
     return tokenized.select("doc_id", _ids_as_text("input_ids").alias("ids"))
 
 
@@ -528,9 +548,9 @@ def distinct_tokens(spark, sf):
 
 
 def token_preview(spark, sf):
-    texts = _texts(spark, sf)
+    texts = _records(spark, sf)
     vocab = tokens.vocabulary(texts, VOCAB)
-    shown = tokens.token_preview(tokens.tokenize(texts, tokens.word_tokenizer(vocab)), vocab, "doc_id", SAMPLE, SEED)
+    shown = tokens.token_preview(texts, vocab, "doc_id", SAMPLE, SEED)
     return shown.select("doc_id", _ids_as_text("input_ids").alias("ids"), "decoded")
 
 
@@ -552,7 +572,7 @@ ALL = [
     invalid_description, repo_candidates, top_repos, top_packages, selection_manifest, search_page_items,
     search_page_sizes, package_ranking_rows, manifest_as_written, manifest_deduped, missing_repos, first_link,
     package_links, rejects, archive_name,
-    scanned_repos, archive_members, jsonl_round_trip,
+    scanned_repos, archive_members, jsonl_round_trip, mixed_corpus,
     vocabulary, tokenize_words, tokenize_bytes, training_rows, token_offsets, flatten_tokens, token_stats,
     distinct_tokens, token_preview, stored_tokens,
 ]
@@ -563,5 +583,4 @@ QUERIES: dict[str, Query] = {
     "corpus_setting2": corpus_setting2,
     "corpus_setting3": corpus_setting3,
     "corpus_walk_order": corpus_walk_order,
-    "corpus_budget": corpus_budget,
 }

@@ -10,28 +10,23 @@ from repoweave.functions.records import RECORD_SCHEMA
 
 PACKAGE_LIST = "rows array<struct<project: string, download_count: bigint>>"
 SEARCH_PAGE = (
-    "items array<struct<name: string, html_url: string, stars: bigint, has_issues: boolean, size: bigint, "
+    "items array<struct<name: string, html_url: string, stargazers_count: bigint, has_issues: boolean, size: bigint, "
     "description: string>>"
 )
 
 
-def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by ``key`` when they lie in fewer files than the cluster has cores.
+def read_corpus(
+    spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType = RECORD_SCHEMA, glob: str | None = None
+) -> DataFrame:
+    """A finished corpus: JSON Lines, read in splits, or with ``multiline`` JSON arrays, one task per file.
 
-    A Parquet row group is read by one task, so work on a few large files would leave most cores idle. Inputs
-    with enough files pass through unchanged, without a shuffle.
+    The form is the caller's to say, and a row that does not parse raises. ``glob`` picks files by name, so a folder that
+    holds both forms is the union of two reads.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
-def read_corpus(spark: SparkSession, path: str, multiline: bool | None = None, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """A finished corpus, as JSON Lines or as JSON arrays. Lines are read in splits; an array has to be parsed by one
-    task per file. Unless told, the first character decides."""
-    if multiline is None:
-        start = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1)).first()
-        multiline = start is not None and start[0] == "["
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    reader = spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST")
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.json(path)
 
 
 def package_rows(documents: DataFrame, base: str = "first_row") -> DataFrame:
@@ -61,9 +56,10 @@ def items_per_page(pages: DataFrame) -> DataFrame:
     return pages.select("page", F.size(F.from_json("json", SEARCH_PAGE)["items"]).cast("long").alias("n_items"))
 
 
-def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored search responses, one JSON document per file named by its page number."""
+def read_search_pages(spark: SparkSession, path: str, page_pattern: str = r"(\d+)[^/0-9]*$") -> DataFrame:
+    """Stored search responses, one JSON document per file. ``page_pattern`` finds the page number in a file's path, by
+    default the last number in it."""
     text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return search_items(
-        text.select(F.regexp_extract("file", r"(\d+)[^/]*$", 1).cast("long").alias("page"), F.col("value").alias("json"))
+        text.select(F.regexp_extract("file", page_pattern, 1).cast("long").alias("page"), F.col("value").alias("json"))
     )

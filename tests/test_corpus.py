@@ -87,15 +87,6 @@ def test_coin_is_fair_and_unrelated_to_the_shuffle(spark):
     assert 850 < sum(rows[:2000]) < 1150
 
 
-def test_budget_falls_back_to_shuffle(spark, files):
-    limited = corpus(files, 3, max_nodes=3, seed=1)
-    assert {(r.repo_name, r.fallback_reason) for r in limited.collect()} == {("z", "too many nodes"), ("a", None)}
-    # The whole repository is shuffled as setting 2 would, files outside the graph included.
-    assert ordered(limited) == ordered(corpus(files, 2, seed=1))[:4] + [("a", "x.py"), ("a", "w.py"), ("a", "y.py")]
-    assert all(r.fallback_reason == "too many edges" for r in corpus(files, 3, max_edges=2).collect())
-    assert not any(r.fallback_reason for r in corpus(files, 3, max_nodes=4, max_edges=3).collect())
-
-
 def test_positions(spark, files):
     rows = with_positions(corpus(files, 3), 3).collect()
     assert {(r.repo_name, r.rel_path): r.pos for r in rows}[("z", "notes.md")] == 3
@@ -202,12 +193,21 @@ def test_preset_run(spark, checkout, dedupe):
     assert cached.count() == (3 if dedupe else 4)
 
 
+def test_entries_of_one_name_are_told_apart(spark, checkout):
+    entry = {"url": "u", "name": "one", "extensions": [".py"]}
+    repos = [{"x": {**entry, "path": "one/src"}}, {"y": {**entry, "path": "one/other"}}, {"z": {**entry, "path": "one/src"}}]
+    cfg = config(checkout, setting=3, repos=repos)
+    prepare(spark, cfg)
+    names = [os.path.relpath(r["file_path"], checkout / "repos") for r in lines_of(cfg.data_file)]
+    assert names == ["one/src/a.py", "one/src/b.py", "one/other/c.py", "one/src/a.py", "one/src/b.py"]
+
+
 def test_ranked_runs(spark, checkout):
     item = {"html_url": "u", "has_issues": True, "size": 200_000, "description": "fine"}
     pages = checkout / "pages"
     pages.mkdir()
-    (pages / "1.json").write_text(json.dumps({"items": [{**item, "name": "one", "stars": 5}, {**item, "name": "two", "stars": 9}]}))
-    (pages / "2.json").write_text(json.dumps({"items": [{**item, "name": "far", "stars": 1}]}))
+    (pages / "1.json").write_text(json.dumps({"items": [{**item, "name": "two", "stargazers_count": 5}, {**item, "name": "one", "stargazers_count": 9}]}))
+    (pages / "2.json").write_text(json.dumps({"items": [{**item, "name": "far", "stargazers_count": 99}]}))
     cfg = config(
         checkout, setting=3, ignore_preset_repos=True, search_pages=str(pages), top_k=2,
         graph_store=str(checkout / "graphs"),
@@ -233,11 +233,11 @@ def test_ranked_runs(spark, checkout):
 
 def test_rejects_are_listed(spark, checkout):
     os.symlink(checkout / "gone", checkout / "repos" / "one" / "src" / "gone.py")
-    cfg = config(checkout, setting=3, max_nodes=2, rejects_file=str(checkout / "rejects"))
+    cfg = config(checkout, setting=3, rejects_file=str(checkout / "rejects"))
     cfg.repos[0]["two"]["url"] = None
     prepare(spark, cfg)
     found = {(r["repo_name"], r["rel_path"], r["stage"]) for r in lines_of(cfg.rejects_file)}
-    assert found == {("two", None, "download"), ("one", "gone.py", "read"), ("one", None, "order")}
+    assert found == {("two", None, "download"), ("one", "gone.py", "read")}
 
 
 def test_tokenized_run(spark, checkout):
@@ -246,7 +246,11 @@ def test_tokenized_run(spark, checkout):
     texts = [r["content"].encode() for r in lines_of(cfg.data_file)]
     rows = spark.read.parquet(cfg.output_tokenized).orderBy("offset").collect()
     assert [r.offset for r in rows] == [0, 12, 24, 36]
-    assert [r.input_ids for r in rows] == [list(t[:12]) + [256] * (12 - len(t[:12])) for t in texts]
+    assert [r.input_ids for r in rows] == [([*t[: -len(b"<|endoftext|>")], 256] + [256] * 12)[:12] for t in texts]
+    again = config(checkout, use_cache=True, tokenize=True, max_length=12, output_tokenized=str(checkout / "again"))
+    prepare(spark, again)
+    cached = spark.read.parquet(again.output_tokenized).orderBy("offset").collect()
+    assert [r.input_ids for r in cached] == [r.input_ids for r in rows]
     with pytest.raises(ValueError):
         prepare(spark, config(checkout, overwrite=True, tokenize=True, tokenizer="other", output_tokenized="x"))
 

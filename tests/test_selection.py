@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from repoweave.functions.imports import extension_of
 from repoweave.operators import selection as sel
 
-ITEM = "name string, html_url string, stars long, has_issues boolean, size long, description string"
+ITEM = "page long, at long, name string, html_url string, has_issues boolean, size long, description string"
 
 
 @pytest.mark.parametrize(
@@ -36,9 +36,9 @@ def test_every_blacklisted_word_counts(spark):
 
 
 def test_top_repos_filter_before_limit(spark):
-    rows = [(f"n{i}", "u", 100 - i, i % 2 == 0, 100_000 + i % 3, "ok") for i in range(30)]
-    got = [r.name for r in sel.top_repos(spark.createDataFrame(rows, ITEM), 4).collect()]
-    kept = [n for n, _, _, issues, size, _ in rows if issues and size > 100_000]
+    rows = [(i // 7, i % 7, f"n{99 - i}", "u", i % 2 == 0, 100_000 + i % 3, "ok") for i in range(30)]
+    got = [r.name for r in sel.top_repos(spark.createDataFrame(rows, ITEM).repartition(3), 4).collect()]
+    kept = [n for _, _, n, _, issues, size, _ in rows if issues and size > 100_000]
     assert got == kept[:4]
 
 

@@ -147,18 +147,31 @@ def test_read_corpus_forms(spark, tmp_path, form):
     text = "\n".join(map(json.dumps, records)) if form == "lines" else json.dumps(records, indent=4 if form == "array" else None)
     path = str(tmp_path / "data.json")
     write(path, text.encode())
-    assert sorted(tables.read_corpus(spark, path).collect()) == sorted(
-        (r["repo_name"], r["file_path"], r["language"], r["content"]) for r in records
-    )
+    expected = sorted((r["repo_name"], r["file_path"], r["language"], r["content"]) for r in records)
+    assert sorted(tables.read_corpus(spark, path, multiline=form != "lines").collect()) == expected
+
+
+def test_read_corpus_raises_on_what_does_not_parse(spark, tmp_path):
+    write(str(tmp_path / "broken.json"), b'{"repo_name": "r", "file_path": "f", "language": "py", "content": "c"}\n{"repo_name": "r", \n')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        tables.read_corpus(spark, str(tmp_path / "broken.json")).collect()
+
+
+def test_read_corpus_of_a_mixed_folder(spark, tmp_path):
+    row = {"repo_name": "r", "file_path": "f", "language": "py", "content": "c"}
+    write(str(tmp_path / "a.array.json"), ("\n" + json.dumps([row] * 30, indent=1)).encode())
+    write(str(tmp_path / "b.jsonl"), "\n".join([json.dumps(row)] * 5).encode())
+    arrays = tables.read_corpus(spark, str(tmp_path), multiline=True, glob="*.array.json")
+    assert arrays.unionByName(tables.read_corpus(spark, str(tmp_path), glob="*.jsonl")).count() == 35
 
 
 def test_stored_rankings(spark, tmp_path):
     write(str(tmp_path / "top.json"), json.dumps({"last_update": "x", "rows": [{"project": "b", "download_count": 5}, {"project": "a", "download_count": 5}]}).encode())
     rows = tables.read_package_ranking(spark, str(tmp_path / "top.json")).orderBy("row_ord").collect()
     assert [tuple(r) for r in rows] == [(0, "b", 5), (1, "a", 5)]
-    item = {"name": "n", "html_url": "u", "stars": 3, "has_issues": True, "size": 7, "description": None, "forks": 1}
+    item = {"name": "n", "html_url": "u", "stargazers_count": 3, "has_issues": True, "size": 7, "description": None, "forks": 1}
     for page, n in ((1, 2), (2, 1)):
-        write(str(tmp_path / "pages" / f"page-{page}.json"), json.dumps({"items": [item] * n}).encode())
+        write(str(tmp_path / "pages" / f"search-2024-p{page}.json"), json.dumps({"items": [item] * n}).encode())
     rows = tables.read_search_pages(spark, str(tmp_path / "pages")).orderBy("page", "at").collect()
     assert [(r.page, r.at, r.name, r.size) for r in rows] == [(1, 0, "n", 7), (1, 1, "n", 7), (2, 0, "n", 7)]
 
@@ -183,10 +196,3 @@ def test_first_link(spark):
     assert got == dict(enumerate(PAGES.values()))
 
 
-def test_spread_rows(spark, tmp_path):
-    one, many = str(tmp_path / "one"), str(tmp_path / "many")
-    spark.range(100).coalesce(1).write.parquet(one)
-    spark.range(100).repartition(20).write.parquet(many)
-    assert tables.spread_rows(spark.read.parquet(one), "id").rdd.getNumPartitions() == 8
-    untouched = spark.read.parquet(many)
-    assert tables.spread_rows(untouched, "id") is untouched
