@@ -86,3 +86,27 @@ def test_levels_refuse_a_cycle(spark):
     edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "a")], "repo_name string, src string, dst string")
     with pytest.raises(ValueError):
         graph._levels_distributed(edges)
+
+
+def test_local_step_is_linear_in_depth():
+    import time
+
+    import numpy as np
+
+    n = 200_000
+    chain = np.arange(n - 1), np.arange(1, n)
+    ring = np.arange(n), (np.arange(n) + 1) % n
+    started = time.process_time()
+    assert graph._longest_paths(*chain, n)[-1] == n - 1
+    assert not graph._inside_cycles(*chain, n)[0].any()
+    assert graph._inside_cycles(*ring, n)[0].all() and not graph._smallest_members(*ring, n).any()
+    assert time.process_time() - started < 20
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_large_repositories_with_and_without_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "BROADCAST_REPOS", bound)
+    edges = spark.createDataFrame([("a", "x", "y"), ("a", "y", "z"), ("b", "p", "q"), ("b", "q", "p")], "repo_name string, src string, dst string")
+    assert {tuple(r) for r in graph.break_cycles(edges, local_edges=0).collect()} == {("a", "x", "y"), ("a", "y", "z")}
+    small, large = graph._split_by_size(edges.union(edges.filter("repo_name = 'a'")), 6, 3)
+    assert {r.repo_name for r in small.collect()} == {"b"} and {r.repo_name for r in large.collect()} == {"a"}
