@@ -252,21 +252,27 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def _flagged_words(texts: list[str], toxic: np.ndarray) -> list[str]:
+def _flagged_words(texts: pa.ChunkedArray, toxic: np.ndarray) -> list[str]:
     """Letter runs that mark toxic texts: seen in at least 1% of them (4 at least), ten times as often as elsewhere.
 
     Copies would make every word of theirs look like a mark, so a toxic text that shares half its words with an earlier
     one is passed over. The sample is bounded, and so is this comparison.
     """
-    words = [set(re.findall(r"[a-z\u0080-\U0010ffff]+", t.translate(_LOWER_CASE))) for t in texts]
+    def words(text: str) -> set[str]:
+        return set(re.findall(r"[a-z\u0080-\U0010ffff]+", text.translate(_LOWER_CASE)))
+
     different: list[set[str]] = []
-    for own in (w for w, bad in zip(words, toxic, strict=True) if bad and w):
-        if all(2 * len(own & other) <= min(len(own), len(other)) for other in different):
+    for i in np.flatnonzero(toxic):
+        own = words(texts[int(i)].as_py() or "")
+        if own and all(2 * len(own & other) <= min(len(own), len(other)) for other in different):
             different.append(own)
-    seen = Counter(w for own in different for w in own)
-    elsewhere = Counter(w for own, bad in zip(words, toxic, strict=True) if not bad for w in own)
+    often = max(4, len(different) / 100)
+    seen = {w: c for w, c in Counter(w for own in different for w in own).items() if c >= often}
+    elsewhere: Counter[str] = Counter()
+    for i in np.flatnonzero(~toxic):  # one text at a time, and only words that may still count
+        elsewhere.update(words(texts[int(i)].as_py() or "") & seen.keys())
     n, m = max(1, len(different)), max(1, int((~toxic).sum()))
-    rate = {w: (c / n) / ((elsewhere[w] + 0.5) / m) for w, c in seen.items() if c >= max(4, n / 100)}
+    rate = {w: (c / n) / ((elsewhere[w] + 0.5) / m) for w, c in seen.items()}
     return sorted(sorted((w for w, r in rate.items() if r >= 10), key=lambda w: (-rate[w], w))[:FLAGGED_WORDS])
 
 
@@ -305,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleList:
         .toArrow()
     )
     toxic = np.array(rows.column("_toxic").to_pylist(), dtype=bool)
-    flagged = _flagged_words([t or "" for t in rows.column("t").to_pylist()], toxic) if len(toxic) else []
+    flagged = _flagged_words(rows.column("t"), toxic) if len(toxic) else []
     counted = document_counts(labelled, flagged, ["_id", "_poor", "_toxic"])
     table = (
         counted.select(
