@@ -37,7 +37,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+    elif context.master == "local" or context.master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="repoweave-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
