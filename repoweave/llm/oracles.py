@@ -52,3 +52,23 @@ mixed as (
 
 
 SOURCE_MIX = f"with {source_mix('documents')} select doc_id, size, source_size, target, taken from mixed"
+
+# Documents that link share a shingle, so pairs come from a join on shingles; components from the closure over links.
+SHINGLE_JOIN = f"""with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 2], ' ') as shingle
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as hits
+  from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+  where 100 * hits >= 90 * (a.n + b.n - hits)),
+ways as (select x, y from links union all select y, x from links),
+reach as (select x, y from ways union select r.x, w.y from reach r join ways w on w.x = r.y)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles,
+       least(d.doc_id, (select min(y) from reach r where r.x = d.doc_id)) as component_id
+from documents d left join sizes s on s.doc_id = d.doc_id"""

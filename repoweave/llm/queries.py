@@ -85,4 +85,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op5_source_mix": oracles.SOURCE_MIX,
+    "op7_shingle_join": oracles.SHINGLE_JOIN,
 }
