@@ -156,6 +156,15 @@ def _ask(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select("block", "learn", "text").mapInArrow(scan, "block long, part long, keys binary, counts binary")
 
 
+def _single_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task, one row each."""
+    for batch in batches:
+        for keys, counts in zip(batch.column("keys"), batch.column("counts"), strict=True):
+            pair = np.frombuffer(keys.as_buffer(), dtype=np.uint64).astype(np.int64)
+            n = np.frombuffer(counts.as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+
 class Level:
     """One level of the trie in a range: paths with counts, contexts with total, number of symbols, and the total that
     their symbols have one level below."""
@@ -306,9 +315,9 @@ def score_documents(docs: DataFrame, learn: Column | None = None, block: Column
     rows = docs.select(block.alias("block"), learn.alias("learn"), "doc_id", "text")
     asked = shared_table(_ask(rows, ranges))
     low = np.zeros(256 * SYMBOLS, dtype=np.int64)
-    pairs = asked.filter("part = -1").select("keys", "counts")
-    for row in pairs.toLocalIterator():  # one row per task of at most 256 * 257 counts, one task's rows at a time
-        low[np.frombuffer(row["keys"], dtype=np.uint64).astype(np.int64)] += np.frombuffer(row["counts"], dtype=np.int64)
+    pairs = asked.filter("part = -1").mapInArrow(_single_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    summed = pairs.toArrow()  # at most 256 * 257 rows
+    low[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
     answers = shared_table(_answer(asked.filter("part >= 0"), spark.sparkContext.broadcast(low)))
     sums = answers.agg(F.sum("known").alias("v"), F.sum("learned").alias("n")).first()
     ends = int(total["ends"] or 0)
