@@ -170,24 +170,40 @@ def rendered(kind: str, value: str, new: str) -> str:
 
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
+_UPPER = np.zeros(256, dtype=bool)
+_UPPER[65:91] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def _name_hashes() -> np.ndarray:
+def _name_hashes() -> dict[int, np.ndarray]:
+    """Sorted hashes of the first names by their number of bytes."""
     _, _, flat = next(flat_slices(pa.array(sorted(_OF_NAME)), 1 << 40))
-    return np.sort(span_hash(flat.prefix_hash(), flat.offsets[:-1], flat.offsets[1:]))
-
-
-def suspects(flat: Flat, names: np.ndarray) -> np.ndarray:
-    """Texts that may hold an entity: an at sign, four digits or more, or a known first name as a letter run."""
-    at = np.bincount(flat.doc_of(np.flatnonzero(flat.data == 64)), minlength=flat.n) > 0
-    digits = np.bincount(flat.doc_of(np.flatnonzero(_DIGIT[flat.data])), minlength=flat.n) >= 4
-    starts, ends = flat.runs(_LETTER[flat.data])
-    found = span_hash(flat.prefix_hash(), starts, ends)
-    place = np.minimum(np.searchsorted(names, found), len(names) - 1)
-    named = np.bincount(flat.doc_of(starts[names[place] == found]), minlength=flat.n) > 0
-    return at | digits | named
+    hashes, size = span_hash(flat.prefix_hash(), flat.offsets[:-1], flat.offsets[1:]), np.diff(flat.offsets)
+    return {int(n): np.sort(hashes[size == n]) for n in np.unique(size)}
+
+
+def suspects(flat: Flat, names: dict[int, np.ndarray]) -> np.ndarray:
+    """Texts that may hold an entity, and all that do: an at sign, four digits or more, two capitals before two digits (an
+    account may have no more), or a known first name before a space. A run of letters and bytes of other scripts may
+    begin with signs, such as quotes and dashes, so a name may be any end of it that follows such a byte."""
+    data, digit, upper = flat.data, _DIGIT[flat.data], _UPPER[flat.data]
+    at = np.bincount(flat.doc_of(np.flatnonzero(data == 64)), minlength=flat.n) > 0
+    digits = np.bincount(flat.doc_of(np.flatnonzero(digit)), minlength=flat.n) >= 4
+    coded = np.flatnonzero(upper[:-3] & upper[1:-2] & digit[2:-1] & digit[3:])
+    accounts = np.bincount(flat.doc_of(coded), minlength=flat.n) > 0
+    starts, ends = flat.runs(_LETTER[data])
+    spaced = np.flatnonzero(np.append(data, 0)[ends] == 32)
+    starts, ends = starts[spaced], ends[spaced]
+    prefix = flat.prefix_hash()
+    named = np.zeros(flat.n, dtype=bool)
+    for size, known in names.items():
+        first = ends - size
+        some = np.flatnonzero((first == starts) | ((first > starts) & (data[np.maximum(first - 1, 0)] >= 128)))
+        found = span_hash(prefix, first[some], ends[some])
+        place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        named[flat.doc_of(first[some][known[place] == found])] = True
+    return at | digits | accounts | named
 
 
 def _found(docs: DataFrame) -> DataFrame:

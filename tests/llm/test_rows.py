@@ -257,6 +257,34 @@ def test_surrogates_are_consistent_distinct_and_of_the_same_kind(spark):
     assert surrogates.pseudonymize(df.limit(0)).collect() == []
 
 
+def test_no_text_with_an_entity_is_passed_over():
+    names = surrogates._name_hashes()
+    last = {"latin": "Kowalski", "cyrillic": "Петрова", "greek": "Παππά"}
+    texts = []
+    for first, (script, _) in surrogates._OF_NAME.items():
+        person = f"{first} {last[script]}"
+        texts += [f"{a}{person}{b}" for a, b in ("“”", "«»", "—,", "‘’", "…\xa0", "\xa0.", "、。", "¡!", ("", ""), ("x \U0001f600", "-"))]
+        texts += [f"я{person}", f"é{person}", f"a{person}", f"{first}\xa0{last[script]}", first, f"{first} ", f"{first}"]
+    texts += ["AB12ABCDEFGH", "x AB12 ABCD EFGH IJ", "AB12", "aAB12ABCDEFGH", "1.2.3.4", "+12345", "a@b.cd", "a@b", "", "é", "AB1", "12"]
+    rng = random.Random(6)
+    pool = ["Anna", "Иван", " ", " Xy", "“", "\xa0", "—", "é", "я", "1", "AB", "12", "ABCD", "EFGH", "_", "@", "́"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randrange(9))) for _ in range(20_000)]
+    wanted = np.array([surrogates.PATTERN.search(t) is not None for t in texts])
+    for limit in (1, 100, 1 << 19):
+        marks = np.concatenate([surrogates.suspects(f, names) for _, _, f in flat_slices(pa.array(texts), limit)])
+        assert len(marks) == len(texts) and not (wanted & ~marks).any()
+    assert not marks[-20_000:].all() and wanted[-20_000:].any()
+
+
+def test_surrogates_of_names_between_signs(spark):
+    texts = ["“Anna Kowalski” said so", "it was—Anna Kowalski", "«Анна Петрова»", "a\xa0Anna Kowalski", "Anna Kowalski", "IT60 ABCD EFGH"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r for r in sorted(surrogates.pseudonymize(df).collect())]
+    assert [r.n_entities for r in rows] == [1] * len(texts)
+    assert not [r.text for r in rows if "Kowalski" in r.text or "Петрова" in r.text or "ABCD" in r.text]
+    assert rows[0].text == f"“{rows[4].text}” said so"
+
+
 def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     rows = [("address", f"1.1.1.{i}") for i in range(40)] + [("mail", "1.1.1.1")]
     df = spark.createDataFrame(rows, "kind string, entity string")
