@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,25 +208,24 @@ def suspects(flat: Flat, names: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``text_key, kind, entity, n`` of each text of ``(text_key, text)``, one row per distinct entity of a text."""
+    """``text_key, kind, entity`` of each text of ``(text_key, text)``, once per slice of a batch."""
     names = _name_hashes()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, flat in flat_slices(batch.column(1)):
-                rows: dict[tuple, int] = {}
+                rows: dict[tuple, None] = {}
                 for i in np.flatnonzero(suspects(flat, names)):
                     key = batch.column(0)[lo + int(i)].as_py()
                     for _, _, kind, entity in entities(batch.column(1)[lo + int(i)].as_py()):
-                        rows[key, kind, entity] = rows.get((key, kind, entity), 0) + 1
+                        rows[key, kind, entity] = None
                 if rows:
                     keys, kinds, values = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(kinds), pa.array(values), pa.array(list(rows.values()))],
-                        names=["text_key", "kind", "entity", "n"],
+                        [pa.array(keys), pa.array(kinds), pa.array(values)], names=["text_key", "kind", "entity"]
                     )
 
-    return docs.select("text_key", "text").mapInArrow(scan, "text_key long, kind string, entity string, n long")
+    return docs.select("text_key", "text").mapInArrow(scan, "text_key long, kind string, entity string")
 
 
 def assign(all_entities: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -259,12 +259,14 @@ def assign(all_entities: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError(f"{seen['n']} entities without a free surrogate after {MOST_ROUNDS} rounds")
 
 
-def replaced(text: str, new: dict[tuple[str, str], str]) -> str:
-    out, at = [], 0
+def replaced(text: str, new: dict[tuple[str, str], str]) -> tuple[str, Counter]:
+    """The text with its entities replaced, and how often each kind stands in it."""
+    out, at, counts = [], 0, Counter()
     for start, end, kind, entity in entities(text):
         out += [text[at:start], rendered(kind, text[start:end], new[kind, entity])]
         at = end
-    return "".join([*out, text[at:]])
+        counts[kind] += 1
+    return "".join([*out, text[at:]]), counts
 
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -276,13 +278,10 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     keyed = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     found = shared_table(_found(keyed))
     mapping = shared_table(assign(found.select("kind", "entity").distinct(), key))
-    per_text = found.groupBy("text_key", "kind", "entity").agg(F.max("n").alias("n"))
+    per_text = found.distinct()
     # An entity may stand in a third of all texts: its rows are dealt out before the join.
     joined = salted_join(per_text, mapping, ["kind", "entity"], ["text_key"])
-    news = joined.groupBy("text_key").agg(
-        F.collect_list(F.struct("kind", "entity", "surrogate")).alias("news"),
-        *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in KINDS],
-    )
+    news = joined.groupBy("text_key").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("news"))
     names = _name_hashes()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,20 +294,18 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
+            done = [
                 replaced(t, {(r["kind"], r["entity"]): r["surrogate"] for r in n or []})
                 for t, n in zip(batch.column("text").to_pylist(), batch.column("news").to_pylist(), strict=True)
             ]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays(columns, names=kept)
+            counts = [pa.array([c[k] for _, c in done], pa.int64()) for k in KINDS]
+            columns = [batch.column("doc_id"), pa.array([t for t, _ in done], pa.string()), *counts]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", *[f"n_{k}" for k in KINDS]])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     marked = keyed.mapInArrow(split, f"doc_id {id_type}, text string, text_key long, hit boolean")
-    kept = ["doc_id", "text", *[f"n_{k}" for k in KINDS]]
     # Only texts with an entity are moved.
-    moved = marked.filter("hit").join(news.hint("shuffle_hash"), "text_key", "left").select(
-        "doc_id", "text", "news", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
-    )
+    moved = marked.filter("hit").join(news.hint("shuffle_hash"), "text_key", "left").select("doc_id", "text", "news")
     schema = f"doc_id {id_type}, text string, " + ", ".join(f"n_{k} long" for k in KINDS)
     changed = moved.mapInArrow(rewrite, schema)
     same = marked.filter("not hit").select("doc_id", "text", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS])

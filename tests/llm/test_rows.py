@@ -285,6 +285,13 @@ def test_surrogates_of_names_between_signs(spark):
     assert rows[0].text == f"“{rows[4].text}” said so"
 
 
+def test_counts_of_surrogates_are_those_of_one_text(spark):
+    twice, once = "a@b.example, c@d.example, a@b.example; 123-45-6789", "x Anna Kowalski"
+    df = spark.createDataFrame([(1, twice)] * 50 + [(2, once)] * 30 + [(3, None)], "doc_id long, text string").coalesce(1)
+    got = Counter((r.doc_id, r.n_mail, r.n_social, r.n_name, r.n_entities) for r in surrogates.pseudonymize(df).collect())
+    assert got == {(1, 3, 1, 0, 4): 50, (2, 0, 0, 1, 1): 30, (3, 0, 0, 0, 0): 1}
+
+
 def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     rows = [("address", f"1.1.1.{i}") for i in range(40)] + [("mail", "1.1.1.1")]
     df = spark.createDataFrame(rows, "kind string, entity string")
