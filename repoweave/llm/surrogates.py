@@ -7,7 +7,9 @@ letters for letters of the same case; cards and accounts keep their issuer and w
 their country code, addresses whether they are private, names their gender and script.
 
 Distinct entities must stay distinct, and no surrogate may be an entity of the corpus. Both are checked over the whole
-corpus by grouping on surrogates; of those that clash, all but one draw again until none is left.
+corpus by grouping on surrogates; of those that clash, all but one draw again until none is left. A format may have fewer
+values than the corpus has entities of it, so every few attempts the space of what is left gets wider: more signs, or, for
+an address, all private networks and then the next version of addresses.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from repoweave.session import shared_checkpoint, shared_table
 
 KEY = b"replace me: the key of a run is a parameter"
 KINDS = ("mail", "account", "social", "address", "phone", "card", "name")
-MOST_ROUNDS = 64
+WIDER_EACH = 4
+NEXT_VERSION_FROM = 24
 
 # First names by script and gender: fixed values, in code point order.
 NAMES = {
@@ -120,30 +123,36 @@ def _account_rest(account: str) -> int:
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """The canonical surrogate of a canonical entity."""
-    draw = Draw(key, kind, entity, attempt)
+    """The canonical surrogate of a canonical entity. The values to draw from grow tenfold or more every WIDER_EACH attempts
+    (addresses: to the next version's 2**96 or more), so no number of entities exhausts them."""
+    draw, wider = Draw(key, kind, entity, attempt), attempt // WIDER_EACH
     if kind == "mail":
         local, domain = entity.split("@")
         *rest, top = domain.split(".")
-        return f"{draw.like(local)}@{'.'.join(draw.like(r) for r in rest)}.{top}"
+        return f"{draw.like(local)}{draw.like('a' * wider)}@{'.'.join(draw.like(r) for r in rest)}.{top}"
     if kind == "card":
-        body = entity[0] + draw.like(entity[1:-1])
+        body = entity[0] + draw.like(entity[1:-1] + "0" * wider)
         last = next(d for d in "0123456789" if luhn(body + d) == 0)
         return body + (last if luhn(entity) == 0 else str((int(last) + 1 + draw.below(9)) % 10))
     if kind == "phone":
         country, rest = entity[:-10], entity[-10:]
-        return country + str(2 + draw.below(8)) + draw.like(rest[1:])
+        return country + str(2 + draw.below(8)) + draw.like(rest[1:] + "0" * wider)
     if kind == "address":
         a, b, c, d = map(int, entity.split("."))
         private = a == 10 or (a, b) == (192, 168) or (a == 172 and 16 <= b < 32) or a == 127
-        if (a, b) == (192, 168):
+        if attempt >= NEXT_VERSION_FROM:
+            groups = [f"{draw.below(1 << 16):x}" for _ in range(7)]
+            return ":".join([f"fd{draw.below(256):02x}", *groups] if private else ["2001", "db8", *groups[:6]])
+        if private and wider and a != 127:
+            a = 10
+        elif (a, b) == (192, 168):
             return f"192.168.{draw.below(256)}.{draw.below(256)}"
         if private:
             return f"{a}.{16 + draw.below(16) if a == 172 else draw.below(256)}.{draw.below(256)}.{draw.below(256)}"
         public = [n for n in range(11, 224) if n not in (127, 172, 192)]
         return f"{public[draw.below(len(public))]}.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}"
     if kind == "account":
-        body = draw.like(entity[4:])
+        body = draw.like(entity[4:] + "0" * wider)
         right = f"{98 - _account_rest(entity[:2] + '00' + body):02d}"
         if _account_rest(entity) == 1:
             return entity[:2] + right + body
@@ -152,18 +161,22 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         first, last = entity.split(" ", 1)
         script, gender = _OF_NAME[first[:1].upper() + first[1:]]
         names, parts = NAMES[script, gender], SYLLABLES[script]
-        size = max(2, round(len(last) / 3)) + attempt // 4
+        size = max(2, round(len(last) / 3)) + wider
         return f"{names[draw.below(len(names))]} {''.join(parts[draw.below(len(parts))] for _ in range(size)).capitalize()}".lower()
-    return draw.like(entity)
+    return draw.like(entity + "0" * wider)
 
 
 def rendered(kind: str, value: str, new: str) -> str:
-    """The canonical surrogate ``new`` in the format of ``value``."""
+    """The canonical surrogate ``new`` in the format of ``value``. Signs that the format has no place for go to the end, those
+    of a phone before it, as a country code."""
     if kind in ("phone", "card", "social", "account"):
         keep = "0123456789" if kind != "account" else "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         old = [c for c in value if c in keep]
-        signs = iter("".join(old[: len(old) - len(new)]) + new)
-        return "".join(next(signs, c) if c in keep else c for c in value)
+        more = max(0, len(new) - len(old))
+        head, tail = ("", new[len(old) :]) if kind != "phone" or not more else (f"+{new[:more]}", "")
+        signs = iter("".join(old[: max(0, len(old) - len(new))]) + (new[more:] if head else new))
+        out = "".join(next(signs, c) if c in keep else c for c in value)
+        return (head + (out[1:] if out[0] == "+" else f" {out}") if head else out) + tail
     if kind == "name":
         return " ".join(w[:1].upper() + w[1:] for w in new.split(" ")) if not value.isupper() else new.upper()
     return new.upper() if value.isupper() and kind == "mail" else new
@@ -230,7 +243,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
 def assign(all_entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """``kind, entity, surrogate`` for distinct ``(kind, entity)``: no two entities of a kind share a surrogate, and no
-    surrogate is an entity of that kind."""
+    surrogate is an entity of that kind. Ends for any number of entities, as ``surrogate`` widens what is drawn from."""
     todo, seen = shared_checkpoint(all_entities.withColumn("attempt", F.lit(0)), n=F.count(F.lit(1)))
     settled = None
 
@@ -240,7 +253,7 @@ def assign(all_entities: DataFrame, key: bytes = KEY) -> DataFrame:
             new = pa.array([surrogate(key, *row) for row in rows], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], names=["kind", "entity", "attempt", "surrogate"])
 
-    for _ in range(MOST_ROUNDS):
+    while True:
         drawn = shared_checkpoint(
             todo.select("kind", "entity", "attempt").mapInArrow(draw, "kind string, entity string, attempt int, surrogate string")
         )
@@ -256,7 +269,6 @@ def assign(all_entities: DataFrame, key: bytes = KEY) -> DataFrame:
         )
         if not seen["n"]:
             return settled
-    raise RuntimeError(f"{seen['n']} entities without a free surrogate after {MOST_ROUNDS} rounds")
 
 
 def replaced(text: str, new: dict[tuple[str, str], str]) -> tuple[str, Counter]:

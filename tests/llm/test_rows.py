@@ -306,6 +306,39 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     assert not {(r.kind, r.surrogate) for r in got} & set(rows)
 
 
+def test_crowded_formats_get_wider_surrogates(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("mail", f"{a}@{b}.com") for a in letters for b in letters] + [("mail", "-@-.com")]
+    rows += [("address", f"192.168.{i >> 8}.{i & 255}") for i in range(1 << 16)]
+    got = surrogates.assign(spark.createDataFrame(rows, "kind string, entity string")).collect()
+    assert len(got) == len(rows) and {(r.kind, r.entity) for r in got} == set(rows)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows)
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    assert all(r.surrogate.startswith("10.") for r in got if r.kind == "address")
+
+
+def test_wider_surrogates_keep_kind_and_signs():
+    values = [
+        ("mail", "a@b.com"), ("phone", "+12345"), ("phone", "743-555-3824"), ("phone", "(743) 555-3824"), ("phone", "+1 (743) 555-3824"),
+        ("card", "4111 1111 1111 1111"), ("card", "4111111111111"), ("account", "DE89 3704 0044 0532 0130 00"), ("name", "Anna Kowalski"),
+    ]
+    for kind, value in values:
+        entity = surrogates.canonical(kind, value)
+        drawn = [surrogates.surrogate(b"k", kind, entity, attempt) for attempt in range(12)]
+        for new in drawn:
+            shown = surrogates.rendered(kind, value, new)
+            assert [(e[2], e[3]) for e in surrogates.entities(shown)] == [(kind, new)], (value, shown)
+        assert len(drawn[0]) < len(drawn[11]) or kind == "name"
+    for kind, value in [("social", "123-45-6789"), *values]:
+        new = surrogates.surrogate(b"k", kind, surrogates.canonical(kind, value), 80)
+        shown = surrogates.rendered(kind, value, new)
+        assert surrogates.canonical(kind, shown) == new
+    assert surrogates.luhn(surrogates.surrogate(b"k", "card", "4111111111111111", 9)) == 0
+    for entity in ("192.168.0.1", "10.1.2.3", "8.8.8.8", "127.0.0.1"):
+        last = {surrogates.surrogate(b"k", "address", entity, 24 + i) for i in range(1000)}
+        assert len(last) == 1000 and all(v.startswith("2001:db8:" if entity == "8.8.8.8" else "fd") for v in last)
+
+
 def test_slices_never_cut_a_text():
     texts = pa.array(["", None, "aé", "x" * 100, "b"]).slice(1)
     pieces = [(lo, hi, bytes(f.data), f.offsets.tolist()) for lo, hi, f in flat_slices(texts, 4)]
