@@ -263,7 +263,7 @@ def _answer(asked: DataFrame, low) -> DataFrame:
 
 
 class Lookup:
-    """Values by key, with open addressing. Every key asked for has to be there."""
+    """Values by key, with open addressing. A key that is not there raises."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys, first = np.unique(keys, return_index=True)
@@ -288,10 +288,13 @@ class Lookup:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
-        miss = np.flatnonzero(self.keys[slot] != keys)
+        miss = np.flatnonzero((self.keys[slot] != keys) & (self.entry[slot] >= 0))
         while len(miss):
             slot[miss] = (slot[miss] + 1) & (len(self.keys) - 1)
-            miss = miss[self.keys[slot[miss]] != keys[miss]]
+            miss = miss[(self.keys[slot[miss]] != keys[miss]) & (self.entry[slot[miss]] >= 0)]
+        lost = (self.keys[slot] != keys) | (self.entry[slot] < 0)
+        if lost.any():
+            raise KeyError(f"{int(lost.sum())} keys have no answer, the first is {int(keys[lost][0])}")
         return self.values[self.entry[slot]]
 
 
@@ -300,19 +303,19 @@ def score_documents(docs: DataFrame, learn: Column | None = None, block: Column
 
     ``score`` is the log10 chance of the text under the model learned from the rows where ``learn`` holds (all rows by
     default); ``base_score`` is that of its words, and one end, by their frequency. ``block`` says which rows share a
-    request; by default it is a hash of the id. It may be any column that comes out the same when the table is read
-    again, and should keep neighbours of a file together.
+    request; by default it is a hash of the id and the text. It should keep neighbours of a file together. It is evaluated
+    once and written with the rows, which both passes read, so it may depend on how the table was split for reading.
 
     A null text is empty: one token, the end. With nothing to learn from, every symbol is equally likely. Repeated rows
     and null ids are scored like any other; an empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.sum(F.when(learn, 1)).alias("ends")).first()
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()
     ranges = max(12, -(-int(total["n"] or 0) // RANGE_BYTES))
     if block is None:
         block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, ranges // 8)))
-    rows = docs.select(block.alias("block"), learn.alias("learn"), "doc_id", "text")
+    rows = shared_table(docs.select(block.alias("block"), learn.alias("learn"), "doc_id", "text"))
     asked = shared_table(_ask(rows, ranges))
     low = np.zeros(256 * SYMBOLS, dtype=np.int64)
     pairs = asked.filter("part = -1").mapInArrow(_single_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -320,7 +323,7 @@ def score_documents(docs: DataFrame, learn: Column | None = None, block: Column
     low[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
     answers = shared_table(_answer(asked.filter("part >= 0"), spark.sparkContext.broadcast(low)))
     sums = answers.agg(F.sum("known").alias("v"), F.sum("learned").alias("n")).first()
-    ends = int(total["ends"] or 0)
+    ends = rows.filter("learn").count()
     tokens, types = int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (1 if ends else 0)
     rest = np.log10(tokens + 0.1 * (types + 1))
     end_base = np.log10(ends + 0.1) - rest

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,6 +92,32 @@ def test_partial_matching_without_training_or_rows(spark):
     assert ppm.score_documents(df.limit(0)).collect() == []
 
 
+def test_partial_matching_with_blocks_that_change_between_reads(spark):
+    rows = [(r[0], r[1]) for r in data.odd_rows() if r[0] != 9]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def tagged(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([time.time_ns()] * batch.num_rows)], names=["doc_id", "text", "at"])
+
+    moving = df.mapInArrow(tagged, "doc_id long, text string, at long")
+    key = lambda r: tuple((v is None, v) for v in r)
+    got = sorted(map(tuple, ppm.score_documents(moving, block=F.col("at")).collect()), key=key)
+    expected = sorted(map(tuple, ppm.score_documents(df).collect()), key=key)
+    assert len(got) == len(expected)
+    for g, e in zip(got, expected, strict=True):
+        assert g[:4] == e[:4] and math.isclose(g[4], e[4], rel_tol=1e-9) and math.isclose(g[5], e[5], rel_tol=1e-5)
+
+
+def test_lookup_raises_for_a_key_that_is_not_there():
+    keys = np.arange(0, 3000, 3, dtype=np.uint64)
+    found = ppm.Lookup(keys, keys.astype(np.float64))
+    assert (found(keys) == keys).all() and len(found(keys[:0])) == 0
+    for table, key in ((found, 4), (ppm.Lookup(keys[1:], keys[1:].astype(np.float64)), 0), (ppm.Lookup(keys[:0], np.zeros(0)), 7)):
+        with pytest.raises(KeyError):
+            table(np.array([key], dtype=np.uint64))
+
+
 def test_languages_are_told_apart_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
