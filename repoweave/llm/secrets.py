@@ -138,8 +138,18 @@ def field_spans(texts: list[str], model: crf.Model | None) -> list[list[Span]]:
 
 
 def merged_spans(base: list[Span], more: list[Span]) -> list[Span]:
-    """Base spans and those of ``more`` that touch none of them."""
-    extra = [s for s in more if all(s[2] <= b[0] or s[0] >= b[2] for b in base)]
+    """Base spans and the stretches of ``more`` that lie outside all of them, as spans of their own."""
+    extra, taken = [], sorted((a, b) for a, _, b in base)
+    for start, kind, end in more:
+        at = start
+        for a, b in taken:
+            if b <= at or a >= end:
+                continue
+            if a > at:
+                extra.append((at, kind, a))
+            at = max(at, b)
+        if at < end:
+            extra.append((at, kind, end))
     return sorted([*base, *extra])
 
 

@@ -190,6 +190,25 @@ def test_base_secrets_and_masks(spark):
     assert secrets.scan_secrets(data.odd(spark).limit(0)).collect() == []
 
 
+def test_stretches_of_field_spans_beyond_base_spans_are_kept():
+    text = "password = abcdefgh12üxyz end"
+    base = secrets.base_spans(text)
+    assert [(a, b) for a, _, b in base] == [(0, text.index("ü"))]
+    start = text.index("abc")
+    spans = secrets.merged_spans(base, [(start, 3, text.index(" end"))])
+    assert spans == [*base, (text.index("ü"), 3, text.index(" end"))]
+    assert "xyz" not in secrets.masked(text, spans) and secrets.masked(text, spans).endswith(" end")
+    rng = random.Random(3)
+    for _ in range(500):
+        base = [(a, 0, a + rng.randrange(1, 8)) for a in rng.sample(range(40), rng.randrange(4))]
+        more = [(a, 3, a + rng.randrange(1, 20)) for a in (0, 22) if rng.random() < 0.7]
+        got = secrets.merged_spans(sorted(base), more)
+        inside = lambda spans: {i for a, _, b in spans for i in range(a, b)}
+        extra = [s for s in got if s[1] == 3]
+        assert got == sorted(got) and [s for s in got if s[1] == 0] == sorted(base)
+        assert inside(extra) == inside(more) - inside(base) and sum(b - a for a, _, b in extra) == len(inside(extra))
+
+
 def test_quality_counts_and_rules(spark):
     df = data.clashing(data.odd(spark))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
