@@ -72,3 +72,64 @@ reach as (select x, y from ways union select r.x, w.y from reach r join ways w o
 select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles,
        least(d.doc_id, (select min(y) from reach r where r.x = d.doc_id)) as component_id
 from documents d left join sizes s on s.doc_id = d.doc_id"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a VARCHAR of ASCII characters, bit by bit: a byte is put in, then eight shifts (-1) follow."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "case when x >= 0 then xor(acc, x) else xor(acc >> 1, (acc & 1) * 3988292384) end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda acc, x: {step}), 4294967295)"
+
+
+# Periods from 2^k to 2^(k+1) - 1 are found for k below this; the longest text may have 2^(PERIOD_BITS + 2) words.
+PERIOD_BITS = 22
+
+
+def _periodic_runs() -> str:
+    """A run of smallest period q holds windows of L = 2^(k+1) words with q <= L <= 2q, each of which comes again exactly q
+    words on and not earlier. Windows are named by their first place, from the names of their halves."""
+    parts = [
+        f"""docs as (select row_number() over () as row_id, doc_id,
+       regexp_extract_all(coalesce(text, ''), '{WORD}') as w, {_crc32('doc_id::varchar')} as h from documents)""",
+        """plan as (select *, h // 10 as g, len(w) as n, case when len(w) > 0 then (h // 10) % len(w) end as a from docs)""",
+        """planted as (select row_id, doc_id, n, case when h % 10 = 0 and n > 0 then
+       list_transform(range(n), lambda i: w[1 + case when i >= a then a + (i - a) % (1 + (n - a) // (3 + g % 8)) else i end])
+       else w end as w from plan)""",
+        "places as (select row_id, unnest(w) as word, unnest(range(n)) as i from planted)",
+        "names0 as materialized (select row_id, i, min(i) over (partition by row_id, word) as x from places)",
+    ]
+    for k in range(PERIOD_BITS):
+        parts.append(
+            f"""halves{k} as (select row_id, i, x, lead(x, {1 << k}) over (partition by row_id order by i) as y from names{k})"""
+        )
+        parts.append(
+            f"""names{k + 1} as materialized (
+  select row_id, i, min(i) over (partition by row_id, x, y) as x,
+         lead(i) over (partition by row_id, x, y order by i) - i as d from halves{k} where y is not null)"""
+        )
+        parts.append(
+            f"""runs{k} as (
+  select row_id, min(i) as start, max(i) - min(i) + {2 << k} + d as length, d as period
+  from (select row_id, i, d, i - row_number() over (partition by row_id, d order by i) as island
+        from names{k + 1} where d >= {1 << k} and d < {2 << k})
+  group by row_id, d, island having max(i) - min(i) + {2 << k} + d >= greatest(6, 4 * d))"""
+        )
+    every = " union all ".join(f"select * from runs{k}" for k in range(PERIOD_BITS))
+    return f"""with {', '.join(parts)},
+runs as materialized ({every}),
+of_row as (
+  select row_id, count(*) as n_runs, sha256(string_agg(concat(start, ',', length, ',', period, chr(10)), ''
+           order by start, period)) as runs_sha256,
+         first({{'s': start, 'l': length, 'p': period}} order by length desc, start, period) as best
+  from runs group by row_id),
+dropped as (select distinct row_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select row_id, string_agg(w[i + 1], ' ' order by i) as rest
+  from (select p.row_id, p.w, unnest(range(n)) as i from planted p) anti join dropped using (row_id, i) group by row_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.s::bigint as start, best.l::bigint as length, best.p::bigint as period,
+       (1000 * best.l // best.p)::bigint as exponent_milli, coalesce(runs_sha256, sha256('')) as runs_sha256,
+       sha256(coalesce(rest, '')) as collapsed_sha256
+from planted left join of_row using (row_id) left join kept using (row_id)"""
+
+
+PERIODIC_RUNS = _periodic_runs()

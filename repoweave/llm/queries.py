@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoweave.llm import decontamination, jaccard, language, mixing, oracles, ppm, quality, secrets, suffixes, surrogates, token_counts
+from repoweave.llm import (
+    decontamination, jaccard, language, mixing, oracles, periodic, ppm, quality, secrets, suffixes, surrogates, token_counts,
+)
+
 
 def tokenizer_path(name: str) -> str:
     """Where the installed vocabulary files are; every executor has them at the same place."""
@@ -70,6 +73,12 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "mixture")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, every tenth of them made periodic from some word on."""
+    planted = periodic.with_periods(_documents(spark, sf_dir))
+    return periodic.digests(periodic.find_runs(planted, min_exponent=4, min_words=6))
+
+
 QUERIES: dict[str, Query] = {
     "op1_partial_matching": op1_partial_matching,
     "op2_secret_spans": op2_secret_spans,
@@ -81,9 +90,11 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_surrogates": op9_surrogates,
     "op10_languages": op10_languages,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op5_source_mix": oracles.SOURCE_MIX,
     "op7_shingle_join": oracles.SHINGLE_JOIN,
+    "op11_periodic_runs": oracles.PERIODIC_RUNS,
 }
