@@ -133,3 +133,37 @@ from planted left join of_row using (row_id) left join kept using (row_id)"""
 
 
 PERIODIC_RUNS = _periodic_runs()
+
+
+COLLOCATIONS = r"""with pieces as (
+  select row_number() over () as id, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece
+  from (select coalesce(lang, 'und') as lang,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents)),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w)) as n from words group by lang),
+counts as materialized (
+  select lang, k, phrase, count(*) as f
+  from (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+        from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, range(1, 6) sizes(k) where len(w) >= k))
+  group by lang, k, phrase having count(*) >= 100),
+longer as (
+  select lang, array_to_string(w[i : i + j - 1], ' ') as phrase, max(f) as f
+  from (select lang, f, k, w, j, unnest(range(1, k - j + 2)) as i
+        from (select lang, f, k, string_split(phrase, ' ') as w from counts where k > 2), range(2, 5) parts(j) where j < k)
+  group by 1, 2),
+candidates as (
+  select c.lang, c.phrase, c.f as a, c.k as size, string_split(c.phrase, ' ') as w
+  from counts c left join longer l on l.lang = c.lang and l.phrase = c.phrase
+  where c.k > 1 and coalesce(100 * l.f >= 100 * c.f, false) = false),
+cuts as (
+  select lang, phrase, a, k, array_to_string(w[1 : k], ' ') as head, array_to_string(w[k + 1 : size], ' ') as rest
+  from (select *, unnest(range(1, size)) as k from candidates)),
+scored as (
+  select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, n,
+         (1000::hugeint * c.a::hugeint * n::hugeint) // (x.f::hugeint * y.f::hugeint) as score
+  from cuts c join counts x on x.lang = c.lang and x.phrase = c.head
+       join counts y on y.lang = c.lang and y.phrase = c.rest join totals t on t.lang = c.lang),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from lowest)
+where rank <= 2000"""

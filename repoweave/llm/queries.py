@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoweave.llm import (
-    decontamination, jaccard, language, mixing, oracles, periodic, ppm, quality, secrets, suffixes, surrogates, token_counts,
+    decontamination, jaccard, language, mixing, oracles, periodic, phrases, ppm, quality, secrets, suffixes, surrogates, token_counts,
 )
 
 
@@ -79,6 +79,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(planted, min_exponent=4, min_words=6))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir), longest=5, min_count=100, percent=100, most=2000)
+
+
 QUERIES: dict[str, Query] = {
     "op1_partial_matching": op1_partial_matching,
     "op2_secret_spans": op2_secret_spans,
@@ -91,10 +95,12 @@ QUERIES: dict[str, Query] = {
     "op9_surrogates": op9_surrogates,
     "op10_languages": op10_languages,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op5_source_mix": oracles.SOURCE_MIX,
     "op7_shingle_join": oracles.SHINGLE_JOIN,
     "op11_periodic_runs": oracles.PERIODIC_RUNS,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
