@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoweave.llm import (
-    decontamination, jaccard, language, mixing, oracles, periodic, phrases, ppm, quality, secrets, suffixes, surrogates, token_counts,
+    decontamination, fingerprints, jaccard, language, mixing, oracles, periodic, phrases, ppm, quality,
+    secrets, suffixes, surrogates, token_counts,
 )
 
 
@@ -79,6 +80,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(planted, min_exponent=4, min_words=6))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_versions(_documents(spark, sf_dir))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_documents(spark, sf_dir), longest=5, min_count=100, percent=100, most=2000)
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op9_surrogates": op9_surrogates,
     "op10_languages": op10_languages,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_fingerprints": op12_fingerprints,
     "op13_collocations": op13_collocations,
 }
 
