@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document of a source is due ``target / size of the source`` copies (or an amount in proportion to its own
-weight). The whole part of that is allocated for certain. For the rest, a document with inclusion chance ``p`` and a
+A source is due ``target / size of the source`` copies of its words. Its documents share them unequally: short ones are due
+more and long ones less, by an amount that adds up to nothing over the source, so that rather short documents are repeated.
+The whole part of what a document is due is allocated for certain. For the rest, a document with inclusion chance ``p`` and a
 uniform number ``u`` from its id gets the rank ``(u / (1 - u)) / (p / (1 - p))``, random odds over inclusion odds, and
 each source takes its documents by rising rank until the words it still owes are reached. The sample size is fixed in
 words, not documents, since the target is a number of words.
 
-A document that would overshoot stops a round; the next round ranks those left that are no larger than what is still owed,
-so the shortfall ends below the smallest document left, or after ``rounds`` rounds.
+A document that would overshoot stops a round; the next one ranks those that are no larger than what is still owed, and
+behind them further copies of documents that have fewer than the most. Rounds end when nothing fits in any source, so each
+one is short of its target by less than its smallest document that may have another copy.
 """
 
 from __future__ import annotations
@@ -63,42 +65,53 @@ def source_targets(
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def leaning(due: Column, size: Column, mean: Column, most: int, lean: float) -> Column:
+    """Copies due to a document of ``size``: those of its source, ``due``, moved by at most ``lean`` times what keeps them
+    between 0 and ``most``. ``mean`` is the average of ``halfway(size)`` over the words of the source, so that the moves add
+    up to no words."""
+    return due + F.lit(lean) * due * (most - due) / most * (mean - halfway(size))
+
+
+def halfway(size: Column) -> Column:
+    """Rises from 0 to 1 with the size; 1/2 at 100 words."""
+    return size / (size + 100.0)
+
+
 def pareto_copies(
-    due: DataFrame, group: list[str], owed: str, rounds: int = 3, tie_break: tuple[str, ...] = ("doc_id", "size")
+    due: DataFrame, group: list[str], target: str, most: int = MOST_COPIES, tie_break: tuple[str, ...] = ("doc_id", "size")
 ) -> DataFrame:
-    """Add ``copies`` to documents with ``size``, ``due`` copies, a random ``u`` and their group's ``owed`` words.
+    """Add ``copies`` to documents with ``size``, ``due`` copies, a random ``u`` and the ``target`` words of their group.
 
-    Whole copies are certain. The fractional parts compete by Pareto rank for what the group owes beyond them.
-    ``owed`` has to be the same in all rows of a group. Rows that agree in everything share rank and place.
+    Whole copies are certain. The fractional parts compete by Pareto rank for what the group owes beyond them, in rounds;
+    further copies up to ``most``, by odds of ``u``, fill what is left when no fractional part fits. ``target`` has to be
+    the same in all rows of a group. Rows that agree in everything have equal chances.
     """
-    whole = F.floor("due").cast("long")
-    part = F.col("due") - whole
-    rank = (F.col("u") / (1 - F.col("u"))) / (part / (1 - part))
-    rows = due.withColumn("_whole", whole).withColumn("_part", part)
-    open_rows = rows.filter((F.col("_part") > 0) & (F.col("size") > 0)).withColumn("_rank", rank)
-    settled = rows.filter(~((F.col("_part") > 0) & (F.col("size") > 0))).withColumn("copies", F.col("_whole"))
-    parts = [settled.drop("_whole", "_part")]
-    for _ in range(rounds):
-        fits = F.col("size") <= F.col(owed)
-        parts.append(open_rows.filter(~fits).withColumn("copies", F.col("_whole")).drop("_whole", "_part", "_rank"))
-        ranked = running_total(open_rows.filter(fits), F.col("size"), ["_rank", *tie_break], group, "_before")
-        ranked = shared_checkpoint(ranked.withColumn("_taken", F.col("_before") + F.col("size") <= F.col(owed)))
-        taken = ranked.filter("_taken")
-        parts.append(taken.withColumn("copies", F.col("_whole") + 1).drop("_whole", "_part", "_rank", "_before", "_taken"))
-        got = taken.groupBy(*group).agg(F.sum("size").alias("_got"))
-        on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
-        open_rows = (
-            ranked.filter(~F.col("_taken")).drop("_before", "_taken").alias("l")
-            .join(got.alias("r"), on, "left")
-            .select("l.*", "_got")
-            .withColumn(owed, F.col(owed) - F.coalesce("_got", F.lit(0)))
-            .drop("_got")
+    columns = due.columns
+    whole = F.least(F.floor("due"), F.lit(most)).cast("long")
+    rows = shared_checkpoint(due.withColumn("_whole", whole).withColumn("copies", whole).withColumn("_row", F.monotonically_increasing_id()))
+    part, extra = F.col("due") - F.col("_whole"), F.col("copies") - F.col("_whole")
+    odds = F.col("u") / (1 - F.col("u"))
+    first = (part > 0) & (extra == 0)
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in group]
+    while True:
+        owed = rows.groupBy(*group).agg((F.max(target) - F.sum(F.col("copies") * F.col("size"))).alias("_owed"))
+        fits = (
+            rows.filter((F.col("size") > 0) & (F.col("copies") < most)).alias("r")
+            .join(owed.alias("g"), on)
+            .filter("size <= _owed")
+            .select(
+                "r.*", "_owed",
+                F.when(first, 0).otherwise(extra + 1).alias("_turn"),
+                F.when(first, odds / (part / (1 - part))).otherwise(odds).alias("_rank"),
+            )
         )
-    parts.append(open_rows.withColumn("copies", F.col("_whole")).drop("_whole", "_part", "_rank"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+        ranked = running_total(fits, F.col("size"), ["_turn", "_rank", *tie_break, "_row"], group, "_before")
+        taken = ranked.filter(F.col("_before") + F.col("size") <= F.col("_owed")).select("_row", F.lit(1).alias("_more"))
+        taken, seen = shared_checkpoint(taken, n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return rows.select(*columns, "copies")
+        more = F.col("copies") + F.coalesce("_more", F.lit(0))
+        rows = shared_checkpoint(rows.join(taken, "_row", "left").withColumn("copies", more).drop("_more"))
 
 
 def mix_plan(
@@ -106,35 +119,39 @@ def mix_plan(
     weights: tuple[int, ...] = SOURCE_WEIGHTS,
     most: int = MOST_COPIES,
     seed: int = SEED,
-    rounds: int = 3,
     share: float = 1.0,
+    lean: float = 1.0,
 ) -> DataFrame:
     """How often each document of ``(doc_id, text, source)`` goes into the mix.
 
     Returns ``doc_id, source, size, source_size, target, taken, copies, text_hash``, one row per input row. The mix is worth
-    ``share`` of all words. A null or blank text has size 0 and takes nothing; a null source is a source of its own;
-    rows with the same id share their random number and are told apart by size; an empty table gives no rows. Other
-    columns are not looked at.
+    ``share`` of all words. ``lean`` says how much shorter documents are preferred, from 0 (not at all) to 1. A null or blank
+    text has size 0 and takes nothing; a null source is a source of its own; rows with the same id share their random number
+    and are told apart by size; an empty table gives no rows. Other columns are not looked at.
     """
     sized, seen = shared_checkpoint(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")),
         words=F.sum("size"),
     )
     total = int((seen["words"] or 0) * share)
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, total, weights, most)
+    words = F.sum("size")
+    sizes = sized.groupBy("source").agg(
+        words.alias("source_size"),
+        F.when(words > 0, F.sum(F.col("size") * halfway(F.col("size"))) / words).otherwise(0.0).alias("mean"),
+    )
+    targets = source_targets(sizes.drop("mean"), total, weights, most)
+    of_source = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    null_safe = F.col("d.source").eqNullSafe(F.col("t.source"))
     rows = (
         sized.alias("d")
-        .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")), "left")
-        .select("d.*", "source_size", "target")
-        .withColumn("due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("owed", F.col("target") - F.floor("due") * F.col("source_size"))
+        .join(targets.join(sizes.select(F.col("source").alias("_s"), "mean"), F.col("source").eqNullSafe(F.col("_s"))).alias("t"), null_safe, "left")
+        .select("d.*", "source_size", "target", "mean")
+        .withColumn("due", leaning(of_source, F.col("size"), F.col("mean"), most, lean))
         .withColumn("u", uniform(F.col("doc_id"), seed))
     )
-    return pareto_copies(rows, ["source"], "owed", rounds).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
-        "text_hash",
-    )
+    copied = pareto_copies(rows, ["source"], "target", most)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return copied.select("doc_id", "source", "size", "source_size", "target", taken, "copies", "text_hash")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

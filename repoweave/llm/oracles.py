@@ -3,11 +3,9 @@
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def source_mix(documents: str, rounds: int = 3) -> str:
-    """``with`` clauses from ``documents`` to ``mixed (doc_id, source, size, source_size, target, taken, copies)``."""
-    steps = f"""
-sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from {documents}),
+# Sizes and targets of the mix of sources: limits are reached by rising ratio of limit to weight, the rest shares a level.
+SOURCE_TARGETS = f"""with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents),
 sizes as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (
   select *, 1 + (row_number() over (order by encode(source) nulls last) - 1) % 3 as weight, 3 * source_size as lim
@@ -17,41 +15,9 @@ before as (
          coalesce(sum(lim) over earlier, 0) as lim_before, coalesce(sum(weight) over earlier, 0) as weight_before
   from ranked
   window earlier as (order by lim / weight, encode(source) nulls last rows between unbounded preceding and 1 preceding)),
-level as (select max((total - lim_before)::double / (weights - weight_before)::double) as level from before),
-targets as (
-  select source, source_size, least(lim::double, level * weight) as target from before, level),
-due as (
-  select d.*, source_size, target, case when source_size > 0 then target / source_size else 0.0 end as due,
-         (('0x' || substr(md5('2024|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5)
-           / 4503599627370496.0 as u
-  from sized d join targets t on d.source is not distinct from t.source),
-open0 as (
-  select doc_id, source, size, source_size, target, floor(due)::bigint as whole,
-         target - floor(due) * source_size as owed, (u / (1 - u)) / ((due - floor(due)) / (1 - (due - floor(due)))) as rank
-  from due where due > floor(due) and size > 0)"""
-    for i in range(rounds):
-        steps += f""",
-placed{i} as (
-  select *, coalesce(sum(size) over (partition by source order by rank, doc_id, size
-                                     rows between unbounded preceding and 1 preceding), 0) + size <= owed as hit
-  from open{i} where size <= owed),
-open{i + 1} as (
-  select doc_id, source, size, source_size, target, whole,
-         owed - coalesce(sum(case when hit then size end) over (partition by source), 0) as owed, rank
-  from placed{i} qualify not hit)"""
-    kept = "doc_id, source, size, source_size, target"
-    union = " union all ".join(f"select {kept}, whole + 1 as copies from placed{i} where hit" for i in range(rounds))
-    large = " union all ".join(f"select {kept}, whole as copies from open{i} where size > owed" for i in range(rounds))
-    return f"""{steps},
-mixed as (
-  select *, copies * size as taken from (
-    select {kept}, floor(due)::bigint as copies from due where not (due > floor(due) and size > 0)
-    union all {union}
-    union all {large}
-    union all select {kept}, whole as copies from open{rounds}))"""
-
-
-SOURCE_MIX = f"with {source_mix('documents')} select doc_id, size, source_size, target, taken from mixed"
+level as (select max((total - lim_before)::double / (weights - weight_before)::double) as level from before)
+select doc_id, source, size, source_size, least(lim::double, level * weight) as target
+from sized join before using (source), level"""
 
 # Documents that link share a shingle, so pairs come from a join on shingles; components from the closure over links.
 SHINGLE_JOIN = f"""with recursive words as (

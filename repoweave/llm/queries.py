@@ -105,7 +105,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_source_mix": oracles.SOURCE_MIX,
     "op7_shingle_join": oracles.SHINGLE_JOIN,
     "op11_periodic_runs": oracles.PERIODIC_RUNS,
     "op13_collocations": oracles.COLLOCATIONS,
