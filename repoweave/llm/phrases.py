@@ -3,13 +3,14 @@
 Texts are cut into pieces and words. An edge of the graph is a stretch of ``longest`` words and leads from the node of its
 first ``longest - 1`` words to the node of its last; its weight is how often it occurs. A stretch at the end of a piece that
 is too short to be an edge is kept as a correction of its own. So every word of the corpus starts exactly one edge or
-correction, and only these are counted on Spark: what occurs at a node is the flow out of it (all edges that start with its
-words) plus the pieces that end there, and the same step from each length to the one below gives the counts of all shorter
-phrases.
+correction, and only these are counted: what occurs at a node is the flow out of it (all edges that start with its words)
+plus the pieces that end there, and the same step from each length to the one below gives the counts of all shorter phrases.
+Edges are sent by their first two words and sorted, so that the flow is summed in one pass over the sorted edges.
 
-A phrase that occurs ``min_count`` times has only words, and only pairs of neighbouring words, that do. Two passes before
-the count find those by 64-bit digests and keep them as bits of a fixed number, and the pieces also end at whatever
-certainly is rarer. Digests that fall together only make the filter let more through.
+A phrase that occurs ``min_count`` times has only words that do. A pass before the count finds those by 64-bit digests and
+keeps them as bits of a fixed number, and the pieces also end at whatever certainly is rarer. Digests that fall together only
+make the filter let more through. The same pass finds the pairs that start a fair share of all edges; their edges are dealt
+out by the third word, and the sums of the parts are added.
 
 Among the frequent edges, nodes with one way in and one way out of equal weight are compacted: whole paths of them become
 one passage. What lies in a passage is said once by it, not by each of its edges.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,13 @@ from repoweave.operators.joins import salted_join
 from repoweave.operators.numbering import number_rows
 from repoweave.session import shared_checkpoint
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 FILTER_BITS = 25
 PATH_EDGES = 64
+# A pair that starts more than this share of all words is hot: at most as many pairs as its inverse. Slices report shares half
+# as large, so that a pair which is hot somewhere is seen.
+HOT_SHARE = 1 / 1000
+HOT_PARTS = 64
 
 _INSIDE = np.ones(256, dtype=bool)
 _BREAK = np.zeros(256, dtype=bool)
@@ -56,18 +62,10 @@ class Words:
         goes_on = self.piece[:-1] == self.piece[1:]
         return goes_on, mix(self.hash[:-1] * _NEXT + self.hash[1:])
 
-    def cut(self, words: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Words that may be frequent, and whether each goes on to the next one of them; ``pairs`` may be known too."""
+    def cut(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that may be frequent, and whether each goes on to the next one of them."""
         kept = has(words, self.hash)
-        goes_on, pair = self.pairs()
-        goes_on &= kept[:-1] & kept[1:]
-        if pairs is not None:
-            goes_on &= has(pairs, pair)
-        return kept, goes_on
-
-    def take(self, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-        """Spans of bytes as strings."""
-        return strings(self.flat.data, starts, ends)
+        return kept, self.pairs()[0] & kept[:-1] & kept[1:]
 
 
 def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -114,40 +112,40 @@ def _counted(digests: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def _word_counts(texts: DataFrame, min_count: int) -> DataFrame:
-    """``lang, h, n``: words per language (``h`` null), and frequent digests of words (``lang`` null)."""
+    """``lang, pair, h, n``: words per language (``h`` null), frequent digests of words, and digests of pairs that are hot in
+    some slice (``lang`` null)."""
+    names = ["lang", "pair", "h", "n"]
+
+    def digests(pair: bool, digest: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.array([pair] * len(n), pa.bool_()), digest, n], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in _slices(batches):
             langs = lang.dictionary_encode()
             of_lang = np.bincount(langs.indices.to_numpy()[words.doc], minlength=len(langs.dictionary))
-            digest, n = _counted(words.hash)
-            yield pa.RecordBatch.from_arrays(
-                [langs.dictionary, pa.nulls(len(of_lang), pa.int64()), pa.array(of_lang)], names=["lang", "h", "n"]
-            )
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(digest), pa.string()), digest, n], names=["lang", "h", "n"])
-
-    rows = texts.mapInArrow(scan, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    return shared_checkpoint(rows.filter(F.col("h").isNull() | (F.col("n") >= min_count)))
-
-
-def _pair_counts(texts: DataFrame, words, min_count: int) -> DataFrame:
-    """``h`` of pairs that may be frequent."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _slices(batches):
-            goes_on = found.cut(words.value)[1]
-            digest, n = _counted(found.pairs()[1][goes_on])
-            yield pa.RecordBatch.from_arrays([digest, n], names=["h", "n"])
-
-    return texts.mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-
-
-def _edges(texts: DataFrame, words, pairs, longest: int) -> DataFrame:
-    """``lang, phrase, size, n``: edges (``size = longest``) and the corrections at ends of pieces."""
+            none = pa.nulls(len(of_lang), pa.int64())
+            no = pa.array([False] * len(of_lang), pa.bool_())
+            yield pa.RecordBatch.from_arrays([langs.dictionary, no, none, pa.array(of_lang)], names=names)
+            yield digests(False, *_counted(words.hash))
+            goes_on, pair = words.pairs()
+            digest, n = _counted(pair[goes_on])
+            hot = pc.greater(n, len(words.hash) * HOT_SHARE / 2)
+            yield digests(True, digest.filter(hot), n.filter(hot))
+
+    rows = texts.mapInArrow(scan, "lang string, pair boolean, h long, n long")
+    counted = rows.groupBy("lang", "pair", "h").agg(F.sum("n").alias("n"))
+    return shared_checkpoint(counted.filter(F.col("pair") | F.col("h").isNull() | (F.col("n") >= min_count)))
+
+
+def _edges(texts: DataFrame, words, longest: int, hot: np.ndarray | None = None) -> DataFrame:
+    """``lang, phrase, size, n, bucket``: edges (``size = longest``) and the corrections at ends of pieces, counted within a slice.
+    Stretches with the same first two words have one ``bucket``, or ``HOT_PARTS`` of them if the digest of the pair is in
+    ``hot``. A phrase ends in a blank, so that those with common first words stand together when sorted."""
+    hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found in _slices(batches):
-            kept, goes_on = found.cut(words.value, pairs.value)
+            kept, goes_on = found.cut(words.value)
             at = np.flatnonzero(kept)
             if not len(at):
                 continue
@@ -155,7 +153,7 @@ def _edges(texts: DataFrame, words, pairs, longest: int) -> DataFrame:
             end = at[last][np.cumsum(np.append(0, last[:-1]))]  # and the place of that word
             size = np.minimum(end - at + 1, longest)
             starts, ends = found.starts[at], found.ends[at]
-            number = found.take(starts, ends).dictionary_encode()
+            number = strings(found.flat.data, starts, ends).dictionary_encode()
             number, words_here = number.indices.to_numpy().astype(np.int64) + 1, len(number.dictionary) + 1
             langs = lang.dictionary_encode()
             name = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[found.doc[at]]
@@ -164,19 +162,84 @@ def _edges(texts: DataFrame, words, pairs, longest: int) -> DataFrame:
                 inside = np.flatnonzero(size > i)
                 word[inside] = number[inside + i]
                 _, first, name, count = np.unique(name * words_here + word, return_index=True, return_inverse=True, return_counts=True)
-            # All words in a row with one space between, of which a phrase is a span.
+            # All words in a row with one space after each, of which a phrase is a span.
             length = ends - starts + 1
             begin = np.concatenate([[0], np.cumsum(length)])
             row = found.flat.data[np.minimum(np.repeat(starts - begin[:-1], length) + np.arange(begin[-1]), len(found.flat.data) - 1)]
             row[begin[1:] - 1] = 0x20
-            phrase = strings(row, begin[first], begin[first + size[first]] - 1).cast(pa.string())
+            size = size[first]
+            phrase = strings(row, begin[first], begin[first + size]).cast(pa.string())
+            digest = found.hash[at]
+            second = np.where(size > 1, digest[np.minimum(first + 1, len(at) - 1)], 0)
+            third = np.where(size > 2, digest[np.minimum(first + 2, len(at) - 1)], 0)
+            pair = mix(digest[first] * _NEXT + second)
+            part = np.where(np.isin(pair, hot), third % np.uint64(HOT_PARTS), 0).astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [lang.take(pa.array(found.doc[at[first]])), phrase, pa.array(size[first].astype(np.int32)), pa.array(count.astype(np.int64))],
+                [
+                    lang.take(pa.array(found.doc[at[first]])), phrase, pa.array(size.astype(np.int32)),
+                    pa.array(count.astype(np.int64)), pa.array(mix(pair + part).view(np.int64)),
+                ],
+                names=["lang", "phrase", "size", "n", "bucket"],
+            )
+
+    return texts.mapInArrow(scan, "lang string, phrase string, size int, n long, bucket long")
+
+
+def phrase_counts(edges: DataFrame, longest: int, min_count: int) -> DataFrame:
+    """``lang, phrase, size, n`` of all frequent phrases of 1 to ``longest`` words: node flow plus ends of pieces.
+
+    One pass over the edges of a bucket in order holds the sums of the words that it is in. Only the first two lengths may
+    have parts elsewhere, which are added afterwards; longer phrases are finished where they are and sent if frequent.
+    """
+
+    def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_lang, open_words, sums = None, [], []
+        out: list[tuple[str, str, int, int]] = []
+
+        def close(down_to: int) -> None:
+            """The sums of phrases of more than ``down_to`` words are complete; each is part of the next shorter one."""
+            while len(open_words) > down_to:
+                size, n = len(open_words), sums.pop()
+                if size <= 2 or n >= min_count:
+                    out.append((open_lang, " ".join(open_words), size, n))
+                open_words.pop()
+                if sums:
+                    sums[-1] += n
+
+        def batch_of() -> pa.RecordBatch:
+            lang, phrase, size, n = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())],
                 names=["lang", "phrase", "size", "n"],
             )
 
-    rows = texts.mapInArrow(scan, "lang string, phrase string, size int, n long")
-    return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for lang, phrase, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = phrase[:-1].split(" ")
+                if lang != open_lang:
+                    close(0)
+                    open_lang = lang
+                same = 0
+                for x, y in zip(words, open_words):
+                    if x != y:
+                        break
+                    same += 1
+                if same < len(open_words):
+                    close(same)
+                for word in words[same:]:
+                    open_words.append(word)
+                    sums.append(0)
+                sums[-1] += n
+            if len(out) >= 10_000:
+                yield batch_of()
+                out.clear()
+        close(0)
+        if out:
+            yield batch_of()
+
+    placed = edges.select("lang", "phrase", "n", "bucket").repartition("bucket").sortWithinPartitions("lang", "phrase")
+    rows = placed.mapInArrow(flow, "lang string, phrase string, size int, n long")
+    return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
 def first_words(phrase: str, k: Column | int) -> Column:
@@ -187,18 +250,6 @@ def last_words(phrase: str, k: Column | int) -> Column:
     return F.call_function("substring_index", F.col(phrase), F.lit(" "), -k if isinstance(k, Column) else F.lit(-k))
 
 
-def phrase_counts(edges: DataFrame, longest: int, min_count: int) -> list[DataFrame]:
-    """Frequent phrases of 1 to ``longest`` words as ``lang, phrase, n``, from ``_edges``: node flow plus ends of pieces."""
-    flow = edges.filter(F.col("size") == longest).select("lang", "phrase", "n")
-    out = [flow.filter(F.col("n") >= min_count)]
-    for k in range(longest - 1, 0, -1):
-        ends = edges.filter(F.col("size") == k).select("lang", "phrase", "n")
-        through = flow.select("lang", first_words("phrase", k).alias("phrase"), "n")
-        flow = shared_checkpoint(through.union(ends).groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
-        out.append(flow.filter(F.col("n") >= min_count))
-    return out[::-1]
-
-
 def unary_paths(edges: DataFrame, longest: int) -> DataFrame:
     """Passages ``lang, passage, n`` that hold every edge ``(lang, phrase, n)`` exactly once: paths through nodes with one
     edge in and one out, both of weight ``n``, in parts of at most ``PATH_EDGES`` edges. An edge on a circle of such nodes is
@@ -271,24 +322,20 @@ def collocations(docs: DataFrame, longest: int = 5, min_count: int = 100, percen
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_hash"), F.coalesce("text", F.lit("")).alias("text"))
     counted = _word_counts(texts, min_count)
-    totals = counted.filter("h is null").select("lang", F.col("n").alias("n"))
-    words = spark.sparkContext.broadcast(_bits(counted.filter("h is not null")))
-    pairs = spark.sparkContext.broadcast(_bits(_pair_counts(texts, words, min_count)))
-    edges = shared_checkpoint(_edges(texts, words, pairs, longest))
-    by_size = phrase_counts(edges, longest, min_count)
+    totals = counted.filter("h is null").select("lang", "n")
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
+    words = spark.sparkContext.broadcast(_bits(counted.filter("h is not null and not pair")))
+    hot = counted.filter(F.col("pair") & (F.col("n") > all_words * HOT_SHARE)).select("h").collect()  # at most 1 / HOT_SHARE
+    hot = np.array([r["h"] for r in hot], dtype=np.int64).view(np.uint64)
+    every = shared_checkpoint(phrase_counts(_edges(texts, words, longest, hot), longest, min_count))
 
-    passages = unary_paths(by_size[-1], longest) if longest > 2 else None
     inside = None
     for size in range(3, longest + 1):
-        of_size = passages if size == longest else by_size[size - 1].withColumnRenamed("phrase", "passage")
+        of_size = every.filter(F.col("size") == size).select("lang", "phrase", "n")
+        of_size = unary_paths(of_size, longest) if size == longest else of_size.withColumnRenamed("phrase", "passage")
         spans = _inside(of_size, size - 1)
         inside = spans if inside is None else inside.union(spans)
-    every = by_size[0]
-    for frequent in by_size[1:]:
-        every = every.union(frequent)
-    every = shared_checkpoint(every)
-    size = F.length(F.regexp_replace("phrase", "[^ ]", "")) + 1
-    candidates = every.select("lang", "phrase", F.col("n").alias("a"), size.alias("size")).filter("size > 1")
+    candidates = every.filter("size > 1").select("lang", "phrase", F.col("n").alias("a"), "size")
     if inside is not None:
         longer = inside.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
         within = F.coalesce(F.col("longer") * 100 >= F.col("a") * percent, F.lit(False))

@@ -85,10 +85,23 @@ def test_edges_cover_each_word_once_and_flow_gives_all_counts(spark):
     rows = [(t, "en") for t, _ in random_rows(3)]
     texts = spark.createDataFrame(rows, SCHEMA).selectExpr("lang", "xxhash64(lang) lang_hash", "text")
     every = spark.sparkContext.broadcast(phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, dtype="uint8"))
-    edges = phrases._edges(texts, every, every, 5)
+    edges = phrases._edges(texts, every, 5)
     words = Counter(w for t, _ in rows for piece in pieces(t) for w in piece)
     assert edges.groupBy().sum("n").first()[0] == sum(words.values())
-    assert {r.phrase: r.n for r in phrases.phrase_counts(edges, 5, 1)[0].collect()} == words
+    assert {r.phrase: r.n for r in phrases.phrase_counts(edges, 5, 1).filter("size = 1").collect()} == words
+
+
+def test_hot_pairs_are_dealt_out_and_added_up(spark, monkeypatch):
+    """All pairs taken as hot, or none: the same counts from more buckets."""
+    texts = spark.createDataFrame([(t, "en") for t, _ in random_rows(4)], SCHEMA).selectExpr("lang", "xxhash64(lang) lang_hash", "text")
+    every = spark.sparkContext.broadcast(phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, dtype="uint8"))
+    plain_edges = phrases._edges(texts, every, 5)
+    counted = phrases._word_counts(texts, 1)
+    hot = phrases.np.array([r.h for r in counted.filter("pair").collect()]).view("uint64")
+    dealt = phrases._edges(texts, every, 5, hot)
+    buckets = [e.select("bucket").distinct().count() for e in (plain_edges, dealt)]
+    assert len(hot) and buckets[1] > buckets[0]
+    data.same(*[phrases.phrase_counts(e, 5, 2).collect() for e in (plain_edges, dealt)])
 
 
 def test_unary_paths(spark):
