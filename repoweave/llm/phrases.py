@@ -7,9 +7,10 @@ correction, and only these are counted: what occurs at a node is the flow out of
 plus the pieces that end there, and the same step from each length to the one below gives the counts of all shorter phrases.
 Edges are sent by their first two words and sorted, so that the flow is summed in one pass over the sorted edges.
 
-A phrase that occurs ``min_count`` times has only words that do. A pass before the count finds those by 64-bit digests and
-keeps them as bits of a fixed number, and the pieces also end at whatever certainly is rarer. Digests that fall together only
-make the filter let more through. The same pass finds the pairs that start a fair share of all edges; their edges are dealt
+A phrase that occurs ``min_count`` times has only words that do. A pass before the count finds those and keeps digests of them
+as bits of a fixed number, and the pieces also end at whatever certainly is rarer. Digests that fall together only make the
+filter let more through. Edges travel as short codes: the most frequent words, up to a fixed number, have two or three
+bytes, any other word is spelled. The same pass finds the pairs that start a fair share of all edges; their edges are dealt
 out by the third word, and the sums of the parts are added.
 
 Among the frequent edges, nodes with one way in and one way out of equal weight are compacted: whole paths of them become
@@ -31,13 +32,18 @@ from repoweave.operators.joins import salted_join
 from repoweave.operators.numbering import number_rows
 from repoweave.session import shared_checkpoint
 
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 FILTER_BITS = 25
 PATH_EDGES = 64
 # A pair that starts more than this share of all words is hot: at most as many pairs as its inverse. Slices report shares half
 # as large, so that a pair which is hot somewhere is seen.
 HOT_SHARE = 1 / 1000
 HOT_PARTS = 64
+# Words with a code of their own: the first SHORT_CODES of them in two bytes, the others in three.
+MOST_CODES = 1 << 17
+SHORT_CODES = 1 << 15
+# First byte of codes of three bytes, end of a phrase, and the byte around a spelled word; UTF-8 has no 0xFE and 0xFF.
+LONG, STOP, SPELLED = 0x80, 0xFE, 0xFF
 
 _INSIDE = np.ones(256, dtype=bool)
 _BREAK = np.zeros(256, dtype=bool)
@@ -112,38 +118,112 @@ def _counted(digests: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def _word_counts(texts: DataFrame, min_count: int) -> DataFrame:
-    """``lang, pair, h, n``: words per language (``h`` null), frequent digests of words, and digests of pairs that are hot in
-    some slice (``lang`` null)."""
-    names = ["lang", "pair", "h", "n"]
-
-    def digests(pair: bool, digest: pa.Array, n: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.array([pair] * len(n), pa.bool_()), digest, n], names=names)
+    """``lang, word, pair, n``: words per language (``word`` and ``pair`` null), frequent words, and digests of pairs that are
+    hot in some slice (``lang`` null)."""
+    names = ["lang", "word", "pair", "n"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words in _slices(batches):
+        for lang, found in _slices(batches):
             langs = lang.dictionary_encode()
-            of_lang = np.bincount(langs.indices.to_numpy()[words.doc], minlength=len(langs.dictionary))
-            none = pa.nulls(len(of_lang), pa.int64())
-            no = pa.array([False] * len(of_lang), pa.bool_())
-            yield pa.RecordBatch.from_arrays([langs.dictionary, no, none, pa.array(of_lang)], names=names)
-            yield digests(False, *_counted(words.hash))
-            goes_on, pair = words.pairs()
+            of_word = langs.indices.to_numpy().astype(np.int64)[found.doc]
+            of_lang = np.bincount(of_word, minlength=len(langs.dictionary))
+            none, no_pair = pa.nulls(len(of_lang), pa.string()), pa.nulls(len(of_lang), pa.int64())
+            yield pa.RecordBatch.from_arrays([langs.dictionary, none, no_pair, pa.array(of_lang)], names=names)
+            spelled = strings(found.flat.data, found.starts, found.ends).dictionary_encode()
+            size = max(len(spelled.dictionary), 1)
+            word, n = np.unique(of_word * size + spelled.indices.to_numpy(), return_counts=True)
+            words = spelled.dictionary.take(pa.array(word % size)).cast(pa.string())
+            of = langs.dictionary.take(pa.array(word // size))
+            yield pa.RecordBatch.from_arrays([of, words, pa.nulls(len(n), pa.int64()), pa.array(n)], names=names)
+            goes_on, pair = found.pairs()
             digest, n = _counted(pair[goes_on])
-            hot = pc.greater(n, len(words.hash) * HOT_SHARE / 2)
-            yield digests(True, digest.filter(hot), n.filter(hot))
+            hot = pc.greater(n, len(found.hash) * HOT_SHARE / 2)
+            digest, n = digest.filter(hot), n.filter(hot)
+            none = pa.nulls(len(n), pa.string())
+            yield pa.RecordBatch.from_arrays([none, none, digest, n], names=names)
+
+    rows = texts.mapInArrow(scan, "lang string, word string, pair long, n long")
+    counted = rows.groupBy("lang", "word", "pair").agg(F.sum("n").alias("n"))
+    return shared_checkpoint(counted.filter(F.col("word").isNull() | (F.col("n") >= min_count)))
+
+
+def _word_bits(frequent: DataFrame) -> np.ndarray:
+    """The bits of ``(lang, word)``."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_lang = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for lo, hi, flat in flat_slices(batch.column(1), SLICE_BYTES):
+                hashes = span_hash(flat.prefix_hash(), flat.offsets[:-1], flat.offsets[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(hashes ^ of_lang[lo:hi]).view(np.int64))], names=["h"])
+
+    return _bits(frequent.select(F.xxhash64("lang").alias("lang_hash"), "word").mapInArrow(digest, "h long"))
+
+
+def _codes(frequent: DataFrame, most: int) -> list[str]:
+    """The most frequent words, at most ``most``, by falling count: those above a power of two that leaves few enough."""
+    total = frequent.groupBy("word").agg(F.sum("n").alias("n"))
+    steps = total.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()  # at most 64
+    lowest, held = 64, 0
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        held += row["words"]
+        if held > most:
+            break
+        lowest = row["step"]
+    rows = total.filter(F.floor(F.log2("n")) >= lowest).select("word", "n").toArrow().to_pylist()
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
+
+
+def code_of(number: int | None, word: bytes) -> bytes:
+    """Codes end themselves: what two codes share at the start never ends inside one of them."""
+    if number is None:
+        return bytes([SPELLED]) + word + bytes([SPELLED])
+    if number < SHORT_CODES:
+        return number.to_bytes(2, "big")
+    return ((LONG << 16) + number - SHORT_CODES).to_bytes(3, "big")
+
+
+def split_codes(row: bytes) -> list[bytes]:
+    out, i = [], 0
+    while i < len(row):
+        first = row[i]
+        j = i + 2 if first < LONG else i + 3 if first != SPELLED else row.index(SPELLED, i + 1) + 1
+        out.append(row[i:j])
+        i = j
+    return out
 
-    rows = texts.mapInArrow(scan, "lang string, pair boolean, h long, n long")
-    counted = rows.groupBy("lang", "pair", "h").agg(F.sum("n").alias("n"))
-    return shared_checkpoint(counted.filter(F.col("pair") | F.col("h").isNull() | (F.col("n") >= min_count)))
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """Rows of ``n`` spans of bytes, one from each of ``(data, starts, ends)``, after each other."""
+    sizes = [ends - starts for _, starts, ends in parts]
+    offsets = np.concatenate([[0], np.cumsum(sum(sizes))])
+    out = np.empty(offsets[-1], dtype=np.uint8)
+    begin = offsets[:-1].copy()
+    for (data, starts, _), size in zip(parts, sizes, strict=True):
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(begin, size) + at] = data[np.repeat(starts, size) + at]
+        begin += size
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+    return kept.cast(pa.binary())
 
-def _edges(texts: DataFrame, words, longest: int, hot: np.ndarray | None = None) -> DataFrame:
-    """``lang, phrase, size, n, bucket``: edges (``size = longest``) and the corrections at ends of pieces, counted within a slice.
-    Stretches with the same first two words have one ``bucket``, or ``HOT_PARTS`` of them if the digest of the pair is in
-    ``hot``. A phrase ends in a blank, so that those with common first words stand together when sorted."""
+
+def _fixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers as four bytes each, highest first."""
+    starts = np.arange(len(values), dtype=np.int64) * 4
+    return values.astype(">u4").view(np.uint8), starts, starts + 4
+
+
+def _edges(texts: DataFrame, words, codes, longest: int, hot: np.ndarray | None = None) -> DataFrame:
+    """``edge``: edges (``longest`` words) and the corrections at ends of pieces, counted within a slice, as bytes: a bucket (4),
+    the language, the codes of the words, the end mark, and the count (4).
+
+    Stretches with the same first two words have one bucket, or ``HOT_PARTS`` of them if the digest of the pair is in ``hot``.
+    Sorted by bytes, edges with the same first words stand together.
+    """
     hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number_of = {word.encode(): i for i, word in enumerate(codes.value)}
         for lang, found in _slices(batches):
             kept, goes_on = found.cut(words.value)
             at = np.flatnonzero(kept)
@@ -152,40 +232,48 @@ def _edges(texts: DataFrame, words, longest: int, hot: np.ndarray | None = None)
             last = np.append(~goes_on, True)[at]  # the last word of its piece
             end = at[last][np.cumsum(np.append(0, last[:-1]))]  # and the place of that word
             size = np.minimum(end - at + 1, longest)
-            starts, ends = found.starts[at], found.ends[at]
-            number = strings(found.flat.data, starts, ends).dictionary_encode()
-            number, words_here = number.indices.to_numpy().astype(np.int64) + 1, len(number.dictionary) + 1
+            spelled = strings(found.flat.data, found.starts[at], found.ends[at]).dictionary_encode()
+            number = spelled.indices.to_numpy().astype(np.int64) + 1
             langs = lang.dictionary_encode()
-            name = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[found.doc[at]]
+            of_lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[found.doc[at]]
+            name = of_lang
             for i in range(longest):
                 word = np.zeros(len(at), dtype=np.int64)
                 inside = np.flatnonzero(size > i)
                 word[inside] = number[inside + i]
-                _, first, name, count = np.unique(name * words_here + word, return_index=True, return_inverse=True, return_counts=True)
-            # All words in a row with one space after each, of which a phrase is a span.
-            length = ends - starts + 1
-            begin = np.concatenate([[0], np.cumsum(length)])
-            row = found.flat.data[np.minimum(np.repeat(starts - begin[:-1], length) + np.arange(begin[-1]), len(found.flat.data) - 1)]
-            row[begin[1:] - 1] = 0x20
+                _, first, name, count = np.unique(
+                    name * (len(spelled.dictionary) + 1) + word, return_index=True, return_inverse=True, return_counts=True
+                )
             size = size[first]
-            phrase = strings(row, begin[first], begin[first + size]).cast(pa.string())
+
+            def table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                return np.frombuffer(b"".join(values), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in values])])
+
+            code, code_at = table([code_of(number_of.get(w), w) for w in (v.encode() for v in spelled.dictionary.to_pylist())])
+            begin = np.concatenate([[0], np.cumsum(code_at[number] - code_at[number - 1])])
+            length = begin[1:] - begin[:-1]
+            row = code[np.repeat(code_at[number - 1] - begin[:-1], length) + np.arange(begin[-1])]
+            of, of_at = table([code_of(None, v.encode()) for v in langs.dictionary.to_pylist()])
             digest = found.hash[at]
             second = np.where(size > 1, digest[np.minimum(first + 1, len(at) - 1)], 0)
             third = np.where(size > 2, digest[np.minimum(first + 2, len(at) - 1)], 0)
             pair = mix(digest[first] * _NEXT + second)
             part = np.where(np.isin(pair, hot), third % np.uint64(HOT_PARTS), 0).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays(
+            n = len(first)
+            stop = (np.full(1, STOP, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64))
+            edge = _joined(
                 [
-                    lang.take(pa.array(found.doc[at[first]])), phrase, pa.array(size.astype(np.int32)),
-                    pa.array(count.astype(np.int64)), pa.array(mix(pair + part).view(np.int64)),
+                    _fixed(mix(pair + part) >> np.uint64(32)), (of, of_at[of_lang[first]], of_at[of_lang[first] + 1]),
+                    (row, begin[first], begin[first + size]), stop, _fixed(count),
                 ],
-                names=["lang", "phrase", "size", "n", "bucket"],
+                n,
             )
+            yield pa.RecordBatch.from_arrays([edge], names=["edge"])
 
-    return texts.mapInArrow(scan, "lang string, phrase string, size int, n long, bucket long")
+    return texts.mapInArrow(scan, "edge binary")
 
 
-def phrase_counts(edges: DataFrame, longest: int, min_count: int) -> DataFrame:
+def phrase_counts(edges: DataFrame, codes, longest: int, min_count: int) -> DataFrame:
     """``lang, phrase, size, n`` of all frequent phrases of 1 to ``longest`` words: node flow plus ends of pieces.
 
     One pass over the edges of a bucket in order holds the sums of the words that it is in. Only the first two lengths may
@@ -193,32 +281,36 @@ def phrase_counts(edges: DataFrame, longest: int, min_count: int) -> DataFrame:
     """
 
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_lang, open_words, sums = None, [], []
+        known = codes.value
+        open_key, open_words, sums = b"", [], []
         out: list[tuple[str, str, int, int]] = []
 
+        def spell(code: bytes) -> str:
+            if code[0] == SPELLED:
+                return code[1:-1].decode()
+            return known[int.from_bytes(code, "big") - (0 if len(code) == 2 else (LONG << 16) - SHORT_CODES)]
+
         def close(down_to: int) -> None:
             """The sums of phrases of more than ``down_to`` words are complete; each is part of the next shorter one."""
             while len(open_words) > down_to:
                 size, n = len(open_words), sums.pop()
                 if size <= 2 or n >= min_count:
-                    out.append((open_lang, " ".join(open_words), size, n))
+                    out.append((open_key[5:-1].decode(), " ".join(map(spell, open_words)), size, n))
                 open_words.pop()
                 if sums:
                     sums[-1] += n
 
         def batch_of() -> pa.RecordBatch:
-            lang, phrase, size, n = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())],
-                names=["lang", "phrase", "size", "n"],
-            )
+            columns = zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["lang", "phrase", "size", "n"])
 
         for batch in batches:
-            for lang, phrase, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = phrase[:-1].split(" ")
-                if lang != open_lang:
+            for row in batch.column(0).to_pylist():
+                key_end = row.index(SPELLED, 5) + 1
+                words = split_codes(row[key_end:-5])
+                if row[:key_end] != open_key:
                     close(0)
-                    open_lang = lang
+                    open_key = row[:key_end]
                 same = 0
                 for x, y in zip(words, open_words):
                     if x != y:
@@ -229,7 +321,7 @@ def phrase_counts(edges: DataFrame, longest: int, min_count: int) -> DataFrame:
                 for word in words[same:]:
                     open_words.append(word)
                     sums.append(0)
-                sums[-1] += n
+                sums[-1] += int.from_bytes(row[-4:], "big")
             if len(out) >= 10_000:
                 yield batch_of()
                 out.clear()
@@ -237,7 +329,7 @@ def phrase_counts(edges: DataFrame, longest: int, min_count: int) -> DataFrame:
         if out:
             yield batch_of()
 
-    placed = edges.select("lang", "phrase", "n", "bucket").repartition("bucket").sortWithinPartitions("lang", "phrase")
+    placed = edges.repartition(F.substring("edge", 1, 4)).sortWithinPartitions("edge")
     rows = placed.mapInArrow(flow, "lang string, phrase string, size int, n long")
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
@@ -322,12 +414,14 @@ def collocations(docs: DataFrame, longest: int = 5, min_count: int = 100, percen
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_hash"), F.coalesce("text", F.lit("")).alias("text"))
     counted = _word_counts(texts, min_count)
-    totals = counted.filter("h is null").select("lang", "n")
+    totals = counted.filter("word is null and pair is null").select("lang", "n")
     all_words = totals.agg(F.sum("n")).first()[0] or 0
-    words = spark.sparkContext.broadcast(_bits(counted.filter("h is not null and not pair")))
-    hot = counted.filter(F.col("pair") & (F.col("n") > all_words * HOT_SHARE)).select("h").collect()  # at most 1 / HOT_SHARE
-    hot = np.array([r["h"] for r in hot], dtype=np.int64).view(np.uint64)
-    every = shared_checkpoint(phrase_counts(_edges(texts, words, longest, hot), longest, min_count))
+    frequent = counted.filter("word is not null").select("lang", "word", "n")
+    words = spark.sparkContext.broadcast(_word_bits(frequent))
+    codes = spark.sparkContext.broadcast(_codes(frequent, MOST_CODES))
+    hot = counted.filter(F.col("pair").isNotNull() & (F.col("n") > all_words * HOT_SHARE))  # at most 1 / HOT_SHARE
+    hot = np.array([r["pair"] for r in hot.select("pair").collect()], dtype=np.int64).view(np.uint64)
+    every = shared_checkpoint(phrase_counts(_edges(texts, words, codes, longest, hot), codes, longest, min_count))
 
     inside = None
     for size in range(3, longest + 1):

@@ -80,28 +80,47 @@ def test_scores_beyond_64_bits(spark):
     assert row.select(phrases.score(wide)).first()[0] == 1000 * big * big * 5 // ((big + 1) * (big + 2))
 
 
-def test_edges_cover_each_word_once_and_flow_gives_all_counts(spark):
+@pytest.mark.parametrize("known", [[], ["the", "b", "passage"]])
+def test_edges_cover_each_word_once_and_flow_gives_all_counts(spark, known):
     """Weights of edges and corrections add up to the words; counts of one word follow from the flow alone."""
     rows = [(t, "en") for t, _ in random_rows(3)]
     texts = spark.createDataFrame(rows, SCHEMA).selectExpr("lang", "xxhash64(lang) lang_hash", "text")
     every = spark.sparkContext.broadcast(phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, dtype="uint8"))
-    edges = phrases._edges(texts, every, 5)
+    codes = spark.sparkContext.broadcast(known)
+    edges = phrases._edges(texts, every, codes, 5)
     words = Counter(w for t, _ in rows for piece in pieces(t) for w in piece)
-    assert edges.groupBy().sum("n").first()[0] == sum(words.values())
-    assert {r.phrase: r.n for r in phrases.phrase_counts(edges, 5, 1).filter("size = 1").collect()} == words
+    assert sum(int.from_bytes(r.edge[-4:], "big") for r in edges.collect()) == sum(words.values())
+    assert {r.phrase: r.n for r in phrases.phrase_counts(edges, codes, 5, 1).filter("size = 1").collect()} == words
 
 
-def test_hot_pairs_are_dealt_out_and_added_up(spark, monkeypatch):
+def test_hot_pairs_are_dealt_out_and_added_up(spark):
     """All pairs taken as hot, or none: the same counts from more buckets."""
     texts = spark.createDataFrame([(t, "en") for t, _ in random_rows(4)], SCHEMA).selectExpr("lang", "xxhash64(lang) lang_hash", "text")
     every = spark.sparkContext.broadcast(phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, dtype="uint8"))
-    plain_edges = phrases._edges(texts, every, 5)
-    counted = phrases._word_counts(texts, 1)
-    hot = phrases.np.array([r.h for r in counted.filter("pair").collect()]).view("uint64")
-    dealt = phrases._edges(texts, every, 5, hot)
-    buckets = [e.select("bucket").distinct().count() for e in (plain_edges, dealt)]
+    codes = spark.sparkContext.broadcast(["of"])
+    hot = phrases.np.array([r.pair for r in phrases._word_counts(texts, 1).filter("pair is not null").collect()]).view("uint64")
+    both = [phrases._edges(texts, every, codes, 5), phrases._edges(texts, every, codes, 5, hot)]
+    buckets = [e.selectExpr("substring(edge, 1, 4)").distinct().count() for e in both]
     assert len(hot) and buckets[1] > buckets[0]
-    data.same(*[phrases.phrase_counts(e, 5, 2).collect() for e in (plain_edges, dealt)])
+    data.same(*[phrases.phrase_counts(e, codes, 5, 2).collect() for e in both])
+
+
+def test_codes_are_told_apart_and_ordered_by_count(spark):
+    numbers = [0, 1, 255, 256, phrases.SHORT_CODES - 1, phrases.SHORT_CODES, phrases.MOST_CODES - 1, None]
+    codes = [phrases.code_of(n, "naïve\x01".encode()) for n in numbers]
+    assert phrases.split_codes(b"".join(codes)) == codes and len(set(codes)) == len(codes)
+    assert not any(x != y and y.startswith(x) for x in codes for y in codes)
+    rows = [("en", f"w{i}", 1 << i) for i in range(10)] + [("de", "w9", 5)]
+    frequent = spark.createDataFrame(rows, "lang string, word string, n long")
+    assert phrases._codes(frequent, 100) == [f"w{i}" for i in reversed(range(10))]
+    assert phrases._codes(frequent, 3) == ["w9", "w8", "w7"] and phrases._codes(frequent, 0) == []
+
+
+def test_a_vocabulary_that_is_too_small_changes_nothing(spark, monkeypatch):
+    rows = random_rows(11)
+    monkeypatch.setattr(phrases, "MOST_CODES", 2)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    data.same(phrases.collocations(docs, 5, 4, 100, 2000).collect(), plain(rows, 5, 4, 100, 2000))
 
 
 def test_unary_paths(spark):
