@@ -20,6 +20,7 @@ from repoweave.operators.selection import (
 )
 from repoweave.operators.joins import salted_join
 from repoweave.operators.tokens import pad_truncate, tokenize, tokenizer
+from repoweave.plans.clean import clean_files, cleaning_rejects, rejected_files
 from repoweave.plans.corpus import CORPUS_ORDER, DEPENDENCY_ORDER, GLOBAL_SHUFFLE, corpus, stored_or_built_graph
 from repoweave.session import shared_checkpoint, shared_table
 from repoweave.sinks.corpus import write_corpus, write_jsonl
@@ -60,6 +61,9 @@ class CorpusConfig:
     max_length: int = 100_000
     truncation: bool = True
     output_tokenized: str | None = None
+    deduplicate: str | None = None
+    decontaminate: str | None = None
+    redact: bool = False
 
     @classmethod
     def from_dict(cls, values: dict) -> CorpusConfig:
@@ -160,16 +164,24 @@ def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
     # The tree is read once. Later steps read the staged table: names alone, or the text in large splits.
     entries = clean_manifest(manifest, dedupe=True) if config.dedupe else distinct_entries(manifest)
     files = shared_table(scan_repos(entries))
+    rejected = None
+    if config.deduplicate or config.decontaminate:
+        benchmark = spark.read.parquet(config.decontaminate) if config.decontaminate else None
+        rejected = rejected_files(files, config.deduplicate, benchmark)
+    cleaned = clean_files(files, rejected, config.redact)
     graph = None
     if config.setting == DEPENDENCY_ORDER and config.graph_store:
         graph = stored_or_built_graph(files, config.graph_store)
-    records = corpus(files, config.setting, seed=config.seed, graph=graph)
+    records = corpus(cleaned, config.setting, seed=config.seed, graph=graph)
     # Ordered once: every target and the tokens read the staged rows.
     emitted = shared_table(records if config.dedupe else repeat_entries(records, manifest, config.setting))
     for target in filter(None, dict.fromkeys([config.data_file, config.output_file])):
         write_corpus(emitted, target, mode=mode)
     if config.rejects_file:
-        write_jsonl(rejects(manifest, files), config.rejects_file, mode)
+        found = rejects(manifest, files)
+        if rejected is not None:
+            found = found.unionByName(cleaning_rejects(files, rejected))
+        write_jsonl(found, config.rejects_file, mode)
     if config.tokenize:
         write_tokenized(emitted, config, mode)
     return read_corpus(spark, config.data_file)

@@ -58,12 +58,18 @@ def shared_checkpoint(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame,
     return stored, seen.get
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it from there.
+def shared_table(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame, dict]:
+    """Write ``df`` as a Parquet table in the shared folder and read it from there, with named aggregates as above.
 
-    For wide rows that later steps read in parts: unlike a checkpoint, the table still prunes columns.
+    For wide rows that later steps read in parts: unlike a checkpoint, the table still prunes columns. And for rounds that
+    join a result with itself: a checkpoint hands on the size that the planner guessed, which such joins square every time,
+    until the guess is a number of millions of digits; a table has the size of its files.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4()}"
+    seen = Observation()
+    if metrics:
+        df = df.observe(seen, *[expr.alias(name) for name, expr in metrics.items()])
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    return (stored, seen.get) if metrics else stored

@@ -240,6 +240,36 @@ def test_rejects_are_listed(spark, checkout):
     assert found == {("two", None, "download"), ("one", "gone.py", "read")}
 
 
+def test_cleaned_run(spark, checkout):
+    """Copies and benchmark passages leave the corpus but not the import graph; personal data is marked."""
+    passage = " ".join(f"word{i}" for i in range(20))
+    text = "import b\n" + " ".join(f"t{i}" for i in range(60))
+    tree = checkout / "repos"
+    (tree / "one" / "src" / "near.py").write_text(text + " t60")
+    (tree / "one" / "src" / "nearly.py").write_text(text + " t61")
+    (tree / "one" / "src" / "copy.py").write_text((tree / "one" / "src" / "a.py").read_text())
+    (tree / "two" / "lib" / "quiz.py").write_text(f"x = 1\n# {passage.upper()}")
+    (tree / "two" / "lib" / "mail.py").write_text("# write to some.one@host.example or 10.1.2.3")
+    spark.createDataFrame([(1, passage)], "item_id int, text string").write.parquet(str(checkout / "benchmark"))
+    for how, gone in (("exact", {"copy.py"}), ("near", {"copy.py", "nearly.py"})):
+        cfg = config(
+            checkout, setting=3, deduplicate=how, decontaminate=str(checkout / "benchmark"), redact=True, overwrite=True,
+            dedupe=True, rejects_file=str(checkout / f"rejects-{how}"),
+        )
+        prepare(spark, cfg)
+        records = lines_of(cfg.data_file)
+        names = [os.path.basename(r["file_path"]) for r in records]
+        listed = {os.path.basename(f) for f in glob.glob(f"{tree}/*/*/*.py")} - {"c.py"}
+        assert sorted(names) == sorted(listed - gone - {"quiz.py"})
+        assert names.index("b.py") < names.index("near.py")
+        mail = [r["content"] for r in records if r["file_path"].endswith("mail.py")]
+        assert "# write to <EMAIL> or <IP>" in mail[0]
+        reasons = {(r["rel_path"].split("/")[-1], r["reason"]) for r in lines_of(cfg.rejects_file) if r["stage"] == "clean"}
+        assert reasons == {(g, f"{how} copy of another file") for g in gone} | {("quiz.py", "holds a benchmark passage")}
+    with pytest.raises(ValueError):
+        prepare(spark, config(checkout, deduplicate="other", overwrite=True))
+
+
 def test_tokenized_run(spark, checkout):
     cfg = config(checkout, setting=3, tokenize=True, max_length=12, output_tokenized=str(checkout / "ids"))
     prepare(spark, cfg)
