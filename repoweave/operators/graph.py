@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from repoweave.operators.dependencies import drop_self_loops
 from repoweave.operators.joins import hot_keys, salted_join
-from repoweave.session import shared_checkpoint
+from repoweave.session import shared_checkpoint, shared_table
 
 # Largest repository a single task may hold: about 50 MB of path pairs.
 LOCAL_EDGES = 200_000
@@ -154,6 +154,73 @@ def _local_cycle_edges(pdf: pd.DataFrame) -> pd.DataFrame:
 # ---- repositories of any size ---------------------------------------------------------------------------------
 
 
+def _jump(links: DataFrame) -> DataFrame:
+    """Follow ``links (repo_name, node, up)``, at most one for each node, to their end.
+
+    Returns ``repo_name, node, top, steps, least, circle``: the node without a link that is reached, the number of links to
+    it, and the smallest node on the way; on a circle, ``least`` is the smallest node of it. A round replaces the end of every
+    walk by the end of the walk from there, so lengths double and rounds are logarithmic.
+    """
+    ends = links.select("repo_name", F.col("node").alias("up"), F.lit(True).alias("_more"))
+    walks, seen = shared_table(
+        salted_join(links, ends, ["repo_name", "up"], ["node"], how="left").select(
+            "repo_name", "node", F.col("up").alias("top"), F.lit(1).cast("long").alias("steps"),
+            F.least("node", "up").alias("least"), F.coalesce("_more", F.lit(False)).alias("open"),
+        ),
+        n=F.count(F.lit(1)),
+        left=F.count_if("open"),
+    )
+    rows, left = seen["n"], seen["left"]
+    while left:
+        on = walks.select(
+            "repo_name", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"),
+            F.col("least").alias("_least"), F.col("open").alias("_open"),
+        )
+        further = salted_join(walks.filter("open"), on, ["repo_name", "top"], ["node"], rows=rows).select(
+            "repo_name", "node", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            F.least("least", "_least").alias("least"), F.col("_open").alias("open"), (F.col("_least") < F.col("least")).alias("_lower"),
+        )
+        settled = walks.filter("not open").withColumn("_lower", F.lit(False))
+        walks, seen = shared_table(settled.unionByName(further), left=F.count_if("open"), lower=F.count_if("_lower"))
+        walks = walks.drop("_lower")
+        # Walks that end get fewer with every round. Those on a circle stay, and have all of it once nothing gets smaller.
+        if seen["left"] == left and not seen["lower"]:
+            break
+        left = seen["left"]
+    return walks.withColumnRenamed("open", "circle")
+
+
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace paths through nodes with one edge in and one out by a single edge.
+
+    Returns the edges with the two ends ``a, b`` of their path (an edge beside such nodes is its own path), and edges of whole
+    circles of such nodes with the smallest node as ``scc_id``. A path lies on a cycle exactly if its ends do, together.
+    """
+    ins = edges.groupBy("repo_name", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("before"))
+    outs = edges.groupBy("repo_name", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("after"))
+    unary = shared_table(ins.join(outs, ["repo_name", "node"]).filter("n_in = 1 and n_out = 1").drop("n_in", "n_out"))
+    inner = unary.select("repo_name", F.col("node").alias("before"))
+    walks = _jump(unary.join(inner, ["repo_name", "before"]).select("repo_name", "node", F.col("before").alias("up")))
+    # A path is known by its first inner node; the last one shows where it ends.
+    placed = unary.join(walks, ["repo_name", "node"], "left").select(
+        "repo_name", "node", "before", "after", F.coalesce("top", "node").alias("path"), "least", F.coalesce("circle", F.lit(False)).alias("circle")
+    )
+    placed = shared_table(placed)
+    rings = placed.filter("circle").select("repo_name", F.col("node").alias("src"), F.col("after").alias("dst"), F.col("least").alias("scc_id"))
+    lines = placed.filter("not circle")
+    nodes = lines.select("repo_name", F.col("node").alias("after"))
+    first = lines.filter("path = node").select("repo_name", "path", F.col("before").alias("a"))
+    last = lines.join(nodes, ["repo_name", "after"], "left_anti").select("repo_name", "path", F.col("after").alias("b"))
+    paths = first.join(last, ["repo_name", "path"])
+    of_node = lines.join(paths, ["repo_name", "path"]).select("repo_name", "node", "a", "b")
+    from_inner = of_node.withColumnRenamed("node", "src").join(lines.select("repo_name", F.col("node").alias("src"), F.col("after").alias("dst")), ["repo_name", "src"])
+    into_first = paths.select("repo_name", F.col("a").alias("src"), F.col("path").alias("dst"), "a", "b")
+    inner_edges = from_inner.select(*EDGE, "a", "b").unionByName(into_first)
+    beside = edges.join(inner_edges.select(*EDGE).unionByName(rings.select(*EDGE)), EDGE, "left_anti")
+    beside = beside.select(*EDGE, F.col("src").alias("a"), F.col("dst").alias("b"))
+    return inner_edges.unionByName(beside), rings
+
+
 def _trim(edges: DataFrame, n: int, hot: DataFrame) -> tuple[DataFrame, int]:
     """Drop edges that start at a node nobody imports or end at one that imports nothing; neither is on a cycle.
     Stops when a round removes less than a tenth, since labels cope with the rest."""
@@ -215,8 +282,9 @@ def _spread_labels(edges: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
             return labels
 
 
-def _inside_cycles_distributed(edges: DataFrame, local_edges: int) -> DataFrame:
-    """Edges inside a strongly connected component, with the component's smallest node as ``scc_id``.
+def _inside_branching_cycles(edges: DataFrame, local_edges: int) -> DataFrame:
+    """Edges inside a strongly connected component, with the component's smallest node as ``scc_id``, in rounds as many as
+    the longest paths have nodes.
 
     After the labels are stable, two nodes of one component carry the same pair, so edges between different pairs
     are cut. A component whose two labels agree is complete: its label node reaches every member and is reached
@@ -255,31 +323,75 @@ def _inside_cycles_distributed(edges: DataFrame, local_edges: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _inside_cycles_distributed(edges: DataFrame, local_edges: int) -> DataFrame:
+    """Edges inside a strongly connected component, with the component's smallest node as ``scc_id``. What fits one task
+    after trimming is finished there; in the rest, paths without branches are contracted first, in logarithmic rounds."""
+    edges, seen = shared_checkpoint(edges.select(*EDGE), n=F.count(F.lit(1)))
+    hot = shared_checkpoint(hot_keys(edges, ["repo_name", "dst"]))
+    edges, n = _trim(edges, seen["n"], hot)
+    small, large = _split_by_size(edges, n, local_edges)
+    schema = f"{', '.join(f'{c} string' for c in EDGE)}, scc_id string"
+    local = small.groupBy("repo_name").applyInPandas(_local_cycle_edges, schema)
+    if large is None:
+        return local
+    contracted, rings = _contract(large)
+    contracted = shared_checkpoint(contracted)
+    between = contracted.filter("a <> b").select("repo_name", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    inside = _inside_branching_cycles(between, local_edges)
+    of_node = inside.select("repo_name", F.col("src").alias("a"), "scc_id").distinct()
+    ends = inside.select("repo_name", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("_inside"))
+    joined = contracted.join(of_node, ["repo_name", "a"], "left").join(ends, ["repo_name", "a", "b"], "left")
+    found = shared_checkpoint(
+        joined.filter("_inside or a = b").select(*EDGE, F.coalesce("scc_id", "a").alias("part"))
+    )
+    # The smallest node of a component may be one inside a path.
+    members = found.select("repo_name", "part", F.col("src").alias("node")).union(found.select("repo_name", "part", "dst"))
+    least = members.groupBy("repo_name", "part").agg(F.min("node").alias("scc_id"))
+    whole = salted_join(found, least, ["repo_name", "part"], ["src"]).select(*EDGE, "scc_id")
+    return local.unionByName(whole).unionByName(rings)
+
+
 def _acyclic_distributed(edges: DataFrame, local_edges: int) -> DataFrame:
     return edges.join(_inside_cycles_distributed(edges, local_edges), EDGE, "left_anti")
 
 
 def _levels_distributed(edges: DataFrame) -> DataFrame:
-    """Levels of an acyclic edge set: a node's level is the last round in which an edge still points at it.
+    """Levels of an acyclic edge set, the length of the longest path to each node.
 
-    A round keeps the edges whose source is itself a target, so the edge set shrinks, and the join is on ``src``,
-    whose number of edges is bounded by the imports of one file. The popular side is only ever combined.
+    A node with a single edge to it is one level below the node that it hangs on, so it is left out of the rounds: walks up
+    to the first node with another number of edges give its distance, in logarithmic rounds. Between those nodes, levels
+    are raised along weighted edges until none changes; a round looks at the nodes that were raised in the one before.
     """
-    rounds = []
-    current, seen = shared_checkpoint(edges.select(*EDGE), n=F.count(F.lit(1)))
-    first = current
-    while seen["n"]:
-        rounds.append(current.select("repo_name", F.col("dst").alias("rel_path"), F.lit(len(rounds) + 1).alias("level")))
-        targets = current.select("repo_name", F.col("dst").alias("src")).distinct()
-        before = seen["n"]
-        current, seen = shared_checkpoint(
-            current.join(targets, ["repo_name", "src"], "left_semi").select(*EDGE), n=F.count(F.lit(1))
-        )
-        if seen["n"] == before:
+    edges, seen = shared_table(edges.select(*EDGE), n=F.count(F.lit(1)))
+    node = ["repo_name", "node"]
+    ins = edges.groupBy("repo_name", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("up"))
+    walks = shared_table(_jump(ins.filter("n_in = 1").select(*node, "up")))
+    if walks.filter("circle").limit(1).count():
+        raise ValueError("the edges contain a cycle; remove cycles first")
+    hanging = walks.select(*node, "top", "steps")
+    met = edges.join(hanging.select("repo_name", F.col("node").alias("dst")), ["repo_name", "dst"], "left_anti")
+    from_top = met.join(hanging.withColumnRenamed("node", "src"), ["repo_name", "src"], "left")
+    weighted = from_top.groupBy("repo_name", F.coalesce("top", "src").alias("src"), "dst").agg(
+        F.max(F.coalesce("steps", F.lit(0)) + 1).alias("weight")
+    )
+    weighted, some = shared_table(weighted, n=F.count(F.lit(1)))
+    ends = edges.select("repo_name", F.col("src").alias("node")).union(edges.select("repo_name", "dst")).distinct()
+    tops = ends.join(hanging.select(*node), node, "left_anti")
+    zero = F.lit(0).cast("long")
+    levels, count = shared_table(tops.select(*node, zero.alias("level"), F.lit(True).alias("moved")), nodes=F.count(F.lit(1)))
+    rounds, moved = 0, some["n"]
+    while moved:
+        raised = weighted.join(levels.filter("moved").select("repo_name", F.col("node").alias("src"), "level"), ["repo_name", "src"])
+        raised = raised.select("repo_name", F.col("dst").alias("node"), (F.col("level") + F.col("weight")).alias("level"), F.lit(-1).cast("long").alias("old"))
+        own = levels.select(*node, "level", F.col("level").alias("old"))
+        merged = own.unionByName(raised).groupBy(*node).agg(F.max("level").alias("level"), F.max("old").alias("old"))
+        levels, seen = shared_table(merged.select(*node, "level", (F.col("level") > F.col("old")).alias("moved")), n=F.count_if("moved"))
+        rounds, moved = rounds + 1, seen["n"]
+        if rounds > count["nodes"]:
             raise ValueError("the edges contain a cycle; remove cycles first")
-    starts = first.select("repo_name", F.col("src").alias("rel_path"), F.lit(0).alias("level"))
-    levels = reduce(DataFrame.unionByName, rounds, starts)
-    return levels.groupBy("repo_name", "rel_path").agg(F.max("level").cast("long").alias("level"))
+    of_top = levels.select("repo_name", F.col("node").alias("top"), "level")
+    below = salted_join(hanging, of_top, ["repo_name", "top"], ["node"]).select(*node, (F.col("level") + F.col("steps")).alias("level"))
+    return levels.select(*node, "level").unionByName(below).withColumnRenamed("node", "rel_path")
 
 
 # ---- public operators -----------------------------------------------------------------------------------------

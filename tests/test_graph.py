@@ -110,3 +110,53 @@ def test_large_repositories_with_and_without_broadcast(spark, monkeypatch, bound
     assert {tuple(r) for r in graph.break_cycles(edges, local_edges=0).collect()} == {("a", "x", "y"), ("a", "y", "z")}
     small, large = graph._split_by_size(edges.union(edges.filter("repo_name = 'a'")), 6, 3)
     assert {r.repo_name for r in small.collect()} == {"b"} and {r.repo_name for r in large.collect()} == {"a"}
+
+
+def counted_rounds(monkeypatch):
+    """How often rows are written between rounds."""
+    calls = []
+
+    def counting(original):
+        def write(df, **metrics):
+            calls.append(1)
+            return original(df, **metrics)
+
+        return write
+
+    for name in ("shared_checkpoint", "shared_table"):
+        monkeypatch.setattr(graph, name, counting(getattr(graph, name)))
+    return calls
+
+
+def edge_table(spark, edges):
+    return spark.createDataFrame([("r", f"{a:05}", f"{b:05}") for a, b in edges], "repo_name string, src string, dst string")
+
+
+def test_long_ring_and_paths_take_few_rounds(spark, monkeypatch):
+    """A ring of 1,500 files, and two rings joined by long paths there and back, the smallest file being inside a path."""
+    ring = [(i, (i + 1) % 1500) for i in range(1500)]
+    one, two = range(2000, 2300), range(3000, 3200)
+    rings = [(x, r[(i + 1) % len(r)]) for r in (one, two) for i, x in enumerate(r)]
+    there = [(2000, 4000), *((i, i + 1) for i in range(4000, 4200)), (4200, 3000)]
+    back = [(3100, 1900), *((i, i + 1) for i in range(1900, 1950)), (1950, 2150)]
+    alone = [(5000, 5001), (5001, 5002), (5002, 5000), (5003, 5000), (5002, 5004)]
+    calls = counted_rounds(monkeypatch)
+    found = {r.rel_path: r.scc_id for r in graph.components(edge_table(spark, ring + rings + there + back + alone), local_edges=0).collect()}
+    assert len(calls) < 60
+    expected = {f"{i:05}": "00000" for i in range(1500)} | {"05000": "05000", "05001": "05000", "05002": "05000", "05003": "05003", "05004": "05004"}
+    assert found == expected | {f"{i:05}": "01900" for i in [*one, *two, *range(1900, 1951), *range(4000, 4201)]}
+
+
+def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(2000)]
+    side = [(100, 5000), (5000, 5001), (5001, 1500), (0, 2000)]
+    calls = counted_rounds(monkeypatch)
+    levels = {r.rel_path: r.level for r in graph._levels_distributed(edge_table(spark, chain + side)).collect()}
+    assert len(calls) < 30
+    assert levels == {f"{i:05}": i for i in range(2001)} | {"05000": 101, "05001": 102}
+
+
+def test_levels_refuse_cycles_of_both_kinds(spark):
+    for edges in ([(1, 2), (2, 3), (3, 1)], [(1, 2), (2, 1), (3, 1), (4, 2)]):
+        with pytest.raises(ValueError):
+            graph._levels_distributed(edge_table(spark, edges)).collect()
