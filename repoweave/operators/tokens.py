@@ -9,7 +9,6 @@ spelled in bytes, so encoding loses nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,23 +31,33 @@ IGNORED_LABEL = -100
 # The end marker of records is the end token, wherever it stands.
 END_TEXT = "<|endoftext|>"
 
-# The end marker is a piece of its own. A word takes the blank before it; other blanks stand alone. Joined, the pieces give
-# the text back.
-PIECE = r"<\|endoftext\|>| ?(?:(?!<\|endoftext\|>)[^ \n\r\t])+|[ \n\r\t]"
+# A word takes the blank before it; other blanks stand alone. Joined, the pieces give the text back. The end marker is a
+# piece of its own: texts are split at it first.
+PIECE = r" ?[^ \n\r\t]+|[ \n\r\t]"
 
+# Rows of ids: lists, byte strings or arrays.
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[int]]]
 
 
+def _array(row: Sequence[int]) -> np.ndarray:
+    return np.frombuffer(row, dtype=np.uint8).astype(np.int32) if isinstance(row, bytes) else np.asarray(row, dtype=np.int32)
+
+
 def byte_tokenizer() -> Encoder:
     """The UTF-8 bytes of the text as ids, the end marker as the end id."""
 
+    end = np.array([END_ID], dtype=np.int32)
+
     def encode(texts: Sequence[str]) -> list[Sequence[int]]:
         rows: list[Sequence[int]] = []
         for text in texts:
             first, *rest = text.split(END_TEXT)
             row: Sequence[int] = first.encode("utf-8")
             if rest:
-                row = [*row, *(i for part in rest for i in (END_ID, *part.encode("utf-8")))]
+                parts = [_array(row)]
+                for part in rest:
+                    parts += (end, _array(part.encode("utf-8")))
+                row = np.concatenate(parts)
             rows.append(row)
         return rows
 
@@ -70,7 +79,9 @@ def tokenizer(name: str) -> Callable[[], Encoder]:
 
 
 def word_pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    """Pieces of a text in order, without end markers."""
+    parts = F.split(text, END_TEXT.replace("|", r"\|"))
+    return F.flatten(F.transform(parts, lambda part: F.regexp_extract_all(part, F.lit(PIECE), F.lit(0))))
 
 
 def vocabulary(texts: DataFrame, size: int, column: str = "content") -> DataFrame:
@@ -78,7 +89,7 @@ def vocabulary(texts: DataFrame, size: int, column: str = "content") -> DataFram
 
     Counts are combined before the shuffle, so frequent words cost one row per task.
     """
-    pieces = texts.select(F.explode(word_pieces(F.col(column))).alias("piece")).filter(F.col("piece") != END_TEXT)
+    pieces = texts.select(F.explode(word_pieces(F.col(column))).alias("piece"))
     counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     kept = counts.orderBy(F.col("n").desc(), "piece").limit(size)
     by_rank = Window.orderBy(F.col("n").desc(), "piece")  # over at most ``size`` rows
@@ -106,16 +117,24 @@ def word_tokenizer(vocab: DataFrame) -> Callable[[], Encoder]:
         known = shared.value
         split = re.compile(PIECE).findall
 
+        def ids_of(part: str) -> list[int]:
+            pieces = split(part)
+            ids = list(map(known.get, pieces))
+            if None not in ids:
+                return ids
+            out: list[int] = []
+            for piece, token in zip(pieces, ids):
+                out.extend(piece.encode("utf-8")) if token is None else out.append(token)
+            return out
+
         def encode(texts: Sequence[str]) -> list[list[int]]:
             rows = []
             for text in texts:
-                row: list[int] = []
-                for piece in split(text):
-                    token = END_ID if piece == END_TEXT else known.get(piece)
-                    if token is None:
-                        row.extend(piece.encode("utf-8"))
-                    else:
-                        row.append(token)
+                first, *rest = text.split(END_TEXT)
+                row = ids_of(first)
+                for part in rest:
+                    row.append(END_ID)
+                    row += ids_of(part)
                 rows.append(row)
             return rows
 
@@ -154,9 +173,9 @@ def tokenize(df: DataFrame, create: Callable[[], Encoder], column: str = "conten
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = create()
         for batch in batches:
-            rows = encode([text or "" for text in batch.column(column).to_pylist()])
+            rows = [_array(row) for row in encode([text or "" for text in batch.column(column).to_pylist()])]
             ends = np.cumsum([0, *map(len, rows)])
-            flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=ends[-1])
+            flat = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, "input_ids"])
 

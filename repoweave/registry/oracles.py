@@ -165,7 +165,74 @@ placed as (
   select *, cast(coalesce(sum(n_tokens) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
   from lengths)"""
 
+# Lower case for A-Z only, and words between blanks and line breaks.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_WORD = r"[^\x20\x09-\x0D]+"
+
+# All pairs of documents that share a shingle, and the closure over those that are alike enough.
+NEAR_DEDUP = f"""with recursive words as (
+  select doc_id, regexp_extract_all({LOWERED}, '{SQL_WORD}') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as shingle
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as hits
+  from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+  where 100 * hits >= 80 * (a.n + b.n - hits)),
+ways as (select x, y from links union all select y, x from links),
+reach as (select x, y from ways union select r.x, w.y from reach r join ways w on w.x = r.y)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles,
+       least(d.doc_id, (select min(y) from reach r where r.x = d.doc_id)) as component
+from documents d left join sizes s on s.doc_id = d.doc_id"""
+
+LEAKS = f"""items as (
+  select distinct item_id, k, array_to_string(w[i : i + k - 1], ' ') as gram
+  from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i
+        from (select item_id, w, least(13, len(w)) as k
+              from (select item_id, regexp_extract_all({LOWERED}, '{SQL_WORD}') as w from benchmark)))),
+grams as (
+  select distinct doc_id, k, array_to_string(w[i : i + k - 1], ' ') as gram
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i
+        from (select doc_id, regexp_extract_all({LOWERED}, '{SQL_WORD}') as w from documents), (select distinct k from items)
+        where len(w) >= k)),
+leaks as (select doc_id, item_id, count(*) as grams from grams join items using (k, gram) group by all)"""
+
+# Kinds, their patterns and marks, in the order in which they are replaced.
+SQL_BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}", "<EMAIL>"),
+    "secret": (
+        r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+        r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? {0,8}[:=] {0,8}["'']?)[A-Za-z0-9+/_.=-]{8,}""",
+        r"\1<SECRET>",
+    ),
+    "key": (r"\b(?:AKIA[A-Z0-9]{12,}|[0-9a-f]{32,})\b", "<KEY>"),
+    "ip": (rf"\b{SQL_BYTE}(?:\.{SQL_BYTE}){{3}}\b", "<IP>"),
+    "card": (r"\b(?:[0-9]{13,16}|[0-9]{4}(?:[ -][0-9]{4}){3})\b", "<CARD>"),
+    "phone": (r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|\b[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}\b", "<PHONE>"),
+}
+
+
+def _redacted() -> str:
+    steps, counts = "select * from documents", ""
+    for name, (pattern, mark) in SQL_KINDS.items():
+        steps = f"""select * replace (regexp_replace(text, '{pattern}', '{mark}', 'g') as text),
+          coalesce(len(regexp_extract_all(text, '{pattern}')), 0) as n_{name} from ({steps})"""
+        counts += f", n_{name}"
+    return f"select doc_id, text{counts} from ({steps})"
+
+
 ORACLES: dict[str, str] = {
+    "exact_dedup": """select doc_id, lang, source, n_chars from documents
+        qualify row_number() over (partition by text order by doc_id) = 1""",
+    "exact_copies": "select sha256(text) as digest, min(doc_id) as first_key, count(*) as copies from documents group by text",
+    "near_dedup": NEAR_DEDUP,
+    "decontamination_report": f"with {LEAKS} select doc_id, item_id, grams from leaks",
+    "decontaminate": f"with {LEAKS} select doc_id, n_chars from documents where doc_id not in (select doc_id from leaks)",
+    "redact": _redacted(),
     "language_of": f"with {BOTH} select file_path, string_split(file_path, '.')[-1] as language from both_files",
     "rel_path": f"with {BOTH} select file_path, rel_path from both_files",
     "source_files": f"""with {BOTH} select repo_name, rel_path, 'java' as source_language from both_files

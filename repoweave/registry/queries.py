@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import records as rec
 from repoweave.functions import text as txt
+from repoweave.operators import decontaminate as decon
+from repoweave.operators import dedup
 from repoweave.operators import dependencies as dep
 from repoweave.operators import graph as gr
 from repoweave.operators import ordering as order
 from repoweave.operators import selection as sel
 from repoweave.operators import stats, tokens
+from repoweave.operators.redact import redact as redact_text
 from repoweave.plans import corpus as plan
 from repoweave.registry import fixtures as fx
 from repoweave.session import checkpoint_folder, shared_checkpoint
@@ -23,7 +26,7 @@ from repoweave.sinks.corpus import to_jsonl, write_corpus
 from repoweave.sinks.graph import save_graph
 from repoweave.sinks.tokens import write_tokens
 from repoweave.sources.archives import archive_files
-from repoweave.sources.tables import items_per_page, package_rows, read_corpus, read_search_pages
+from repoweave.sources.tables import items_per_page, package_rows, read_corpus, read_search_lines, write_search_pages
 from repoweave.sources.tree import scan_repos
 from repoweave.sources.web import page_links
 
@@ -36,6 +39,7 @@ SAMPLE = 50
 PAGE_ITEMS = 30
 RANKING_ROWS = 500
 PRESENT = 12
+ARRAY_RECORDS = 100
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -325,11 +329,10 @@ def _search_pages(spark, sf):
 
 
 def _stored_pages(spark, sf):
-    """Items of pages stored one per file, ``p<number>`` in the name of each folder."""
+    """Items of stored pages, many pages to a file."""
     path = _folder(spark)
-    named = _search_pages(spark, sf).select(F.concat(F.lit("p"), "page").alias("file"), "json")
-    named.repartition("file").write.partitionBy("file").text(path)
-    return read_search_pages(spark, f"{path}/*", r"file=p(\d+)")
+    write_search_pages(_search_pages(spark, sf), path)
+    return read_search_lines(spark, path)
 
 
 def search_page_items(spark, sf):
@@ -487,16 +490,55 @@ def mixed_corpus(spark, sf):
     """One folder with arrays (Java, several lines each) and JSON Lines (Python), each read by its own names."""
     path = _folder(spark)
     records = plan.corpus(_both(spark, sf).withColumn("repo_ord", F.substring("repo_name", 4, 10).cast("int")), 2, seed=SEED)
-    records = records.select("repo_name", "file_path", "language", "content")
-    write_corpus(records.filter("language = 'py'").withColumns({c: F.lit(0) for c in plan.CORPUS_ORDER}), f"{path}/all")
-    every = F.sort_array(F.collect_list(F.struct(*records.columns)))
-    arrays = records.filter("language = 'java'").groupBy("repo_name").agg(every.alias("rows"))
+    write_corpus(records.filter("language = 'py'"), f"{path}/all")
+    # A bounded number of records to an array, one array to a file.
+    java = plan.with_positions(records.filter("language = 'java'"), 2)
+    row = F.struct("repo_name", "file_path", "language", "content")
+    arrays = java.groupBy("repo_name", F.floor(F.col("pos") / ARRAY_RECORDS).alias("part")).agg(
+        F.sort_array(F.collect_list(row)).alias("rows")
+    )
     text = arrays.select(F.concat(F.lit("\n\n"), F.to_json("rows", {"pretty": "true"})))
     text.write.mode("append").option("maxRecordsPerFile", 1).text(f"{path}/all")
     stored = read_corpus(spark, f"{path}/all", multiline=True, glob="*.txt")
     return read_corpus(spark, f"{path}/all", glob="*.json").unionByName(stored)
 
 
+# ---- copies, leaks, personal data ------------------------------------------------------------------------------
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "documents")
+
+
+def exact_dedup(spark, sf):
+    return dedup.drop_exact(_documents(spark, sf), "doc_id", "text").select("doc_id", "lang", "source", "n_chars")
+
+
+def exact_copies(spark, sf):
+    return dedup.exact_groups(_documents(spark, sf), "doc_id", "text")
+
+
+def near_dedup(spark, sf):
+    """Every document with the first one of its component of near copies."""
+    return dedup.near_components(_documents(spark, sf), "doc_id", "text").select(
+        F.col("key").alias("doc_id"), "n_shingles", "component"
+    )
+
+
+def decontamination_report(spark, sf):
+    benchmark = fx.table(spark, sf, "benchmark")
+    return decon.shared_grams(_documents(spark, sf), "doc_id", "text", benchmark, "item_id", "text")
+
+
+def decontaminate(spark, sf):
+    benchmark = fx.table(spark, sf, "benchmark")
+    return decon.without_benchmark(_documents(spark, sf), "doc_id", "text", benchmark, "text").select("doc_id", "n_chars")
+
+
+def redact(spark, sf):
+    return redact_text(_documents(spark, sf), "text").drop("lang", "source", "n_chars")
+
+
 # ---- tokens ---------------------------------------------------------------------------------------------------
 
 
@@ -573,6 +615,7 @@ ALL = [
     search_page_sizes, package_ranking_rows, manifest_as_written, manifest_deduped, missing_repos, first_link,
     package_links, rejects, archive_name,
     scanned_repos, archive_members, jsonl_round_trip, mixed_corpus,
+    exact_dedup, exact_copies, near_dedup, decontamination_report, decontaminate, redact,
     vocabulary, tokenize_words, tokenize_bytes, training_rows, token_offsets, flatten_tokens, token_stats,
     distinct_tokens, token_preview, stored_tokens,
 ]

@@ -56,6 +56,16 @@ def items_per_page(pages: DataFrame) -> DataFrame:
     return pages.select("page", F.size(F.from_json("json", SEARCH_PAGE)["items"]).cast("long").alias("n_items"))
 
 
+def write_search_pages(pages: DataFrame, path: str) -> None:
+    """Store search pages ``(page, json)`` many to a file, one line each: a crawl of a million pages is a few files."""
+    pages.select("page", "json").write.json(path)
+
+
+def read_search_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Items of pages stored by ``write_search_pages``."""
+    return search_items(spark.read.schema("page long, json string").option("mode", "FAILFAST").json(path))
+
+
 def read_search_pages(spark: SparkSession, path: str, page_pattern: str = r"(\d+)[^/0-9]*$") -> DataFrame:
     """Stored search responses, one JSON document per file. ``page_pattern`` finds the page number in a file's path, by
     default the last number in it."""
