@@ -32,7 +32,7 @@ from repoweave.operators.joins import salted_join
 from repoweave.operators.numbering import number_rows
 from repoweave.session import shared_checkpoint
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 FILTER_BITS = 25
 PATH_EDGES = 64
 # A pair that starts more than this share of all words is hot: at most as many pairs as its inverse. Slices report shares half
