@@ -67,3 +67,16 @@ def distinct_tokens(tokenized: DataFrame) -> DataFrame:
     return tokenized.select(F.explode(F.array_distinct("input_ids")).alias("token")).agg(
         F.count_distinct("token").alias("n_distinct_tokens")
     )
+
+
+def token_sketches(tokenized: DataFrame, keys: list[str], precision: int = 14) -> DataFrame:
+    """A sketch of the different ids of each group, ``keys, sketch``: of fixed size, to be stored and merged. With 14 bits the
+    number of ids comes out within about 1 %."""
+    ids = tokenized.select(*keys, F.explode(F.array_distinct("input_ids")).alias("token"))
+    return ids.groupBy(*keys).agg(F.hll_sketch_agg("token", precision).alias("sketch"))
+
+
+def merged_distinct_tokens(sketches: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Estimated number of different ids of all sketches, or of each group of them."""
+    merged = sketches.groupBy(*(keys or [])).agg(F.hll_union_agg("sketch").alias("_all"))
+    return merged.select(*(keys or []), F.hll_sketch_estimate("_all").alias("n_distinct_tokens"))

@@ -25,6 +25,7 @@ from repoweave.plans.corpus import CORPUS_ORDER, DEPENDENCY_ORDER, GLOBAL_SHUFFL
 from repoweave.session import shared_checkpoint, shared_table
 from repoweave.sinks.corpus import write_corpus, write_jsonl
 from repoweave.sinks.tokens import write_tokens
+from repoweave.sources.archives import read_archives, scan_archives
 from repoweave.sources.presets import preset_manifest
 from repoweave.sources.tables import read_corpus, read_package_ranking, read_search_pages
 from repoweave.sources.tree import read_rejects, scan_repos
@@ -42,6 +43,7 @@ class CorpusConfig:
     data_file: str = "data/corpus"
     output_file: str | None = None
     use_cache: bool = False
+    cached_array: bool = False  # the stored corpus is JSON arrays, not lines
     repos_dir: str = "repos"
     ignore_preset_repos: bool = False
     get_repos_from: str = "github"
@@ -54,6 +56,7 @@ class CorpusConfig:
     search_pages: str | None = None
     package_ranking: str | None = None
     package_pages: str | None = None
+    archives: str | None = None  # folder of downloaded archives, read instead of a tree
     rejects_file: str | None = None
     overwrite: bool = False
     tokenize: bool = False
@@ -156,14 +159,17 @@ def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
     """Build the corpus, write it to ``data_file`` (and ``output_file``), and return it as read back."""
     mode = "overwrite" if config.overwrite else "errorifexists"
     if config.use_cache:
-        cached = read_corpus(spark, config.data_file)
+        cached = read_corpus(spark, config.data_file, multiline=config.cached_array)
         if config.tokenize:
             write_tokenized(in_file_order(cached), config, mode)
         return cached
     manifest = select_repos(spark, config)
-    # The tree is read once. Later steps read the staged table: names alone, or the text in large splits.
     entries = clean_manifest(manifest, dedupe=True) if config.dedupe else distinct_entries(manifest)
-    files = shared_table(scan_repos(entries))
+    broken = None
+    if config.archives:
+        files, broken = scan_archives(read_archives(spark, config.archives), entries)
+    else:
+        files = scan_repos(entries)
     rejected = None
     if config.deduplicate or config.decontaminate:
         benchmark = spark.read.parquet(config.decontaminate) if config.decontaminate else None
@@ -179,6 +185,8 @@ def prepare(spark: SparkSession, config: CorpusConfig) -> DataFrame:
         write_corpus(emitted, target, mode=mode)
     if config.rejects_file:
         found = rejects(manifest, files)
+        if broken is not None:
+            found = found.unionByName(broken)
         if rejected is not None:
             found = found.unionByName(cleaning_rejects(files, rejected))
         write_jsonl(found, config.rejects_file, mode)

@@ -360,6 +360,8 @@ ORACLES: dict[str, str] = {
         cast(sum(n_tokens) as double) / count(*) as avg_tokens from lengths""",
     "distinct_tokens": f"""with {TOKENS} select count(distinct token) as n_distinct_tokens
         from (select unnest(ids) as token from word_ids)""",
+    "merged_token_sketches": f"""with {TOKENS} select count(distinct token) as n_distinct_tokens, true as close
+        from (select unnest(ids) as token from word_ids)""",
     "token_preview": f"""with {TOKENS} select w.doc_id, array_to_string(w.ids, ' ') as ids, d.text as decoded
         from word_ids w join recs d on d.doc_id = w.doc_id
         order by {_draw("order", "w.doc_id")}, w.doc_id limit {SAMPLE}""",

@@ -589,6 +589,18 @@ def distinct_tokens(spark, sf):
     return stats.distinct_tokens(_word_ids(spark, sf))
 
 
+def merged_token_sketches(spark, sf):
+    """Sketches of single files, stored, then merged: whether the estimate is within 3 % of the exact number."""
+    path = _folder(spark)
+    ids = _word_ids(spark, sf)
+    stats.token_sketches(ids, ["doc_id"]).write.parquet(path)
+    merged = stats.merged_distinct_tokens(spark.read.parquet(path)).withColumnRenamed("n_distinct_tokens", "estimate")
+    both = stats.distinct_tokens(ids).unionByName(merged, allowMissingColumns=True)
+    both = both.agg(F.max("n_distinct_tokens").alias("n_distinct_tokens"), F.max("estimate").alias("estimate"))
+    off = F.abs(F.col("estimate") - F.col("n_distinct_tokens"))
+    return both.select("n_distinct_tokens", (off <= 0.03 * F.col("n_distinct_tokens")).alias("close"))
+
+
 def token_preview(spark, sf):
     texts = _records(spark, sf)
     vocab = tokens.vocabulary(texts, VOCAB)
@@ -617,7 +629,7 @@ ALL = [
     scanned_repos, archive_members, jsonl_round_trip, mixed_corpus,
     exact_dedup, exact_copies, near_dedup, decontamination_report, decontaminate, redact,
     vocabulary, tokenize_words, tokenize_bytes, training_rows, token_offsets, flatten_tokens, token_stats,
-    distinct_tokens, token_preview, stored_tokens,
+    distinct_tokens, merged_token_sketches, token_preview, stored_tokens,
 ]
 
 QUERIES: dict[str, Query] = {

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from repoweave.functions.imports import DEFAULT_LANGUAGES, language
 from repoweave.functions.text import rel_path
-from repoweave.session import shared_checkpoint
+from repoweave.session import shared_checkpoint, shared_table
 
 # Entries one task lists per starting folder before it hands the rest back.
 WALK_ENTRIES = 20_000
@@ -161,8 +161,12 @@ def read_files(listing: DataFrame) -> DataFrame:
 def scan_repos(
     manifest: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES, max_entries: int = WALK_ENTRIES
 ) -> DataFrame:
-    """All source files of a manifest ``(repo_ord, repo_name, path, extensions)`` with their text."""
-    return read_files(list_repos(manifest, languages, max_entries))
+    """All source files of a manifest ``(repo_ord, repo_name, path, extensions)`` with their text.
+
+    Every file is opened once: the rows are written as a table in the shared folder, from which later steps read names
+    without text, or the text in large splits.
+    """
+    return shared_table(read_files(list_repos(manifest, languages, max_entries)))
 
 
 def read_rejects(files: DataFrame) -> DataFrame:

@@ -231,6 +231,40 @@ def test_ranked_runs(spark, checkout):
         prepare(spark, config(checkout, ignore_preset_repos=True, get_repos_from="elsewhere"))
 
 
+def test_run_from_ranked_archives(spark, checkout):
+    """Ranking, package pages, archives, records in dependency order; every archive that fails is a reject."""
+    import io
+    import tarfile
+
+    def pack(name, members):
+        with tarfile.open(checkout / "dist" / f"{name}.tar.gz", "w:gz") as archive:
+            for path, text in members:
+                member = tarfile.TarInfo(path)
+                member.size = len(text)
+                archive.addfile(member, io.BytesIO(text.encode()))
+
+    (checkout / "dist").mkdir()
+    pack("alpha-1.0", [("alpha-1.0/m.py", "old"), ("alpha-1.0/b.py", "import m"), ("alpha-1.0/m.py", "x = 1\r\n"), ("alpha-1.0/data.bin", "z"),
+                       ("beside.py", "no"), ("alpha-1.0/../../up.py", "no"), ("alpha-1.0/J.java", "class J {}")])
+    pack("unasked-2", [("unasked-2/u.py", "no")])
+    (checkout / "dist" / "broken-3.tar.gz").write_bytes(b"not an archive")
+    names = ["alpha", "broken", "gone", "linkless"]
+    (checkout / "top.json").write_text(json.dumps({"rows": [{"project": n, "download_count": 9 - i} for i, n in enumerate(names)]}))
+    link = '<div class="card file__card"><a href="https://files/x/{}.tar.gz">x</a></div>'
+    pages = [("alpha", link.format("alpha-1.0")), ("broken", link.format("broken-3")), ("gone", link.format("gone-1")), ("linkless", "<p>")]
+    spark.createDataFrame(pages, "project string, html string").write.parquet(str(checkout / "html"))
+    cfg = config(
+        checkout, setting=3, ignore_preset_repos=True, get_repos_from="pypi", top_k=4, overwrite=True, archives=str(checkout / "dist"),
+        package_ranking=str(checkout / "top.json"), package_pages=str(checkout / "html"), rejects_file=str(checkout / "rejects"),
+    )
+    prepare(spark, cfg)
+    records = lines_of(cfg.data_file)
+    assert [os.path.basename(r["file_path"]) for r in records] == ["m.py", "b.py"]
+    assert records[0]["content"].endswith("x = 1\n<|endoftext|>") and {r["repo_name"] for r in records} == {"alpha"}
+    found = {(r["repo_name"], r["rel_path"], r["stage"]) for r in lines_of(cfg.rejects_file)}
+    assert found >= {("alpha", "alpha-1.0/../../up.py", "unpack"), ("broken", None, "unpack"), ("gone", None, "download"), ("linkless", None, "download")}
+
+
 def test_rejects_are_listed(spark, checkout):
     os.symlink(checkout / "gone", checkout / "repos" / "one" / "src" / "gone.py")
     cfg = config(checkout, setting=3, rejects_file=str(checkout / "rejects"))
@@ -285,6 +319,36 @@ def test_tokenized_run(spark, checkout):
         prepare(spark, config(checkout, overwrite=True, tokenize=True, tokenizer="other", output_tokenized="x"))
 
 
+def test_cached_array(spark, tmp_path):
+    """A stored corpus may be one JSON array over several lines, as well as lines."""
+    records = [{"repo_name": "r", "file_path": f"r/{i}.py", "language": "py", "content": c} for i, c in enumerate(["b", "a\nc", ""])]
+    (tmp_path / "data.json").write_text(json.dumps(records, indent=4))
+    cfg = CorpusConfig.from_dict(
+        {
+            "use_cache": True, "cached_array": True, "data_file": str(tmp_path / "data.json"), "tokenize": True, "max_length": 4,
+            "output_tokenized": str(tmp_path / "ids"),
+        }
+    )
+    assert sorted((r.file_path, r.content) for r in prepare(spark, cfg).collect()) == [(r["file_path"], r["content"]) for r in records]
+    ids = [r.input_ids for r in spark.read.parquet(str(tmp_path / "ids")).orderBy("offset").collect()]
+    assert ids == [[98, 256, 256, 256], [97, 10, 99, 256], [256] * 4]
+
+
+def test_a_scan_opens_each_file_once(spark, checkout):
+    """After the scan the tree may go: order and text come from the staged rows, in every setting."""
+    import shutil
+
+    from repoweave.sources.tree import scan_repos
+
+    root = str(checkout / "repos" / "one")
+    files = scan_repos(spark.createDataFrame([(0, "one", root, [".py"])], "repo_ord int, repo_name string, path string, extensions array<string>"))
+    shutil.rmtree(root)
+    assert [p for _, p in ordered(corpus(files, 3))] == ["src/a.py", "other/c.py", "src/b.py"]
+    assert files.filter("content <> ''").count() == 3
+    plan_text = files.select("rel_path")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan_text and "content" not in plan_text
+
+
 def test_command_line(spark, checkout, monkeypatch):
     import yaml
 
