@@ -287,6 +287,10 @@ ORACLES: dict[str, str] = {
              where f.repo_name = c.repo_name and f.rel_path = c.rel_path) end as modules,
           substr(md5(c.file_path), 1, 1) <= '7' as from_cache
         from code_files c""",
+    "import_store": f"""with {CODE}, found as ({_py_imports("code_files")}),
+        sets as (select repo_name, rel_path, string_agg(module, ' ' order by module) as modules, count(*) as n from found group by all)
+        select c.repo_name, c.rel_path, modules, substr(md5(c.file_path), 1, 1) <= '7' as from_cache, n as n_stored
+        from code_files c left join sets using (repo_name, rel_path)""",
     "order_files": f"""with {GRAPH} select repo_name, rel_path, level,
         row_number() over (partition by repo_name order by level desc, rel_path) - 1 as pos from node_level""",
     "order_by_walk": f"""with {NESTED} select repo_name, rel_path, row_number() over (

@@ -24,6 +24,7 @@ from repoweave.registry import fixtures as fx
 from repoweave.session import checkpoint_folder, shared_checkpoint
 from repoweave.sinks.corpus import to_jsonl, write_corpus
 from repoweave.sinks.graph import save_graph
+from repoweave.sinks.imports import compact_imports, load_imports, stored_imports
 from repoweave.sinks.tokens import write_tokens
 from repoweave.sources.archives import archive_files
 from repoweave.sources.tables import items_per_page, package_rows, read_corpus, read_search_lines, write_search_pages
@@ -252,6 +253,19 @@ def incremental_imports(spark, sf):
     )
 
 
+def import_store(spark, sf):
+    """A run over half of the files fills a store, a second one over all of them parses the rest; then the store is compacted."""
+    path = _folder(spark)
+    files = _code(spark, sf)
+    stored_imports(files.filter(F.substring(F.md5("file_path"), 1, 1) <= "7"), path)
+    found = stored_imports(files, path)
+    compact_imports(spark, path, f"{path}-compact")
+    kept = load_imports(spark, f"{path}-compact").select("path_key", F.size("modules").cast("long").alias("n_stored"))
+    return found.join(kept, "path_key", "left").select(
+        "repo_name", "rel_path", F.array_join(F.array_sort("modules"), " ").alias("modules"), "from_cache", "n_stored"
+    )
+
+
 # ---- order ----------------------------------------------------------------------------------------------------
 
 
@@ -621,7 +635,7 @@ ALL = [
     extract_imports_py, extract_imports_java, future_imports_dropped, import_counts, module_index, resolve_imports,
     dependency_edges, drop_self_loops, compose_graphs, graph_nodes,
     components, break_cycles, topo_levels, components_large_repos, break_cycles_large_repos, topo_levels_large_repos,
-    graph_stats, stored_graph, incremental_imports,
+    graph_stats, stored_graph, incremental_imports, import_store,
     order_files, order_by_walk, shuffle_in_repo, shuffle_global, sample_rows,
     invalid_description, repo_candidates, top_repos, top_packages, selection_manifest, search_page_items,
     search_page_sizes, package_ranking_rows, manifest_as_written, manifest_deduped, missing_repos, first_link,

@@ -130,3 +130,24 @@ def test_registered_language(spark):
         assert [tuple(r) for r in dep.dependency_edges(files, ["go"]).collect()] == [("r", "a.go", "b.go")]
     finally:
         imports._LANGUAGES.pop("go")
+
+
+def test_import_store_grows_and_is_compacted(spark, tmp_path):
+    """The second run parses only what is new; entries of two runs at a time count once; nothing stored is an empty store."""
+    from repoweave.sinks import imports as store
+
+    def table(*names):
+        rows = [("r", n, f"r/{n}", f"import {n[0]}\nimport os") for n in names]
+        return spark.createDataFrame(rows, "repo_name string, rel_path string, file_path string, content string")
+
+    path = str(tmp_path / "store")
+    assert store.load_imports(spark, path).collect() == []
+    first = store.stored_imports(table("a.py", "b.py"), path).collect()
+    assert {(r.rel_path, r.from_cache) for r in first} == {("a.py", False), ("b.py", False)}
+    second = store.stored_imports(table("a.py", "c.py"), path).collect()
+    assert {(r.rel_path, r.from_cache, tuple(sorted(r.modules))) for r in second} == {("a.py", True, ("a", "os")), ("c.py", False, ("c", "os"))}
+    store.save_imports(store.load_imports(spark, path), path)
+    assert spark.read.parquet(path).count() == 6 and store.load_imports(spark, path).count() == 3
+    store.compact_imports(spark, path, str(tmp_path / "compact"))
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
+    assert store.stored_imports(table("a.py", "b.py", "c.py"), path).filter("not from_cache").count() == 0
