@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.operators.numbering import number_rows, running_total
-from repoweave.session import shared_checkpoint
+from repoweave.session import shared_checkpoint, shared_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SOURCE_WEIGHTS = (1, 2, 3)
@@ -88,7 +88,7 @@ def pareto_copies(
     """
     columns = due.columns
     whole = F.least(F.floor("due"), F.lit(most)).cast("long")
-    rows = shared_checkpoint(due.withColumn("_whole", whole).withColumn("copies", whole).withColumn("_row", F.monotonically_increasing_id()))
+    rows = shared_table(due.withColumn("_whole", whole).withColumn("copies", whole).withColumn("_row", F.monotonically_increasing_id()))
     part, extra = F.col("due") - F.col("_whole"), F.col("copies") - F.col("_whole")
     odds = F.col("u") / (1 - F.col("u"))
     first = (part > 0) & (extra == 0)
@@ -107,11 +107,11 @@ def pareto_copies(
         )
         ranked = running_total(fits, F.col("size"), ["_turn", "_rank", *tie_break, "_row"], group, "_before")
         taken = ranked.filter(F.col("_before") + F.col("size") <= F.col("_owed")).select("_row", F.lit(1).alias("_more"))
-        taken, seen = shared_checkpoint(taken, n=F.count(F.lit(1)))
+        taken, seen = shared_table(taken, n=F.count(F.lit(1)))
         if not seen["n"]:
             return rows.select(*columns, "copies")
         more = F.col("copies") + F.coalesce("_more", F.lit(0))
-        rows = shared_checkpoint(rows.join(taken, "_row", "left").withColumn("copies", more).drop("_more"))
+        rows = shared_table(rows.join(taken, "_row", "left").withColumn("copies", more).drop("_more"))
 
 
 def mix_plan(
