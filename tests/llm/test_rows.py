@@ -1,5 +1,6 @@
 """Operators that judge each row: counts, scores, languages, secrets, quality, leaks, surrogates."""
 
+import hashlib
 import math
 import random
 import re
@@ -390,3 +391,64 @@ def test_slices_never_cut_a_text():
     pieces = [(lo, hi, bytes(f.data), f.offsets.tolist()) for lo, hi, f in flat_slices(texts, 4)]
     assert b"".join(p[2] for p in pieces) == ("aé" + "x" * 100 + "b").encode()
     assert [p[:2] for p in pieces] == [(0, 2), (2, 3), (3, 4)]
+
+
+def planted(draw):
+    """Secrets that no base pattern matches, in the forms in which they are met."""
+    key = lambda n: "".join(draw.choices(secrets.ALNUM, k=n))
+    return [
+        ("client_key: ", key(24)), ("", "sk_live_" + key(24)), ("", "ghp_" + key(36)), ("Authorization: Bearer ", key(40)),
+        ("pwd=", draw.choice(["Tr0ub4dor3x", "Hunter2Winter19", "s3cretPass99"])), ('private_key = "', key(32)), ("credentials: ", key(20)),
+    ]
+
+
+def test_the_field_finds_planted_secrets_and_leaves_clean_texts_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    known = {r.doc_id: r.text or "" for r in docs.collect()}
+    clean = [i for i, t in known.items() if t and not secrets.base_spans(t)]
+    draw, rows, places = random.Random(7), [], {}
+    for k, doc_id in enumerate(clean[:210]):
+        before, value = planted(draw)[k % 7]
+        cut = draw.choice([m.end() for m in re.finditer(r"\s", known[doc_id])])
+        start = cut + len(before)
+        places[10**9 + k] = (start, start + len(value))
+        rows.append((10**9 + k, f"{known[doc_id][:cut]}{before}{value} {known[doc_id][cut:]}"))
+    every = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in secrets.scan_secrets(every).collect()}
+    spans = {i: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] for i, r in got.items()}
+    found = [any(a <= start and end <= b for a, b in spans[i]) for i, (start, end) in places.items()]
+    assert sum(found) >= 0.9 * len(places)
+    assert sum(got[i].n_crf > 0 for i in clean) <= 0.001 * len(known)
+    for i, text in known.items():
+        base = secrets.base_spans(text)
+        assert set(secrets.written(base).split(",")) <= set(got[i].spans.split(","))
+
+
+def test_base_columns_of_a_whole_table_are_those_of_a_plain_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    patterns = {
+        "assign": r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+",
+    }
+    known = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in secrets.scan_secrets(docs).collect():
+        spans = []
+        for k, (kind, pattern) in enumerate(patterns.items()):
+            for m in re.finditer(pattern, known[r.doc_id]):
+                if len(m[2] if kind == "assign" else m[0]) >= (8, 16, 32)[k]:
+                    spans.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+        counts = Counter(k for _, k, _ in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == (counts[0], counts[1], counts[2])
+        assert r.base_sha256 == hashlib.sha256(",".join(s for *_, s in sorted(spans)).encode()).hexdigest()
+
+
+def test_training_windows_reach_the_whole_text():
+    text = ("plain words here " * 200 + "\n") * 3 + "x " * 300 + "token = " + "ab12" * 10 + " tail " * 100
+    places = list(secrets._places(text))
+    assert [text[a:b] for a, b, positive in places if positive][0].startswith("token")
+    start, end, _ = next(p for p in places if p[2])
+    window = secrets._window(text, start, end)
+    assert "ab12" * 10 in window and len(window) <= end - start + 2 * secrets.AROUND
+    _, states = secrets._training_line(window)
+    assert (states == crf.B).sum() == 1 and len(states) <= crf.LINE_TOKENS
+    assert secrets._window("word", 2, 2) == "word" and list(secrets._places("a")) == [(0, 0, False)]
