@@ -3,8 +3,12 @@
 Index terms are pairs of neighbouring words, which unrelated texts seldom share, so nearly all passages fail the first
 bound. Items are indexed in chunks, so that a long item is found by any stretch of it. Scores are divided by the score that a
 chunk has for its own words: 1 is the chunk itself, and one threshold fits all. A passage retrieves every chunk at or above
-the threshold by block-max WAND. A hit is verified on the whole document: the share of the item's word shingles that occur
-there, for the question (all sentences but the last) and for the answer (the last one).
+the threshold by block-max WAND. A hit is verified around the passages that retrieved the item, by shares of pairs of words in
+order: of the question (all sentences but the last), of the answer (the last one), and of the retrieved chunk alone, so that a
+stretch of a long item is a leak as well. A changed word breaks two pairs.
+
+Document frequencies and the mean length are those of all chunks, counted on Spark, and scores are sums without rounding on
+the way, so that rows and scores are the same for any number of indexes.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,16 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.llm.words import Flat, flat_slices, grams, span_hash
-from repoweave.session import shared_checkpoint
+from repoweave.session import shared_checkpoint, shared_table
 
 K1, B = 1.2, 0.75
 CHUNK_TERMS = 48
 THRESHOLD = 0.5
-SHINGLE = 5
-QUESTION_SHARE, ANSWER_SHARE, QUESTION_ALONE = 0.5, 0.5, 0.8
+QUESTION_SHARE, ANSWER_SHARE, QUESTION_ALONE, CHUNK_SHARE = 0.5, 0.5, 0.7, 0.8
 POSTING_BLOCK = 32
-# Items of one index, which is broadcast; more items make more indexes, each searched in a scan of its own.
+# Items and bytes of text of one index, which is broadcast; more make more indexes, each searched in a scan of its own. An item
+# is never divided.
 SHARD_ITEMS = 20_000
+SHARD_BYTES = 16 << 20
 
 _TERM = np.zeros(256, dtype=bool)
 _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
@@ -55,13 +60,19 @@ def pairs(sequence: np.ndarray) -> np.ndarray:
     return grams(sequence, 2) if len(sequence) > 1 else grams(sequence, 1)
 
 
-def _shingles(sequence: np.ndarray) -> np.ndarray:
-    return grams(sequence, min(SHINGLE, len(sequence))) if len(sequence) else np.zeros(0, dtype=np.uint64)
+def _known(sequence: np.ndarray) -> np.ndarray:
+    """What the pairs of an item are looked up in: pairs, and words for items and questions of a single one."""
+    return np.concatenate([grams(sequence, 1), grams(sequence, 2)])
+
+
+def _chunks(sequence: np.ndarray) -> list[np.ndarray]:
+    """Pairs of each chunk of an item's words."""
+    return [pairs(part) for part in np.array_split(sequence, math.ceil(len(sequence) / CHUNK_TERMS))] if len(sequence) else []
 
 
 @dataclass
 class Item:
-    """An item with the shingles of its question and those that reach into its answer."""
+    """An item with the pairs of its question and those that reach into its answer."""
 
     item_id: object
     question: np.ndarray
@@ -73,39 +84,51 @@ def make_item(item_id: object, text: str) -> tuple[Item, np.ndarray]:
     cut = [m.end() for m in re.finditer(r"[.?!\n]+\s+(?=\S)", text.strip())]
     head, tail = (text.strip()[: cut[-1]], text.strip()[cut[-1] :]) if cut else (text, "")
     first, last = _terms_of([head, tail])
-    if not len(first) or not len(last):
-        whole = np.concatenate([first, last])
-        return Item(item_id, _shingles(whole), _shingles(whole)), whole
     joined = np.concatenate([first, last])
-    reach = joined[max(0, len(first) - SHINGLE + 1) :]
-    return Item(item_id, _shingles(first), _shingles(reach)), joined
+    if not len(first) or not len(last):
+        return Item(item_id, pairs(joined), pairs(joined)), joined
+    return Item(item_id, pairs(first), pairs(joined[len(first) - 1 :])), joined
+
+
+@dataclass
+class Statistics:
+    """Number of chunks, their mean number of pairs, and the number of chunks that hold a pair."""
+
+    n: int
+    mean: float
+    df: dict[int, int]
+
+    @classmethod
+    def of(cls, chunks: list[np.ndarray]) -> Statistics:
+        df = Counter(t for c in chunks for t in set(c.tolist()))
+        return cls(len(chunks), sum(map(len, chunks)) / max(1, len(chunks)), df)
 
 
 class Index:
     """Postings by term in chunk order, with the largest impact per term and per block of postings."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: Iterable[tuple[object, str]], statistics: Statistics | None = None):
         self.items: list[Item] = []
-        chunks: list[np.ndarray] = []
+        self.chunks: list[np.ndarray] = []
         owner: list[int] = []
         for item_id, text in items:
             item, sequence = make_item(item_id, text)
             if not len(sequence):
                 continue
             self.items.append(item)
-            parts = max(1, math.ceil(len(sequence) / CHUNK_TERMS))
-            for part in np.array_split(sequence, parts):
-                chunks.append(pairs(part))
-                owner.append(len(self.items) - 1)
+            parts = _chunks(sequence)
+            self.chunks += parts
+            owner += [len(self.items) - 1] * len(parts)
         self.owner = np.array(owner, dtype=np.int64)
-        counts = [Counter(c.tolist()) for c in chunks]
-        df = Counter(t for c in counts for t in c)
-        n, mean = len(chunks), (sum(map(len, chunks)) / len(chunks) if chunks else 1.0)
+        known = statistics or Statistics.of(self.chunks)
         rows = []
-        for chunk, c in enumerate(counts):
-            norm = K1 * (1 - B + B * len(chunks[chunk]) / mean)
-            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()}
-            own = sum(impact.values())
+        for chunk, own_pairs in enumerate(self.chunks):
+            norm = K1 * (1 - B + B * len(own_pairs) / known.mean)
+            impact = {
+                t: math.log(1 + (known.n - known.df[t] + 0.5) / (known.df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm)
+                for t, tf in Counter(own_pairs.tolist()).items()
+            }
+            own = math.fsum(impact.values())
             rows += [(t, chunk, i / own) for t, i in impact.items()]
         rows.sort()
         term = np.array([r[0] for r in rows], dtype=np.uint64)
@@ -182,7 +205,7 @@ class Index:
                 for c in ahead:
                     forward(c, max(target, chunk + 1))
             elif lists[ahead[0]][0][at[ahead[0]]] == chunk:
-                score = sum(lists[c][1][at[c]] for c in ahead)
+                score = math.fsum(lists[c][1][at[c]] for c in ahead)
                 if score >= slack:
                     found.append((chunk, score))
                 for c in ahead:
@@ -204,11 +227,11 @@ def passages(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + 2 * CHUNK_TERMS, first[of + 1])
 
 
-Hit = tuple[int, int, float, float, float]  # text, item, score, question share, answer share
+Hit = tuple[int, int, float, float, float, float]  # text, item, score, shares of question, answer and one chunk
 
 
 def leaks(flat: Flat, index: Index, threshold: float = THRESHOLD) -> list[Hit]:
-    """Verified leaks of a slice: retrieval per passage, then shingle shares on the whole text."""
+    """Verified leaks of a slice: retrieval per passage, then shares of pairs around the passages that retrieved."""
     hashes, doc = terms(flat)
     if not len(hashes):
         return []
@@ -222,6 +245,9 @@ def leaks(flat: Flat, index: Index, threshold: float = THRESHOLD) -> list[Hit]:
     np.cumsum(top, out=top)
     starts, ends = passages(doc, flat.n)
     best: dict[tuple[int, int], float] = {}
+    chunk_share: dict[tuple[int, int], float] = {}
+    around: dict[tuple[int, int], list[np.ndarray]] = {}
+    first = np.searchsorted(doc, np.arange(flat.n + 1))
     # A passage whose terms cannot reach the threshold even with their largest impacts has no pivot at all.
     for k in np.flatnonzero(top[ends] - top[starts] >= threshold - 1e-6):
         own = np.unique(number[starts[k] : ends[k]])
@@ -229,45 +255,82 @@ def leaks(flat: Flat, index: Index, threshold: float = THRESHOLD) -> list[Hit]:
         if index.top[own].sum() < threshold - 1e-6:
             continue
         text = int(doc[starts[k]])
-        for chunk, score in index.search(own.tolist(), threshold):
+        found = index.search(own.tolist(), threshold)
+        if found:
+            lo, hi = max(first[text], starts[k] - CHUNK_TERMS), min(first[text + 1], ends[k] + CHUNK_TERMS)
+            near = _known(hashes[lo:hi])
+        for chunk, score in found:
             key = (text, int(index.owner[chunk]))
             best[key] = max(best.get(key, 0.0), score)
+            chunk_share[key] = max(chunk_share.get(key, 0.0), _share(index.chunks[chunk], near))
+            around.setdefault(key, []).append(near)
     out = []
-    known: dict[int, np.ndarray] = {}
     for (text, item), score in sorted(best.items()):
-        if text not in known:
-            lo, hi = np.searchsorted(doc, [text, text + 1])
-            sequence = hashes[lo:hi]
-            sizes = {min(SHINGLE, s) for s in range(1, SHINGLE + 1)}
-            known[text] = np.unique(np.concatenate([grams(sequence, s) for s in sizes]))
-        question = float(np.isin(index.items[item].question, known[text]).mean())
-        answer = float(np.isin(index.items[item].answer, known[text]).mean())
-        if question >= QUESTION_ALONE or (question >= QUESTION_SHARE and answer >= ANSWER_SHARE):
-            out.append((text, item, score, question, answer))
+        near = np.concatenate(around[text, item])
+        question, answer = _share(index.items[item].question, near), _share(index.items[item].answer, near)
+        part = chunk_share[text, item]
+        if question >= QUESTION_ALONE or (question >= QUESTION_SHARE and answer >= ANSWER_SHARE) or part >= CHUNK_SHARE:
+            out.append((text, item, score, question, answer, part))
     return out
 
 
-def indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> Iterator[Index]:
-    """Indexes of at most about ``shard_items`` items each, by a hash of the item. Null or blank items are left out."""
-    items = benchmark.filter("text is not null").select("item_id", "text").distinct()
-    items, seen = shared_checkpoint(items, n=F.count(F.lit(1)))
-    shards = math.ceil(seen["n"] / shard_items)
-    for shard in range(shards):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        yield Index(sorted(((r.item_id, r.text) for r in mine.toLocalIterator()), key=lambda r: (r[0] is None, r)))
+def _share(wanted: np.ndarray, known: np.ndarray) -> float:
+    return float(np.isin(wanted, known).mean())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Verified leaks ``doc_id, item_id, score, question_overlap, answer_overlap``, one row per document and item.
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``shard, term, size``: a row for each pair of each chunk, and one with the size of the chunk."""
+    for batch in batches:
+        for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for chunk in _chunks(make_item(None, text)[1]):
+                own = np.unique(chunk).view(np.int64)
+                terms_, sizes = [*own.tolist(), None], [None] * len(own) + [len(chunk)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * len(sizes), pa.int64()), pa.array(terms_, pa.int64()), pa.array(sizes, pa.int64())],
+                    names=["shard", "term", "size"],
+                )
+
+
+def indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
+    """Indexes of at most about ``shard_items`` items and ``shard_bytes`` bytes of text each, by a hash of the item. Null or blank
+    items are left out."""
+    items = benchmark.filter("text is not null").select("item_id", "text").distinct()
+    items, seen = shared_checkpoint(items, n=F.count(F.lit(1)), size=F.sum(F.octet_length("text")))
+    if not seen["n"]:
+        return
+    shards = max(math.ceil(seen["n"] / shard_items), math.ceil(seen["size"] / shard_bytes))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    rows = items.select("shard", "text").mapInArrow(_pair_rows, "shard long, term long, size long")
+    rows, every = shared_table(rows, n=F.count("size"), pairs=F.sum("size"))
+    counted = shared_table(rows.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    for shard in range(shards):
+        mine = counted.join(rows.filter(F.col("shard") == shard), "term", "left_semi")
+        df = {r.term & (1 << 64) - 1: r.df for r in mine.toLocalIterator()}
+        texts = items.filter(F.col("shard") == shard).toLocalIterator()
+        if df:
+            ordered = sorted(((r.item_id, r.text) for r in texts), key=lambda r: (r[0] is None, r))
+            yield Index(ordered, Statistics(every["n"], every["pairs"] / every["n"], df))
+
+
+def find_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = THRESHOLD,
+    shard_items: int = SHARD_ITEMS,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
+    """Verified leaks ``doc_id, item_id, score, question_overlap, answer_overlap, part_overlap``, one row per document and item;
+    the last is the share of that chunk of the item which is found best.
 
     Documents without a leak have no row, and neither have null or blank texts. Repeated documents each get their rows.
     An empty benchmark or table gives no rows; other columns are not looked at.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType
-    schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, score double, question_overlap double, answer_overlap double"
+    measures = ["score", "question_overlap", "answer_overlap", "part_overlap"]
+    schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, " + ", ".join(f"{c} double" for c in measures)
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(benchmark, shard_items):
+    for index in indexes(benchmark, shard_items, shard_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -278,17 +341,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                         rows = pa.array([lo + h[0] for h in hits], pa.int64())
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).take(rows), pa.array([shared.value.items[h[1]].item_id for h in hits]),
-                             *[pa.array([h[i] for h in hits], pa.float64()) for i in (2, 3, 4)]],
-                            names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                             *[pa.array([h[i] for h in hits], pa.float64()) for i in (2, 3, 4, 5)]],
+                            names=["doc_id", "item_id", *measures],
                         )
 
         out = out.union(docs.select("doc_id", "text").mapInArrow(scan, schema))
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = THRESHOLD,
+    shard_items: int = SHARD_ITEMS,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
     """The rows of ``docs`` without a verified leak, all columns as they are. Rows are judged one by one."""
-    for index in indexes(benchmark, shard_items):
+    for index in indexes(benchmark, shard_items, shard_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:

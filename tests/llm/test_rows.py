@@ -452,3 +452,73 @@ def test_training_windows_reach_the_whole_text():
     _, states = secrets._training_line(window)
     assert (states == crf.B).sum() == 1 and len(states) <= crf.LINE_TOKENS
     assert secrets._window("word", 2, 2) == "word" and list(secrets._places("a")) == [(0, 0, False)]
+
+
+def plain_leaks(docs, items):
+    """All leaks by scoring every passage against every chunk, with words and pairs spelled out."""
+    words = lambda text: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", data.lower(text))
+    pairs = lambda w: list(zip(w, w[1:], strict=False)) or [(v,) for v in w]
+    size = decontamination.CHUNK_TERMS
+    chunks, sides = [], {}
+    for item_id, text in items:
+        own = words(text or "")
+        if not own:
+            continue
+        cut = [m.end() for m in re.finditer(r"[.?!\n]+\s+(?=\S)", text.strip())]
+        first = words(text.strip()[: cut[-1]]) if cut else own
+        sides[item_id] = pairs(first), pairs(own[len(first) - 1 :]) if len(first) < len(own) else pairs(own)
+        for part in np.array_split(np.array(own, dtype=object), math.ceil(len(own) / size)):
+            chunks.append((item_id, pairs(part.tolist())))
+    df = Counter(p for _, c in chunks for p in set(c))
+    mean = sum(len(c) for _, c in chunks) / len(chunks)
+    weight = lambda p: math.log(1 + (len(chunks) - df[p] + 0.5) / (df[p] + 0.5))
+    share = lambda wanted, known: sum(p in known for p in wanted) / len(wanted)
+    out = []
+    for doc_id, text in docs:
+        own = words(text or "")
+        best, part, near = defaultdict(float), defaultdict(float), defaultdict(set)
+        for k in range(max(1, math.ceil(len(own) / size) - 1) if own else 0):
+            passage = set(pairs(own[k * size : (k + 2) * size])) if len(own) > 1 else {(own[0],)}
+            region = own[max(0, (k - 1) * size) : min((k + 2) * size, len(own)) + size]
+            region = set(zip(region, region[1:], strict=False)) | {(w,) for w in region}
+            for item_id, chunk in chunks:
+                norm = decontamination.K1 * (1 - decontamination.B + decontamination.B * len(chunk) / mean)
+                impact = {p: weight(p) * tf / (tf + norm) for p, tf in Counter(chunk).items()}
+                score = sum(v for p, v in impact.items() if p in passage) / sum(impact.values())
+                if score >= decontamination.THRESHOLD - 1e-9:
+                    best[item_id] = max(best[item_id], score)
+                    part[item_id] = max(part[item_id], share(chunk, region))
+                    near[item_id] |= region
+        for item_id, score in best.items():
+            question, answer = (share(side, near[item_id]) for side in sides[item_id])
+            if question >= 0.7 or (question >= 0.5 and answer >= 0.5) or part[item_id] >= 0.8:
+                out.append((doc_id, item_id, round(score, 9), round(question, 9), round(answer, 9), round(part[item_id], 9)))
+    return out
+
+
+def test_leaks_of_stretches_and_edited_items_equal_brute_force(spark):
+    rng = random.Random(5)
+    say = lambda n: [f"q{rng.randrange(300)}" for _ in range(n)]
+    items = [(i, " ".join(say(20)) + ". " + " ".join(say(rng.randrange(1, 14))) + ".") for i in range(25)]
+    items += [(25 + i, " ".join(say(200))) for i in range(5)] + [(30, "Who? " + " ".join(say(9))), (31, "one"), (32, " \n"), (33, None)]
+    docs = [(i, " ".join(say(rng.randrange(1, 260)))) for i in range(20)] + [(20, None), (21, ""), (22, "one"), (23, "One. two")]
+    for i, (_, text) in enumerate(items[:31]):
+        own = text.split(" ")
+        if i < 25:
+            for changed in (2, 5, 9):  # two changed words are still a leak
+                new = own.copy()
+                for at in rng.sample(range(len(own)), changed):
+                    new[at] = "changed"
+                docs.append((100 * changed + i, " ".join([*say(70), *new, *say(130)])))
+        else:
+            start = rng.randrange(max(1, len(own) - 90))
+            docs.append((2000 + i, " ".join([*say(61), *own[start : start + 90], *say(77)])))
+    expected = plain_leaks(docs, items)
+    assert {(2000 + i, i) for i in range(25, 31)} <= {r[:2] for r in expected}
+    assert sum((200 + i, i) in {r[:2] for r in expected} for i in range(25)) >= 24
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = [tuple(r) for r in decontamination.find_leaks(frame, bench).collect()]
+    data.same([(*r[:2], *(round(v, 9) for v in r[2:])) for r in whole], expected)
+    for options in ({"shard_items": 6}, {"shard_bytes": 1500}):
+        data.same([tuple(r) for r in decontamination.find_leaks(frame, bench, **options).collect()], whole)
+    assert decontamination.without_leaks(frame, bench, shard_items=9).count() == len(docs) - len({r[0] for r in whole})
