@@ -21,18 +21,24 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "appen
         filed.write.mode(mode).partitionBy("bucket").parquet(f"{path}/{name}")
 
 
-def load_graph(spark: SparkSession, path: str, repos: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Stored nodes and edges, all or for some repositories; the bucket filter prunes the folders read."""
+def load_graph(spark: SparkSession, path: str, repos: list[str] | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored nodes and edges, all or for some repositories, given as a short list or as a table with ``repo_name``.
 
-    if repos is not None:
-        wanted = spark.createDataFrame([(r,) for r in repos], "repo_name string")
-        buckets = [row[0] for row in wanted.select(_bucket(F.col("repo_name"))).distinct().collect()]
+    Only the folders of their buckets are read: by a filter for a list, by the partitions that Spark prunes while the join
+    runs for a table of any length. The buckets, 256 at most, are broadcast; names are joined. Null names match nothing.
+    """
 
     def load(name: str) -> DataFrame:
         df = spark.read.parquet(f"{path}/{name}")
-        if repos is not None:
+        if isinstance(repos, DataFrame):
+            # The comparison drops nothing; Spark prunes by a side only if it is filtered.
+            wanted = repos.select("repo_name", _bucket(F.col("repo_name")).alias("bucket")).filter(F.col("bucket") >= 0)
+            df = df.join(F.broadcast(wanted.select("bucket").distinct()), "bucket", "left_semi")
+            df = df.join(wanted.select("repo_name").distinct(), "repo_name", "left_semi")
+        elif repos is not None:
+            filed = spark.createDataFrame([(r,) for r in repos], "repo_name string").select(_bucket(F.col("repo_name")))
+            buckets = [row[0] for row in filed.distinct().collect()]
             df = df.filter(F.col("bucket").isin(buckets) & F.col("repo_name").isin(repos))
         return df.drop("bucket")
 
     return load("nodes"), load("edges")
-

@@ -371,3 +371,19 @@ def test_config_from_yaml(tmp_path):
     path.write_text('tokenizer: "gpt2"\nsetting: 3\ntop_k: 7\nrepos:\n  - a:\n      url: "u"\n      name: "a"\n      path: "a"\n      extensions: [".py"]\n')
     cfg = CorpusConfig.from_yaml(str(path))
     assert (cfg.setting, cfg.top_k, cfg.repos[0]["a"]["extensions"]) == (3, 7, [".py"])
+
+
+def test_stored_graph_is_pruned_by_a_table_of_names(spark, tmp_path):
+    names = [f"r{i}" for i in range(40)]
+    nodes = spark.createDataFrame([(n, f"{n}/a.py") for n in names], "repo_name string, file_path string")
+    edges = spark.createDataFrame([(n, f"{n}/a.py", f"{n}/b.py") for n in names], "repo_name string, src string, dst string")
+    save_graph(nodes, edges, str(tmp_path / "g"))
+    spark.createDataFrame([("r3",), ("r7",), ("r7",), (None,), ("absent",)], "repo_name string").write.parquet(str(tmp_path / "w"))
+    got = load_graph(spark, str(tmp_path / "g"), spark.read.parquet(str(tmp_path / "w")))
+    for stored, whole in zip(got, (nodes, edges), strict=True):
+        assert sorted(map(tuple, stored.select(*whole.columns).collect())) == sorted(
+            map(tuple, whole.filter("repo_name in ('r3', 'r7')").collect())
+        )
+        assert "dynamicpruning" in stored._jdf.queryExecution().executedPlan().toString()
+    nobody = load_graph(spark, str(tmp_path / "g"), nodes.limit(0))
+    assert [df.count() for df in nobody] == [0, 0]
