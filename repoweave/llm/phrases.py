@@ -44,6 +44,8 @@ MOST_CODES = 1 << 17
 SHORT_CODES = 1 << 15
 # First byte of codes of three bytes, end of a phrase, and the byte around a spelled word; UTF-8 has no 0xFE and 0xFF.
 LONG, STOP, SPELLED = 0x80, 0xFE, 0xFF
+# Counts that a task holds before it sends them.
+MOST_HELD = 100_000
 
 _INSIDE = np.ones(256, dtype=bool)
 _BREAK = np.zeros(256, dtype=bool)
@@ -217,7 +219,8 @@ def _edges(texts: DataFrame, words, codes, longest: int, hot: np.ndarray | None
     """``edge``: edges (``longest`` words) and the corrections at ends of pieces, counted within a slice, as bytes: a bucket (4),
     the language, the codes of the words, the end mark, and the count (4).
 
-    Stretches with the same first two words have one bucket, or ``HOT_PARTS`` of them if the digest of the pair is in ``hot``.
+    Stretches with the same first two words have one bucket, an even number, or ``HOT_PARTS`` odd ones if the digest of the pair
+    is in ``hot``.
     Sorted by bytes, edges with the same first words stand together.
     """
     hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
@@ -258,12 +261,14 @@ def _edges(texts: DataFrame, words, codes, longest: int, hot: np.ndarray | None
             second = np.where(size > 1, digest[np.minimum(first + 1, len(at) - 1)], 0)
             third = np.where(size > 2, digest[np.minimum(first + 2, len(at) - 1)], 0)
             pair = mix(digest[first] * _NEXT + second)
-            part = np.where(np.isin(pair, hot), third % np.uint64(HOT_PARTS), 0).astype(np.uint64)
+            is_hot = np.isin(pair, hot)
+            part = np.where(is_hot, third % np.uint64(HOT_PARTS), 0).astype(np.uint64)
+            bucket = (mix(pair + part) >> np.uint64(33) << np.uint64(1)) + is_hot.astype(np.uint64)
             n = len(first)
             stop = (np.full(1, STOP, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64))
             edge = _joined(
                 [
-                    _fixed(mix(pair + part) >> np.uint64(32)), (of, of_at[of_lang[first]], of_at[of_lang[first] + 1]),
+                    _fixed(bucket), (of, of_at[of_lang[first]], of_at[of_lang[first] + 1]),
                     (row, begin[first], begin[first + size]), stop, _fixed(count),
                 ],
                 n,
@@ -273,16 +278,54 @@ def _edges(texts: DataFrame, words, codes, longest: int, hot: np.ndarray | None
     return texts.mapInArrow(scan, "edge binary")
 
 
-def phrase_counts(edges: DataFrame, codes, longest: int, min_count: int) -> DataFrame:
-    """``lang, phrase, size, n`` of all frequent phrases of 1 to ``longest`` words: node flow plus ends of pieces.
-
-    One pass over the edges of a bucket in order holds the sums of the words that it is in. Only the first two lengths may
-    have parts elsewhere, which are added afterwards; longer phrases are finished where they are and sent if frequent.
+def _alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``starts`` to ``ends`` are those of the row before."""
+    size = ends - starts
+    alike = np.append(False, size[1:] == size[:-1])
+    rows = np.flatnonzero(alike & (size > 0))
+    if len(rows):
+        size = size[rows]
+        at = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(at, size)
+        equal = data[np.repeat(starts[rows], size) + step] == data[np.repeat(starts[rows - 1], size) + step]
+        alike[rows] = np.logical_and.reduceat(equal, at)
+    return alike
+
+
+def _levels(rows: pa.Array, longest: int):
+    """Bytes, starts, ends of the language and counts of edges in order; and for the first 1 to ``longest`` words whether an edge
+    is the first with these, where they end, and whether it has as many."""
+    rows = rows.cast(pa.large_binary())
+    offsets = np.frombuffer(rows.buffers()[1], dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2], dtype=np.uint8)[: offsets[-1]]
+    starts, stops = offsets[:-1], offsets[1:] - 5
+    counts = sum(data[stops + i].astype(np.int64) << (8 * (4 - i)) for i in range(1, 5))
+    marks = np.append(np.flatnonzero(data == SPELLED), len(data))
+    begin = marks[np.searchsorted(marks, starts + 5)] + 1
+    key_ends, same, levels = begin, _alike(data, starts, begin), []
+    for _ in range(longest):
+        inside = begin < stops
+        first = data[begin]
+        spelled = marks[np.minimum(np.searchsorted(marks, begin + 1), len(marks) - 1)] - begin + 1
+        end = begin + np.where(inside, np.where(first < LONG, 2, np.where(first != SPELLED, 3, spelled)), 0)
+        same = same & inside & np.append(False, inside[:-1]) & _alike(data, begin, end)
+        levels.append((inside & ~same, end, inside))
+        begin = end
+    return data, starts, key_ends, counts, levels
+
+
+def phrase_parts(edges: DataFrame, codes, longest: int, min_count: int) -> DataFrame:
+    """``lang, phrase, size, n`` in parts that ``phrase_counts`` adds up: node flow plus ends of pieces.
+
+    Edges of a bucket come in order, so those with the same first words stand together, and sums over such stretches are the
+    counts. Phrases of two or more words are finished where they are and sent if frequent, but the parts of a hot pair are added
+    afterwards. Sums of single words are held and sent once per task.
     """
 
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codes.value
-        open_key, open_words, sums = b"", [], []
+        singles: dict[bytes, int] = {}  # language and code
+        open_: dict[int, tuple[bytes, int, int]] = {}  # per size, the phrase of the last row: bytes, end of its language, sum so far
         out: list[tuple[str, str, int, int]] = []
 
         def spell(code: bytes) -> str:
@@ -290,47 +333,61 @@ def phrase_counts(edges: DataFrame, codes, longest: int, min_count: int) -> Data
                 return code[1:-1].decode()
             return known[int.from_bytes(code, "big") - (0 if len(code) == 2 else (LONG << 16) - SHORT_CODES)]
 
-        def close(down_to: int) -> None:
-            """The sums of phrases of more than ``down_to`` words are complete; each is part of the next shorter one."""
-            while len(open_words) > down_to:
-                size, n = len(open_words), sums.pop()
-                if size <= 2 or n >= min_count:
-                    out.append((open_key[5:-1].decode(), " ".join(map(spell, open_words)), size, n))
-                open_words.pop()
-                if sums:
-                    sums[-1] += n
+        def close(size: int, row: bytes, key_end: int, n: int) -> None:
+            if size == 1:
+                singles[row[4:]] = singles.get(row[4:], 0) + n
+            elif n >= min_count or (size == 2 and row[3] & 1):
+                out.append((row[5 : key_end - 1].decode(), " ".join(map(spell, split_codes(row[key_end:]))), size, n))
 
         def batch_of() -> pa.RecordBatch:
+            for key, n in singles.items():
+                key_end = key.index(SPELLED, 1) + 1
+                out.append((key[1 : key_end - 1].decode(), spell(key[key_end:]), 1, n))
+            singles.clear()
             columns = zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["lang", "phrase", "size", "n"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["lang", "phrase", "size", "n"])
+            out.clear()
+            return made
 
         for batch in batches:
-            for row in batch.column(0).to_pylist():
-                key_end = row.index(SPELLED, 5) + 1
-                words = split_codes(row[key_end:-5])
-                if row[:key_end] != open_key:
-                    close(0)
-                    open_key = row[:key_end]
-                same = 0
-                for x, y in zip(words, open_words):
-                    if x != y:
-                        break
-                    same += 1
-                if same < len(open_words):
-                    close(same)
-                for word in words[same:]:
-                    open_words.append(word)
-                    sums.append(0)
-                sums[-1] += int.from_bytes(row[-4:], "big")
-            if len(out) >= 10_000:
+            if not len(batch):
+                continue
+            data, starts, key_ends, counts, levels = _levels(batch.column(0), longest)
+            raw = data.tobytes()
+            for size, (begins, ends, inside) in enumerate(levels, 1):
+                first = np.flatnonzero(begins)
+                if not len(first):
+                    break
+                total = np.add.reduceat(np.where(inside, counts, 0), first)
+                kept = np.arange(len(first)) if size == 1 else np.flatnonzero((total >= min_count) | ((data[starts[first] + 3] & 1 == 1) & (size == 2)))
+                spans = [raw[starts[i] : ends[i]] for i in (first[0], first[-1])]
+                if size in open_:
+                    row, key_end, n = open_.pop(size)
+                    if row == spans[0]:
+                        total[0] += n
+                        kept = np.union1d(kept, [0])
+                    else:
+                        close(size, row, key_end, n)
+                last = len(first) - 1
+                for j in kept[kept < last].tolist():
+                    i = first[j]
+                    close(size, raw[starts[i] : ends[i]], int(key_ends[i] - starts[i]), int(total[j]))
+                i = first[last]
+                open_[size] = spans[1], int(key_ends[i] - starts[i]), int(total[last])
+            if len(out) + len(singles) >= MOST_HELD:
                 yield batch_of()
-                out.clear()
-        close(0)
-        if out:
+        for size, (row, key_end, n) in open_.items():
+            close(size, row, key_end, n)
+        if out or singles:
             yield batch_of()
 
     placed = edges.repartition(F.substring("edge", 1, 4)).sortWithinPartitions("edge")
-    rows = placed.mapInArrow(flow, "lang string, phrase string, size int, n long")
+    return placed.mapInArrow(flow, "lang string, phrase string, size int, n long")
+
+
+def phrase_counts(edges: DataFrame, codes, longest: int, min_count: int) -> DataFrame:
+    """``lang, phrase, size, n`` of all frequent phrases of 1 to ``longest`` words."""
+    rows = phrase_parts(edges, codes, longest, min_count)
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 

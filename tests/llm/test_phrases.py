@@ -105,6 +105,25 @@ def test_hot_pairs_are_dealt_out_and_added_up(spark):
     data.same(*[phrases.phrase_counts(e, codes, 5, 2).collect() for e in both])
 
 
+def test_only_what_may_be_frequent_is_sent_on(spark):
+    """Pairs that are rare are finished where they are; a word is sent once by each task, not by each pair. Edges that are met in
+    several batches add up."""
+    texts = spark.createDataFrame([(t, "en") for t, _ in random_rows(5)], SCHEMA).selectExpr("lang", "xxhash64(lang) lang_hash", "text")
+    every = spark.sparkContext.broadcast(phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, dtype="uint8"))
+    codes = spark.sparkContext.broadcast(["the", "of"])
+    edges = phrases._edges(texts, every, codes, 5)
+    words = {w for t, _ in random_rows(5) for piece in pieces(t) for w in piece}
+    parts = phrases.phrase_parts(edges, codes, 5, 10**6)
+    assert 0 < parts.count() <= len(words) * parts.rdd.getNumPartitions()
+    whole = phrases.phrase_counts(edges, codes, 5, 2).collect()
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        data.same(phrases.phrase_counts(edges, codes, 5, 2).collect(), whole)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 def test_codes_are_told_apart_and_ordered_by_count(spark):
     numbers = [0, 1, 255, 256, phrases.SHORT_CODES - 1, phrases.SHORT_CODES, phrases.MOST_CODES - 1, None]
     codes = [phrases.code_of(n, "naïve\x01".encode()) for n in numbers]
