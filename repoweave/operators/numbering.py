@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from repoweave.session import shared_checkpoint
 
 
-def _sort_column(name: str) -> Column:
+def sort_column(name: str) -> Column:
     return F.col(name[1:]).desc() if name.startswith("-") else F.col(name).asc()
 
 
@@ -29,7 +29,7 @@ def running_total(
     has to be the same in both passes.
     """
     columns = df.columns
-    order = [_sort_column(c) for c in order_by]
+    order = [sort_column(c) for c in order_by]
     ranges = [F.col(c) for c in group_by] + order
     sliced = shared_checkpoint(
         df.withColumn("_value", value.cast("long"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoweave.operators.joins import attach
-from repoweave.operators.numbering import running_total
+from repoweave.operators.numbering import running_total, sort_column
 from repoweave.operators.ordering import sample_rows
 from repoweave.session import shared_checkpoint, shared_table
 
@@ -164,22 +164,39 @@ def token_preview(texts: DataFrame, vocab: DataFrame, key: str, n: int, seed: in
     return shown.select(key, "input_ids", decode_words(F.col("input_ids"), vocab).alias("decoded"))
 
 
-def tokenize(df: DataFrame, create: Callable[[], Encoder], column: str = "content") -> DataFrame:
-    """Replace ``column`` by ``input_ids``. The tokenizer is built once per task and fed Arrow batches."""
+# Where ids stand that were made in order: the slice, and the ids of the slice before and after the row.
+SLICE, BEGIN, END = "_slice", "_begin", "_end"
+
+
+def tokenize(df: DataFrame, create: Callable[[], Encoder], column: str = "content", order_by: Sequence[str] = ()) -> DataFrame:
+    """Replace ``column`` by ``input_ids``. The tokenizer is built once per task and fed Arrow batches.
+
+    With ``order_by`` the texts are range-sorted first and ids are numbered as they are made, in three more columns, so that
+    ``place_tokens`` in the same order moves no ids. Rows may be filtered or changed only after that.
+    """
+    if order_by:
+        order = [sort_column(c) for c in order_by]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     others = [f for f in df.schema.fields if f.name != column]
-    schema = T.StructType([*others, T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
+    fields = [*others, T.StructField("input_ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*fields, T.StructField(BEGIN, T.LongType()), T.StructField(END, T.LongType())] if order_by else fields)
     names = [f.name for f in others]
 
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = create()
+        encode, begin = create(), 0
         for batch in batches:
             rows = [_array(row) for row in encode([text or "" for text in batch.column(column).to_pylist()])]
             ends = np.cumsum([0, *map(len, rows)])
             flat = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, "input_ids"])
+            at = [pa.array(begin + ends[:-1]), pa.array(begin + ends[1:])] if order_by else []
+            begin += int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, *at], names=schema.names)
 
-    return df.mapInArrow(encode_batches, schema)
+    encoded = df.mapInArrow(encode_batches, schema)
+    if not order_by:
+        return encoded
+    return encoded.withColumn(SLICE, F.spark_partition_id().alias(SLICE, metadata={"order_by": list(order_by)}))
 
 
 def pad_truncate(ids: Column, length: int, pad: int = END_ID, truncation: bool = True) -> Column:
@@ -219,10 +236,22 @@ def token_offsets(tokenized: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 
 def place_tokens(tokenized: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Token rows with ``n_tokens`` and ``offset``. They are staged as a table first, so the tokenizer runs once and the
-    offsets are found from the lengths alone."""
+    """Token rows with ``n_tokens`` and ``offset``. They are staged as a table first, so the tokenizer runs once. Ids made in
+    this order only need the totals of earlier slices, one row each; otherwise offsets are found from the lengths alone and
+    joined. Rows with a null in an order column take up their place but are left out."""
     names = [c.lstrip("-") for c in order_by]
-    staged = shared_table(tokenized.withColumn("n_tokens", F.size("input_ids").cast("long")))
+    counted = tokenized.withColumn("n_tokens", F.size("input_ids").cast("long"))
+    if SLICE in tokenized.columns and tokenized.schema[SLICE].metadata.get("order_by") == list(order_by):
+        off = F.count_if(F.col(END) - F.col(BEGIN) != F.col("n_tokens"))
+        staged, seen = shared_table(counted, off=off)
+        if seen["off"]:
+            raise ValueError("ids were changed after they were numbered; tokenize without order_by")
+        earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)  # over one row per slice
+        totals = staged.groupBy(SLICE).agg(F.sum("n_tokens").alias("_total"))
+        carried = totals.select(SLICE, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).cast("long").alias("offset"))
+        placed = staged.dropna(subset=names).join(F.broadcast(carried), SLICE)
+        return placed.withColumn("offset", F.col("offset") + F.col(BEGIN)).drop(SLICE, BEGIN, END)
+    staged = shared_table(counted.drop(SLICE, BEGIN, END))
     offsets = running_total(staged.select(*names, "n_tokens"), F.col("n_tokens"), order_by, name="offset")
     return attach(staged, offsets.drop("n_tokens"), names)
 

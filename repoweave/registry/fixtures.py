@@ -8,6 +8,7 @@ follows from the number of documents: no window, and no join of texts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CODE_FILES = """
 select d.source as repo_name,
@@ -71,14 +72,22 @@ from pages
 TABLES = ("documents", "pages", "part", "benchmark", "labels", "conversations")
 
 
-# Tables with long texts, and their keys. The given files have a single row group each, which one task reads; rows are dealt
-# out by key right after the scan, into as many parts as shuffles have. A corpus with many row groups needs no such step.
+# Tables with long texts, and their keys. Files may have a single row group, which one task reads; then rows are dealt out by
+# key right after the scan, into as many parts as shuffles have. A table whose splits keep all cores busy is not moved.
 DEALT = {"documents": "doc_id", "pages": "page_id"}
+# The largest split may have this many times the rows that each core has on average.
+EVEN = 1.25
+
+
+def is_even(df: DataFrame) -> bool:
+    """Whether the rows of a scan lie in splits that all cores can share; counts come from the files' footers."""
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]  # one row per split
+    return max(rows, default=0) * df.sparkSession.sparkContext.defaultParallelism <= EVEN * sum(rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in DEALT:
+    if name in DEALT and not is_even(df):
         df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), DEALT[name])
     return df
 

@@ -562,9 +562,9 @@ def _records(spark, sf):
     return records.select(F.col("file_path").alias("doc_id"), "content")
 
 
-def _word_ids(spark, sf):
+def _word_ids(spark, sf, order_by=()):
     texts = _records(spark, sf)
-    return tokens.tokenize(texts, tokens.word_tokenizer(tokens.vocabulary(texts, VOCAB)))
+    return tokens.tokenize(texts, tokens.word_tokenizer(tokens.vocabulary(texts, VOCAB)), order_by=order_by)
 
 
 def vocabulary(spark, sf):
@@ -592,7 +592,7 @@ def token_offsets(spark, sf):
 
 
 def flatten_tokens(spark, sf):
-    return tokens.flatten_tokens(_word_ids(spark, sf), ["doc_id"])
+    return tokens.flatten_tokens(_word_ids(spark, sf, ["doc_id"]), ["doc_id"])
 
 
 def token_stats(spark, sf):
@@ -624,7 +624,7 @@ def token_preview(spark, sf):
 
 def stored_tokens(spark, sf):
     path = _folder(spark)
-    write_tokens(_word_ids(spark, sf), path, ["doc_id"])
+    write_tokens(_word_ids(spark, sf, ["doc_id"]), path, ["doc_id"])
     stored = spark.read.parquet(path)
     return stored.select("doc_id", "offset", "n_tokens", _ids_as_text("input_ids").alias("ids"))
 

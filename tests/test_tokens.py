@@ -79,3 +79,33 @@ def test_flat_stream(spark, texts, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t")).orderBy("offset", "doc_id").collect()
     assert bytes(t for r in rows for t in r.input_ids).decode() == "".join(TEXTS)
     assert all(r.n_tokens == len(r.input_ids) for r in rows)
+
+
+def test_ids_made_in_order_are_placed_without_a_move(spark, tmp_path):
+    """The same stream as from ids in any order, also with repeated keys; the ids of a stream pass no shuffle."""
+    rows = [(i % 40, f"text {i % 40} " * (i % 7)) for i in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id int, content string").repartition(5)
+    for order in (["doc_id"], ["-doc_id"]):
+        ids = tokens.tokenize(texts, tokens.byte_tokenizer, order_by=order)
+        placed = tokens.place_tokens(ids, order)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "ShuffledHashJoin" not in plan
+        flat = bytes(r.token for r in tokens.flatten_tokens(ids, order).orderBy("position").collect()).decode()
+        assert flat == "".join(t for _, t in sorted(rows, key=lambda r: r[0] if order == ["doc_id"] else -r[0]))
+    write_tokens(tokens.tokenize(texts, tokens.byte_tokenizer, order_by=["doc_id"]), str(tmp_path / "t"), ["doc_id"])
+    assert spark.read.parquet(str(tmp_path / "t")).columns == ["doc_id", "input_ids", "n_tokens", "offset"]
+    with pytest.raises(ValueError, match="changed"):
+        tokens.place_tokens(ids.withColumn("input_ids", tokens.F.array(tokens.F.lit(1))), order)
+    other = tokens.place_tokens(tokens.tokenize(texts.dropDuplicates(["doc_id"]), tokens.byte_tokenizer, order_by=["doc_id"]), ["-doc_id"])
+    assert other.agg({"offset": "min"}).first()[0] == 0 and other.orderBy("doc_id").first().offset > 0
+
+
+def test_tables_are_dealt_out_only_if_their_splits_are_uneven(spark, tmp_path):
+    from repoweave.registry import fixtures
+
+    for name, parts in (("one", 1), ("many", 64)):
+        docs = spark.range(6400).selectExpr("id doc_id", "repeat('x', 9000) text").repartition(parts, "doc_id" if parts > 1 else tokens.F.lit(0))
+        docs.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{tmp_path}/{name}/documents.parquet")
+    one, many = (fixtures.table(spark, f"{tmp_path}/{name}", "documents") for name in ("one", "many"))
+    moved = ["REPARTITION" in d._jdf.queryExecution().executedPlan().toString() for d in (one, many)]
+    assert moved == [True, False] and one.count() == many.count() == 6400
