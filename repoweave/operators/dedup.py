@@ -131,13 +131,14 @@ def _starred(members: DataFrame) -> DataFrame:
 
 
 def _crossing(members: DataFrame, components: DataFrame, signed: DataFrame, least: float, length: int) -> DataFrame:
-    """``a, b``: pairs of classes in one bucket that lie in different components and whose signatures agree well enough."""
+    """``a, b``: pairs of classes in one bucket that lie in different components and whose signatures agree well enough. The
+    smallest class of a bucket has met all others, so a bucket of two holds no new pair."""
     labelled = members.join(components.withColumnRenamed("node", "class"), "class", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "class"))
     split = labelled.groupBy("band", "bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")
     )
-    split = split.filter("low <> high").select("band", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    split = split.filter("low <> high and m > 2").select("band", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     open_ = salted_join(labelled, split, ["band", "bucket"], ["class"])
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     placed = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -278,3 +278,12 @@ def test_long_texts_without_matches_take_linear_time(spark):
     started = time.time()
     assert all(r.text for r in redact(df, "text").collect())
     assert time.time() - started < 30
+
+
+def test_a_bucket_of_two_is_not_compared_again(spark):
+    """The smallest class of a bucket has met all others in the first pass: only larger buckets hold pairs that are new."""
+    signed = spark.createDataFrame([(c, bytes(16)) for c in "abc"], "class string, signature binary")
+    apart = spark.createDataFrame([], "node string, component string")
+    for classes, pairs in (("ab", set()), ("abc", {("a", "b"), ("a", "c"), ("b", "c")})):
+        members = spark.createDataFrame([(0, 7, c) for c in classes], "band int, bucket long, class string")
+        assert {tuple(r) for r in dedup._crossing(members, apart, signed, 0.5, 4).collect()} == pairs
