@@ -5,7 +5,8 @@ first ``longest - 1`` words to the node of its last; its weight is how often it
 is too short to be an edge is kept as a correction of its own. So every word of the corpus starts exactly one edge or
 correction, and only these are counted: what occurs at a node is the flow out of it (all edges that start with its words)
 plus the pieces that end there, and the same step from each length to the one below gives the counts of all shorter phrases.
-Edges are sent by their first two words and sorted, so that the flow is summed in one pass over the sorted edges.
+Edges are sent by their first two words and sorted, so that the flow is summed in one pass over the sorted edges. A task gathers
+edges and sends them as compressed blocks of numbers; they are laid out as bytes, to be sorted, where they arrive.
 
 A phrase that occurs ``min_count`` times has only words that do. A pass before the count finds those and keeps digests of them
 as bits of a fixed number, and the pieces also end at whatever certainly is rarer. Digests that fall together only make the
@@ -32,7 +33,8 @@ from repoweave.operators.joins import salted_join
 from repoweave.operators.numbering import number_rows
 from repoweave.session import shared_checkpoint
 
-SLICE_BYTES = 1 << 21
+# Below a power of two, for tables of powers are as long as the next one and stay in the worker.
+SLICE_BYTES = (1 << 20) - 2
 FILTER_BITS = 25
 PATH_EDGES = 64
 # A pair that starts more than this share of all words is hot: at most as many pairs as its inverse. Slices report shares half
@@ -46,6 +48,12 @@ SHORT_CODES = 1 << 15
 LONG, STOP, SPELLED = 0x80, 0xFE, 0xFF
 # Counts that a task holds before it sends them.
 MOST_HELD = 100_000
+# Edges that a task gathers before it sends them, and those of a block.
+HELD_EDGES = 1 << 19
+BLOCK_EDGES = 1 << 16
+BLOCK = pa.schema(
+    {"at": pa.int32(), "n": pa.int32(), "langs": pa.list_(pa.string()), "spelled": pa.list_(pa.string()), "edges": pa.binary()}
+)
 
 _INSIDE = np.ones(256, dtype=bool)
 _BREAK = np.zeros(256, dtype=bool)
@@ -215,18 +223,28 @@ def _fixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values.astype(">u4").view(np.uint8), starts, starts + 4
 
 
-def _edges(texts: DataFrame, words, codes, longest: int, hot: np.ndarray | None = None) -> DataFrame:
-    """``edge``: edges (``longest`` words) and the corrections at ends of pieces, counted within a slice, as bytes: a bucket (4),
-    the language, the codes of the words, the end mark, and the count (4).
+def _blocks(texts: DataFrame, words, codes, longest: int, hot: np.ndarray, parts: int) -> DataFrame:
+    """``at, n, langs, spelled, edges``: edges (``longest`` words) and the corrections at ends of pieces that a task has gathered,
+    counted and sorted, in blocks for each of ``parts`` partitions.
 
-    Stretches with the same first two words have one bucket, an even number, or ``HOT_PARTS`` odd ones if the digest of the pair
-    is in ``hot``.
-    Sorted by bytes, edges with the same first words stand together.
+    All with the same first two words go to one partition, or to ``HOT_PARTS`` of them by the third word if the digest of the
+    pair is in ``hot``. ``edges`` holds ``n`` numbers each for language, words (0: none), part and count. Words without a code
+    are numbered behind those with one, as ``spelled``.
     """
-    hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number_of = {word.encode(): i for i, word in enumerate(codes.value)}
+        known = pa.array(codes.value, pa.large_string())
+        langs: dict[str, int] = {}
+        others: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def blocks() -> pa.RecordBatch:
+            rows = list(_sorted_blocks(held, list(langs), list(others), len(known)))
+            langs.clear()
+            others.clear()
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCK.types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, schema=BLOCK)
+
         for lang, found in _slices(batches):
             kept, goes_on = found.cut(words.value)
             at = np.flatnonzero(kept)
@@ -236,46 +254,113 @@ def _edges(texts: DataFrame, words, codes, longest: int, hot: np.ndarray | None
             end = at[last][np.cumsum(np.append(0, last[:-1]))]  # and the place of that word
             size = np.minimum(end - at + 1, longest)
             spelled = strings(found.flat.data, found.starts[at], found.ends[at]).dictionary_encode()
-            number = spelled.indices.to_numpy().astype(np.int64) + 1
-            langs = lang.dictionary_encode()
-            of_lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[found.doc[at]]
-            name = of_lang
+            code = pc.fill_null(pc.index_in(spelled.dictionary, value_set=known), -1).to_numpy().astype(np.int64)
+            absent = np.flatnonzero(code < 0)
+            code[absent] = [len(known) + others.setdefault(w, len(others)) for w in spelled.dictionary.take(pa.array(absent)).to_pylist()]
+            number = code[spelled.indices.to_numpy()] + 1
+            named = lang.dictionary_encode()
+            of_lang = np.array([langs.setdefault(v, len(langs)) for v in named.dictionary.to_pylist()], dtype=np.int64)
+            edges = np.zeros((longest + 2, len(at)), dtype=np.uint32)
+            edges[0] = of_lang[named.indices.to_numpy(zero_copy_only=False)[found.doc[at]]]
             for i in range(longest):
-                word = np.zeros(len(at), dtype=np.int64)
                 inside = np.flatnonzero(size > i)
-                word[inside] = number[inside + i]
-                _, first, name, count = np.unique(
-                    name * (len(spelled.dictionary) + 1) + word, return_index=True, return_inverse=True, return_counts=True
-                )
-            size = size[first]
-
-            def table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-                return np.frombuffer(b"".join(values), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in values])])
-
-            code, code_at = table([code_of(number_of.get(w), w) for w in (v.encode() for v in spelled.dictionary.to_pylist())])
-            begin = np.concatenate([[0], np.cumsum(code_at[number] - code_at[number - 1])])
-            length = begin[1:] - begin[:-1]
-            row = code[np.repeat(code_at[number - 1] - begin[:-1], length) + np.arange(begin[-1])]
-            of, of_at = table([code_of(None, v.encode()) for v in langs.dictionary.to_pylist()])
+                edges[1 + i, inside] = number[inside + i]
             digest = found.hash[at]
-            second = np.where(size > 1, digest[np.minimum(first + 1, len(at) - 1)], 0)
-            third = np.where(size > 2, digest[np.minimum(first + 2, len(at) - 1)], 0)
-            pair = mix(digest[first] * _NEXT + second)
-            is_hot = np.isin(pair, hot)
-            part = np.where(is_hot, third % np.uint64(HOT_PARTS), 0).astype(np.uint64)
-            bucket = (mix(pair + part) >> np.uint64(33) << np.uint64(1)) + is_hot.astype(np.uint64)
-            n = len(first)
-            stop = (np.full(1, STOP, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64))
-            edge = _joined(
-                [
-                    _fixed(bucket), (of, of_at[of_lang[first]], of_at[of_lang[first] + 1]),
-                    (row, begin[first], begin[first + size]), stop, _fixed(count),
-                ],
-                n,
+            second, third = (np.where(size > i, np.append(digest[i:], digest[:i]), 0) for i in (1, 2))
+            pair = mix(digest * _NEXT + second)
+            part = np.where(np.isin(pair, hot), third % np.uint64(HOT_PARTS) + np.uint64(1), 0)
+            edges[-1] = part
+            held.append((edges, (mix(pair + part) % np.uint64(parts)).astype(np.int32)))
+            if sum(len(to) for _, to in held) >= HELD_EDGES:
+                yield blocks()
+        if held:
+            yield blocks()
+
+    return texts.mapInArrow(scan, "at int, n int, langs array<string>, spelled array<string>, edges binary")
+
+
+def _sorted_blocks(held: list[tuple[np.ndarray, np.ndarray]], langs: list[str], others: list[str], known: int) -> Iterator[tuple]:
+    """Rows of ``_blocks`` from columns of edges (language, words, part) and the partition of each; empties ``held``."""
+    columns, to = np.concatenate([c for c, _ in held], axis=1), np.concatenate([t for _, t in held])
+    held.clear()
+    bits = max(int(columns[:-1].max()).bit_length(), 1)
+    several = 64 // bits  # columns that fit one key
+    keys = []
+    for i in range(0, len(columns) - 1, several):
+        key = columns[i].astype(np.uint64)
+        for column in columns[i + 1 : min(i + several, len(columns) - 1)]:
+            key = key << np.uint64(bits) | column
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    first = np.zeros(len(order), dtype=bool)
+    first[0] = True
+    while keys:
+        key = keys.pop()[order]
+        first[1:] |= key[1:] != key[:-1]
+    begin = np.flatnonzero(first)
+    count = np.diff(np.append(begin, len(order)))
+    order = order[begin]
+    dealt = np.argsort(to[order].astype(np.uint16) if to.max() < 1 << 16 else to[order], kind="stable")  # 16 bits: radix sort
+    order, count = order[dealt], count[dealt].astype(np.uint32)
+    to = to[order]
+    starts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(to)).tolist(), strict=True):
+        for at in range(lo, hi, BLOCK_EDGES):
+            its = slice(at, min(at + BLOCK_EDGES, hi))
+            block = np.vstack([columns[:, order[its]], count[its]]).astype("<u4", order="C")
+            its_langs, block[0] = np.unique(block[0], return_inverse=True)
+            is_other = block[1:-2] > known
+            its_others, number = np.unique(block[1:-2][is_other], return_inverse=True)
+            block[1:-2][is_other] = number + known + 1
+            # All first bytes of a column, then all second ones: the higher ones are mostly alike.
+            planes = block.view(np.uint8).reshape(*block.shape, 4).transpose(0, 2, 1).tobytes()
+            yield (
+                int(to[at]), block.shape[1], [langs[i] for i in its_langs.tolist()],
+                [others[i - known - 1] for i in its_others.tolist()], pa.compress(planes, codec="zstd", asbytes=True),
             )
-            yield pa.RecordBatch.from_arrays([edge], names=["edge"])
 
-    return texts.mapInArrow(scan, "edge binary")
+
+def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(values), dtype=np.uint8), np.cumsum([0, *map(len, values)])
+
+
+def _edges(texts: DataFrame, words, codes, longest: int, hot: np.ndarray | None = None) -> DataFrame:
+    """``edge``: edges and corrections as bytes: a bucket (4), the language, the codes of the words, the end mark, and the count (4).
+
+    They are sent in blocks, so those with the same first two words, and part of a hot pair, are in one partition and have one
+    bucket, an odd number if the pair is in ``hot``. Sorted by bytes, edges with the same first words stand together.
+    """
+    hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = len(codes.value)
+        code, code_at = _table([b"", *(code_of(i, b"") for i in range(known))])
+        stop = np.full(1, STOP, dtype=np.uint8)
+        for batch in batches:
+            for _, n, langs, spelled, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                planes = np.frombuffer(pa.decompress(packed, (longest + 3) * 4 * n, codec="zstd"), dtype=np.uint8)
+                columns = np.ascontiguousarray(planes.reshape(-1, 4, n).transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
+                of_lang, numbers, part, count = columns[0], columns[1:-2], columns[-2], columns[-1]
+                lang, lang_at = _table([code_of(None, v.encode()) for v in langs])
+                data, ends = code, code_at
+                if spelled:
+                    more, more_at = _table([code_of(None, w.encode()) for w in spelled])
+                    data, ends = np.concatenate([code, more]), np.concatenate([code_at, code_at[-1] + more_at[1:]])
+                first, second = np.where(numbers[:2] > known, 0, numbers[:2]).astype(np.uint64)
+                bucket = mix((first << np.uint64(32) | second) * _NEXT + part.astype(np.uint64)) >> np.uint64(33) << np.uint64(1)
+                edge = _joined(
+                    [
+                        _fixed(bucket + (part > 0)), (lang, lang_at[of_lang], lang_at[of_lang + 1]),
+                        *[(data, ends[word], ends[word + 1]) for word in numbers],
+                        (stop, np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)), _fixed(count),
+                    ],
+                    n,
+                )
+                yield pa.RecordBatch.from_arrays([edge], names=["edge"])
+
+    blocks = _blocks(texts, words, codes, longest, hot, parts).repartitionById(parts, F.col("at"))
+    return blocks.mapInArrow(lay_out, "edge binary")
 
 
 def _alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -314,12 +399,13 @@ def _levels(rows: pa.Array, longest: int):
     return data, starts, key_ends, counts, levels
 
 
-def phrase_parts(edges: DataFrame, codes, longest: int, min_count: int) -> DataFrame:
+def phrase_parts(edges: DataFrame, codes, longest: int, min_count: int, shortest: int = 1) -> DataFrame:
     """``lang, phrase, size, n`` in parts that ``phrase_counts`` adds up: node flow plus ends of pieces.
 
     Edges of a bucket come in order, so those with the same first words stand together, and sums over such stretches are the
     counts. Phrases of two or more words are finished where they are and sent if frequent, but the parts of a hot pair are added
-    afterwards. Sums of single words are held and sent once per task.
+    afterwards. Sums of single words are held and sent once per task: as many rows as tasks times words, unless phrases begin
+    with ``shortest`` words.
     """
 
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,6 +441,8 @@ def phrase_parts(edges: DataFrame, codes, longest: int, min_count: int) -> DataF
             data, starts, key_ends, counts, levels = _levels(batch.column(0), longest)
             raw = data.tobytes()
             for size, (begins, ends, inside) in enumerate(levels, 1):
+                if size < shortest:
+                    continue
                 first = np.flatnonzero(begins)
                 if not len(first):
                     break
@@ -381,13 +469,12 @@ def phrase_parts(edges: DataFrame, codes, longest: int, min_count: int) -> DataF
         if out or singles:
             yield batch_of()
 
-    placed = edges.repartition(F.substring("edge", 1, 4)).sortWithinPartitions("edge")
-    return placed.mapInArrow(flow, "lang string, phrase string, size int, n long")
+    return edges.sortWithinPartitions("edge").mapInArrow(flow, "lang string, phrase string, size int, n long")
 
 
-def phrase_counts(edges: DataFrame, codes, longest: int, min_count: int) -> DataFrame:
-    """``lang, phrase, size, n`` of all frequent phrases of 1 to ``longest`` words."""
-    rows = phrase_parts(edges, codes, longest, min_count)
+def phrase_counts(edges: DataFrame, codes, longest: int, min_count: int, shortest: int = 1) -> DataFrame:
+    """``lang, phrase, size, n`` of all frequent phrases of ``shortest`` to ``longest`` words."""
+    rows = phrase_parts(edges, codes, longest, min_count, shortest)
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
@@ -478,7 +565,10 @@ def collocations(docs: DataFrame, longest: int = 5, min_count: int = 100, percen
     codes = spark.sparkContext.broadcast(_codes(frequent, MOST_CODES))
     hot = counted.filter(F.col("pair").isNotNull() & (F.col("n") > all_words * HOT_SHARE))  # at most 1 / HOT_SHARE
     hot = np.array([r["pair"] for r in hot.select("pair").collect()], dtype=np.int64).view(np.uint64)
-    every = shared_checkpoint(phrase_counts(_edges(texts, words, codes, longest, hot), codes, longest, min_count))
+    # Single words are counted already, and only those of two or more are left to the flow.
+    counts = phrase_counts(_edges(texts, words, codes, longest, hot), codes, longest, min_count, shortest=2)
+    single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
+    every = shared_checkpoint(counts.unionByName(single))
 
     inside = None
     for size in range(3, longest + 1):

@@ -124,6 +124,46 @@ def test_only_what_may_be_frequent_is_sent_on(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
 
 
+def test_single_words_are_not_sent_by_the_flow(spark, monkeypatch):
+    """Their counts are known before; sent by each task, they were as many rows as tasks times words."""
+    parts, kept = phrases.phrase_parts, []
+    monkeypatch.setattr(phrases, "phrase_parts", lambda *a, **k: kept.append(parts(*a, **k)) or kept[-1])
+    docs = spark.createDataFrame(random_rows(6), SCHEMA)
+    data.same(phrases.collocations(docs, 5, 4, 100, 2000).collect(), plain(random_rows(6), 5, 4, 100, 2000))
+    assert {r["size"] for r in kept[0].select("size").distinct().collect()} == {2, 3, 4, 5}
+
+
+@pytest.mark.parametrize(("parts", "held", "block"), [(1, 1 << 20, 1 << 16), (7, 1 << 20, 9), (3, 5, 1 << 16)])
+def test_edges_travel_in_blocks(spark, monkeypatch, parts, held, block):
+    """However they are gathered and cut, blocks give the edges that stand in the texts; a partition has all of a pair, and an edge
+    takes fewer bytes than its words."""
+    monkeypatch.setattr(phrases, "HELD_EDGES", held)
+    monkeypatch.setattr(phrases, "BLOCK_EDGES", block)
+    rows = [r for r in random_rows(8) if r[1] is not None] * 20
+    texts = spark.createDataFrame(rows, "text string, lang string").selectExpr("lang", "xxhash64(lang) lang_hash", "text")
+    every = spark.sparkContext.broadcast(phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, dtype="uint8"))
+    codes = spark.sparkContext.broadcast(["of", "alpha", "the", "old"])
+    monkeypatch.setattr(phrases, "SHORT_CODES", 2)
+    wanted = Counter()
+    for text, lang in rows:
+        for w in pieces(text):
+            wanted.update((lang, *w[i : i + 5]) for i in range(len(w)))
+    blocks = phrases._blocks(texts, every, codes, 5, phrases.np.zeros(0, dtype="uint64"), parts).collect()
+    got, at = Counter(), {}
+    for row in blocks:
+        assert 0 < row.n <= block
+        planes = phrases.np.frombuffer(phrases.pa.decompress(row.edges, 32 * row.n, codec="zstd"), dtype="uint8").reshape(8, 4, row.n)
+        columns = sum(planes[:, i].astype(int) << (8 * i) for i in range(4))
+        words = ["", *codes.value, *row.spelled]
+        for lang, *numbers, part, n in columns.T.tolist():
+            edge = (row.langs[lang], *(words[i] for i in numbers if i))
+            got[edge] += n
+            assert part == 0 and at.setdefault(edge[:3], row["at"]) == row["at"] < parts
+    assert got == wanted
+    if block > 9 and held > 5:
+        assert sum(len(r.edges) for r in blocks) < sum(len(" ".join(e)) for e in wanted)
+
+
 def test_codes_are_told_apart_and_ordered_by_count(spark):
     numbers = [0, 1, 255, 256, phrases.SHORT_CODES - 1, phrases.SHORT_CODES, phrases.MOST_CODES - 1, None]
     codes = [phrases.code_of(n, "naïve\x01".encode()) for n in numbers]
