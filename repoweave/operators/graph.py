@@ -360,12 +360,13 @@ def _levels_distributed(edges: DataFrame) -> DataFrame:
 
     A node with a single edge to it is one level below the node that it hangs on, so it is left out of the rounds: walks up
     to the first node with another number of edges give its distance, in logarithmic rounds. Between those nodes, levels
-    are raised along weighted edges until none changes; a round looks at the nodes that were raised in the one before.
+    are raised along weighted edges until none changes; a round looks at the nodes that were raised in the one before. A node
+    without edges to it stays at level 0, so its edges count once, before the rounds, which hold neither.
     """
     edges, seen = shared_table(edges.select(*EDGE), n=F.count(F.lit(1)))
     node = ["repo_name", "node"]
     ins = edges.groupBy("repo_name", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("up"))
-    walks = shared_table(_jump(ins.filter("n_in = 1").select(*node, "up")))
+    walks = _jump(ins.filter("n_in = 1").select(*node, "up"))
     if walks.filter("circle").limit(1).count():
         raise ValueError("the edges contain a cycle; remove cycles first")
     hanging = walks.select(*node, "top", "steps")
@@ -374,14 +375,16 @@ def _levels_distributed(edges: DataFrame) -> DataFrame:
     weighted = from_top.groupBy("repo_name", F.coalesce("top", "src").alias("src"), "dst").agg(
         F.max(F.coalesce("steps", F.lit(0)) + 1).alias("weight")
     )
-    weighted, some = shared_table(weighted, n=F.count(F.lit(1)))
+    weighted = shared_table(weighted)
     ends = edges.select("repo_name", F.col("src").alias("node")).union(edges.select("repo_name", "dst")).distinct()
     tops = ends.join(hanging.select(*node), node, "left_anti")
-    zero = F.lit(0).cast("long")
-    levels, count = shared_table(tops.select(*node, zero.alias("level"), F.lit(True).alias("moved")), nodes=F.count(F.lit(1)))
+    entered = weighted.groupBy("repo_name", F.col("dst").alias("node")).agg(F.max("weight").alias("level"))
+    levels, count = shared_table(entered.select(*node, "level", F.lit(True).alias("moved")), nodes=F.count(F.lit(1)))
+    between = weighted.join(levels.select("repo_name", F.col("node").alias("src")), ["repo_name", "src"], "left_semi")
+    between, some = shared_table(between, n=F.count(F.lit(1)))
     rounds, moved = 0, some["n"]
     while moved:
-        raised = weighted.join(levels.filter("moved").select("repo_name", F.col("node").alias("src"), "level"), ["repo_name", "src"])
+        raised = between.join(levels.filter("moved").select("repo_name", F.col("node").alias("src"), "level"), ["repo_name", "src"])
         raised = raised.select("repo_name", F.col("dst").alias("node"), (F.col("level") + F.col("weight")).alias("level"), F.lit(-1).cast("long").alias("old"))
         own = levels.select(*node, "level", F.col("level").alias("old"))
         merged = own.unionByName(raised).groupBy(*node).agg(F.max("level").alias("level"), F.max("old").alias("old"))
@@ -389,9 +392,10 @@ def _levels_distributed(edges: DataFrame) -> DataFrame:
         rounds, moved = rounds + 1, seen["n"]
         if rounds > count["nodes"]:
             raise ValueError("the edges contain a cycle; remove cycles first")
+    levels = shared_table(tops.join(levels.select(*node, "level"), node, "left").select(*node, F.coalesce("level", F.lit(0).cast("long")).alias("level")))
     of_top = levels.select("repo_name", F.col("node").alias("top"), "level")
     below = salted_join(hanging, of_top, ["repo_name", "top"], ["node"]).select(*node, (F.col("level") + F.col("steps")).alias("level"))
-    return levels.select(*node, "level").unionByName(below).withColumnRenamed("node", "rel_path")
+    return levels.unionByName(below).withColumnRenamed("node", "rel_path")
 
 
 # ---- public operators -----------------------------------------------------------------------------------------

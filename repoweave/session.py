@@ -71,5 +71,5 @@ def shared_table(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame, dict]
     if metrics:
         df = df.observe(seen, *[expr.alias(name) for name, expr in metrics.items()])
     df.write.parquet(path)
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)  # without a job that looks the schema up
     return (stored, seen.get) if metrics else stored

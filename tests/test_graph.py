@@ -156,6 +156,23 @@ def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     assert levels == {f"{i:05}": i for i in range(2001)} | {"05000": 101, "05001": 102}
 
 
+def test_rounds_hold_no_node_that_nobody_imports(spark, monkeypatch):
+    """Half of the nodes of a tree stay at level 0: their edges count once, and the rounds carry neither."""
+    table, rounds = graph.shared_table, []
+
+    def recorded(df, **metrics):
+        out = table(df, **metrics)
+        if "moved" in df.columns:
+            rounds.append({r.node for r in out[0].collect()})
+        return out
+
+    monkeypatch.setattr(graph, "shared_table", recorded)
+    tree = [(i, i // 2) for i in range(2, 64)]
+    levels = {r.rel_path: r.level for r in graph._levels_distributed(edge_table(spark, tree)).collect()}
+    assert levels == {f"{i:05}": 6 - i.bit_length() for i in range(1, 64)}
+    assert rounds and all(nodes == {f"{i:05}" for i in range(1, 32)} for nodes in rounds)
+
+
 def test_levels_refuse_cycles_of_both_kinds(spark):
     for edges in ([(1, 2), (2, 3), (3, 1)], [(1, 2), (2, 1), (3, 1), (4, 2)]):
         with pytest.raises(ValueError):
