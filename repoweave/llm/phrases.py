@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoweave.llm.words import Flat, flat_slices, mix, span_hash
+from repoweave.llm.words import Flat, flat_slices, mix, released, span_hash
 from repoweave.operators.joins import salted_join
 from repoweave.operators.numbering import number_rows
 from repoweave.session import shared_checkpoint
@@ -132,6 +132,7 @@ def _word_counts(texts: DataFrame, min_count: int) -> DataFrame:
     hot in some slice (``lang`` null)."""
     names = ["lang", "word", "pair", "n"]
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found in _slices(batches):
             langs = lang.dictionary_encode()
@@ -160,6 +161,7 @@ def _word_counts(texts: DataFrame, min_count: int) -> DataFrame:
 def _word_bits(frequent: DataFrame) -> np.ndarray:
     """The bits of ``(lang, word)``."""
 
+    @released
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of_lang = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -232,6 +234,7 @@ def _blocks(texts: DataFrame, words, codes, longest: int, hot: np.ndarray, parts
     are numbered behind those with one, as ``spelled``.
     """
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(codes.value, pa.large_string())
         langs: dict[str, int] = {}
@@ -333,6 +336,7 @@ def _edges(texts: DataFrame, words, codes, longest: int, hot: np.ndarray | None
     hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @released
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = len(codes.value)
         code, code_at = _table([b"", *(code_of(i, b"") for i in range(known))])
@@ -408,6 +412,7 @@ def phrase_parts(edges: DataFrame, codes, longest: int, min_count: int, shortest
     with ``shortest`` words.
     """
 
+    @released
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codes.value
         singles: dict[bytes, int] = {}  # language and code

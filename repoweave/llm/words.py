@@ -8,8 +8,10 @@ number of rows of a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,31 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return _powers(int(base), max(1 << 16, 1 << int(n).bit_length()))[:n]
 
 
+def _release() -> None:
+    """Free memory goes back to the system, and the tables of powers are dropped."""
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(step: Step) -> Step:
+    """``step`` for ``mapInArrow``, which leaves no free memory in its worker. Spark keeps workers for later tasks, one for each Python
+    step that runs at a time, and their allocators would keep what is freed while others are at work."""
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            _release()
+
+    return run
+
+
 class Flat:
     """Texts of a slice: ``data`` holds all bytes, text ``i`` is ``data[offsets[i]:offsets[i + 1]]``."""
 

@@ -1,5 +1,7 @@
 """Collocations against counts of every stretch of words."""
 
+import ctypes
+import os
 import random
 import re
 from collections import Counter
@@ -164,6 +166,36 @@ def test_edges_travel_in_blocks(spark, monkeypatch, parts, held, block):
         assert sum(len(r.edges) for r in blocks) < sum(len(" ".join(e)) for e in wanted)
 
 
+def anonymous_mb():
+    with open("/proc/self/smaps_rollup") as rollup:
+        return int(re.search(r"\nAnonymous:\s+(\d+)", rollup.read())[1]) / 1024
+
+
+def free_mb():
+    """What allocators kept though it is free; they give it back here."""
+    before = anonymous_mb()
+    phrases.pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    return before - anonymous_mb()
+
+
+@pytest.mark.skipif(not (os.path.exists("/proc/self/smaps_rollup") and hasattr(ctypes.CDLL(None), "malloc_trim")), reason="needs Linux, glibc")
+@pytest.mark.parametrize("step", [0, 2])
+def test_steps_leave_no_free_memory_in_a_worker(spark, monkeypatch, step):
+    """Workers are kept, and an executor has several of them: one for each Python step that runs at a time."""
+    docs, steps = spark.createDataFrame(random_rows(12), SCHEMA), []
+    made = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: steps.append(f) or made(self, f, *a, **k))
+    phrases.collocations(docs, 5, 4, 100, 2000).collect()
+    assert [f.__name__ for f in steps[:5]] == ["scan", "digest", "scan", "lay_out", "flow"]
+    lang_hash = docs.selectExpr("xxhash64('en')").first()[0]
+    text = " ".join(random.Random(step).choices(["the", "of", "a", "b", "c", "mill", "x1"], k=60_000))
+    batch = phrases.pa.RecordBatch.from_pydict({"lang": ["en"] * 80, "lang_hash": [lang_hash] * 80, "text": [text] * 80})
+    free_mb()
+    assert sum(b.num_rows for b in steps[step](iter([batch]))) > 0
+    assert free_mb() < 10
+
+
 def test_codes_are_told_apart_and_ordered_by_count(spark):
     numbers = [0, 1, 255, 256, phrases.SHORT_CODES - 1, phrases.SHORT_CODES, phrases.MOST_CODES - 1, None]
     codes = [phrases.code_of(n, "naïve\x01".encode()) for n in numbers]
