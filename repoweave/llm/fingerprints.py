@@ -17,15 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoweave.llm.words import Flat, flat_slices, mix, span_hash
+from repoweave.llm.words import Flat, flat_slices, mix, released, span_hash
 
 PARTS = 3
 PART_CELLS = 5
 CUT_EVERY = np.uint64(4)
-SLICE_BYTES = 1 << 20
+# Text bytes taken at a time, of which a step has some twenty times as much in arrays.
+SLICE_BYTES = 1 << 19
 _SEEDS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 _CHECK = np.uint64(0x082EFA98EC4E6C89)
 _AGAIN = np.uint64(0x452821E638D01377)
@@ -182,10 +184,28 @@ def likeness(left: Paragraphs, right: Paragraphs, pair: np.ndarray, weight: np.n
     return np.where(both > 0, (both - apart) / np.maximum(both + apart, 1.0), 1.0)
 
 
+def row_slices(texts: list[pa.Array], limit: int) -> Iterator[tuple[int, int]]:
+    """``first row, end row`` of slices of rows whose ``texts`` have at most ``limit`` bytes together, or of one row."""
+    sizes = sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(ends):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right"))
+        hi = max(hi, lo + 1)
+        yield lo, hi
+        lo = hi
+
+
+def whole(texts: pa.Array, lo: int, hi: int) -> Flat:
+    """The texts of rows ``lo`` to ``hi``, of which there is one at least, in one piece."""
+    return next(flat_slices(texts.slice(lo, hi - lo), 1 << 62))[2]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_paragraphs, fingerprint`` of every row of ``(doc_id, text)``. Null, empty and blank texts have no paragraphs;
     equal texts have equal fingerprints. No shuffle."""
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, flat in flat_slices(batch.column(1), SLICE_BYTES):
@@ -220,15 +240,15 @@ def compare(versions: DataFrame, text: str, others: list[str], keep: list[str],
         offsets = np.concatenate([[0], np.cumsum(np.bincount(pair, minlength=n))])
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(digest.view(np.int64)[order]))
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, flat in flat_slices(batch.column(width), SLICE_BYTES):
-                left = Paragraphs.of(flat)
+            for lo, hi in row_slices([batch.column(width + i) for i in range(1 + len(others))], SLICE_BYTES):
+                left = Paragraphs.of(whole(batch.column(width), lo, hi))
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(width)]
                 columns.append(pa.array(Sketch.of(left).strings(left), pa.string()))
                 for i in range(len(others)):
-                    parts = list(flat_slices(batch.column(width + 1 + i).slice(lo, hi - lo), 1 << 62))
-                    right = Paragraphs.of(parts[0][2])
+                    right = Paragraphs.of(whole(batch.column(width + 1 + i), lo, hi))
                     pair, digest, weight, sign = differences(left, right)
                     columns.append(pa.array(Sketch.of(right).strings(right), pa.string()))
                     columns.append(pa.array(likeness(left, right, pair, weight)))
@@ -258,6 +278,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = sorted(_key(r["key"]["doc_id"], r["key"]["tie"]) for r in firsts)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @released
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -280,10 +301,19 @@ def with_next(docs: DataFrame) -> DataFrame:
                 names=["slice", "ahead", "times", "doc_id", "tie", "text"],
             )
 
+    def pack(out: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [id_kind, pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+            names=["doc_id", "text", "next_text", "times"],
+        )
+
+    @released
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # slice, doc_id, text, times of the row that needs the next one
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             columns = [batch.column(i) for i in (0, 1, 2, 3)]
             for i, (at, ahead, times, doc_id) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
                 if ahead and (waiting is None or waiting[0] != at):
@@ -294,13 +324,14 @@ def with_next(docs: DataFrame) -> DataFrame:
                     continue
                 if waiting is not None:
                     out.append((waiting[1], waiting[2], row_text, waiting[3]))
+                    held += len(waiting[2]) + len(row_text)
+                    # A batch holds each text twice; it is sent on in pieces.
+                    if held >= SLICE_BYTES:
+                        yield pack(out, batch.schema.field(3).type)
+                        out, held = [], 0
                 waiting = None if ahead else [at, doc_id, row_text, times]
             if out:
-                kinds = [batch.schema.field(3).type, pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                    names=["doc_id", "text", "next_text", "times"],
-                )
+                yield pack(out, batch.schema.field(3).type)
 
     dealt = keyed.mapInArrow(deal, f"slice int, ahead boolean, times long, doc_id {id_type}, tie long, text string")
     placed = dealt.repartitionById(slices, F.col("slice")).sortWithinPartitions(

@@ -139,6 +139,41 @@ def test_one_row_repeated_very_often_is_sent_once_a_batch(spark):
     assert fp.with_next(many).count() == 5
 
 
+def steps_of(spark, monkeypatch, docs):
+    """The Python steps of the query, by name."""
+    steps, made = {}, type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: steps.update({f.__name__: f}) or made(self, f, *a, **k))
+    fp.near_versions(docs).collect()
+    monkeypatch.undo()
+    return steps
+
+
+def test_slices_count_the_bytes_of_all_texts_of_a_row():
+    texts = [pa.array(["", None, "ab", "", "x" * 50, "y"]), pa.array(["z" * 40, "", None, "w" * 30, "", "v"])]
+    assert list(fp.row_slices(texts, 40)) == [(0, 2), (2, 4), (4, 5), (5, 6)]
+    assert list(fp.row_slices([t.slice(2, 2) for t in texts], 1)) == [(0, 1), (1, 2)]
+    assert list(fp.row_slices([t.slice(0, 0) for t in texts], 1)) == []
+
+
+def test_rows_are_sent_and_compared_in_pieces(spark, monkeypatch):
+    """A short text beside a long one does not make a slice of many long ones."""
+    steps = steps_of(spark, monkeypatch, spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"))
+    assert list(steps) == ["deal", "follow", "scan"]
+    monkeypatch.setattr(fp, "SLICE_BYTES", 1000)
+    n, text = 64, "some words " * 20
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * n, pa.int32()), pa.array([False] * n), pa.array([1] * n), pa.array(range(n)), pa.array([0] * n), pa.array([f"{i} {text}" for i in range(n)])],
+        names=["slice", "ahead", "times", "doc_id", "tie", "text"],
+    )
+    pieces = list(steps["follow"](iter([batch])))
+    assert max(p.nbytes for p in pieces) < 3000
+    assert [i for p in pieces for i in p.column(0).to_pylist()] == list(range(n - 1))
+    names = ["doc_id", "n_chars", "edited_sha256", "times", "text", "edited", "next_text"]
+    row = [pa.array(range(n)), pa.array([1] * n), pa.array([""] * n), pa.array([1] * n), pa.array(["a"] * n), pa.array([text] * n), pa.array([text] * n)]
+    found = list(steps["scan"](iter([pa.RecordBatch.from_arrays(row, names=names)])))
+    assert max(b.num_rows for b in found) == 2 and sum(b.num_rows for b in found) == n
+
+
 def test_digests_of_what_differs(spark):
     rows = [(1, "a\nb\nc", "a\nc\nd"), (2, None, "x"), (3, "same", "same")]
     found = fp.compare(spark.createDataFrame(rows, "id long, old string, new string"), "old", ["new"], ["id"], digests=True)
