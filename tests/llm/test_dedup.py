@@ -67,6 +67,14 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
 
 
+def test_rounds_of_components_keep_the_guessed_size_small(spark):
+    """What rounds hand on has the size of its files, and is read in as few tasks as that needs."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(64)
+    found = components(edges)
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 20
+    assert {r.component for r in found.collect()} == {0} and found.count() == 301
+
+
 def removed(texts, length):
     count = defaultdict(int)
     for t in texts:
